@@ -29,6 +29,7 @@ def local_session(cores: int | str = 8, app: str = "sievelog", shuffle_partition
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.streaming.stateStore.providerClass",
