@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -40,9 +41,50 @@ def fingerprint_es(msg: Column) -> Column:
     ]))
 
 
-def search(text: Column, pattern: str, case_sensitive: bool = False) -> Column:
-    """True where the pattern occurs; null text counts as no match."""
-    return F.coalesce(text.rlike(pattern if case_sensitive else "(?i)" + pattern), F.lit(False))
+def _alternatives(pattern: str) -> list[str]:
+    """The top-level alternatives of a regex."""
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif ch in "([{":
+            depth += 1
+        elif ch in ")]}":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return parts + [pattern[start:]]
+
+
+def _words(alternative: str) -> list[str] | None:
+    """The literal words around `.*` when the alternative has nothing else in it, else None."""
+    words = [re.sub(r"\\([^\w\s])", r"\1", w) for w in alternative.split(".*")]
+    plain = all(not re.search(r"(?<!\\)[\^$.|?*+()\[\]{}]|\\\w", w) for w in alternative.split(".*"))
+    return words if plain and all(words) else None
+
+
+def search(text: Column, pattern: str, case_sensitive: bool = False, lowered: Column | None = None) -> Column:
+    """True where the pattern occurs; null text counts as no match.
+
+    Substring tests are many times cheaper than a case-insensitive regex, so literal alternatives become
+    `contains`, and `a.*b` runs its regex only on text that holds both words. Callers with many patterns pass
+    the lower-cased text as a column, so that it is computed once per line.
+    """
+    body = text if case_sensitive else F.lower(text) if lowered is None else lowered
+    tests, rest = [], []
+    for alt in _alternatives(pattern):
+        words = _words(alt)
+        if words is None:
+            rest.append(alt)
+            continue
+        held = reduce(lambda a, b: a & b, [body.contains(w if case_sensitive else w.lower()) for w in words])
+        tests.append(held if len(words) == 1 else held & text.rlike(("" if case_sensitive else "(?i)") + alt))
+    if rest:
+        tests.append(text.rlike(("" if case_sensitive else "(?i)") + "|".join(rest)))
+    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
 
 
 def flag(condition: Column) -> Column:
@@ -67,7 +109,7 @@ def message_pairs(msg: Column) -> Column:
                          F.regexp_extract_all(msg, pat, F.lit(2)).alias("v"))
     return F.aggregate(
         pairs, F.create_map().cast("map<string,string>"),
-        lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, v: k != p["0"]), F.create_map(p["0"], p["1"])))
+        lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
 # ---- relational-database messages ----

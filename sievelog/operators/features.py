@@ -18,15 +18,16 @@ HOUR = 3_600_000_000
 
 def message_flags(df: DataFrame) -> DataFrame:
     """All 0/1 flags that look at one line only."""
-    msg, s, c = F.col("msg"), F.col("s"), F.col("c")
-    hit = {n: X.search(msg, p, n in P.CASE_SENSITIVE) for n, p in P.MONGO_FLAGS.items()}
+    msg, s = F.col("msg"), F.col("s")
+    df = df.withColumn("_low", F.lower(msg))
+    hit = {n: X.search(msg, p, n in P.CASE_SENSITIVE, F.col("_low")) for n, p in P.MONGO_FLAGS.items()}
     hit["is_auth_failure"] = hit["is_auth_failure"] | (msg == P.AUTH_FAILURE_TEXT)
     hit["is_fatal"] = hit["is_fatal"] & ~hit["is_normal_replication"]
     hit["is_error"] = hit["is_error"] | (s == "E")
     hit["is_auth_success"] = msg == P.AUTH_SUCCESS_TEXT
     hit["is_reauthenticate"] = msg == P.REAUTHENTICATE_TEXT
     hit["severity_W"] = s == "W"
-    return df.withColumns({n: X.flag(e) for n, e in hit.items()})
+    return df.withColumns({n: X.flag(e) for n, e in hit.items()}).drop("_low")
 
 
 def component_flags(df: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def mssql_parse(df: DataFrame) -> DataFrame:
 def mssql_line_features(df: DataFrame, utc_offset_hours: int = 3) -> DataFrame:
     msg, user, client = F.col("message"), F.col("username"), F.col("client_ip")
     local = V.local_time(F.col("ts"), utc_offset_hours)
-    return df.withColumns({
+    return df.withColumn("_low", F.lower(msg)).withColumns({
         "hour_of_day": F.hour(local), "is_weekend": V.is_weekend(local),
         "is_business_hours": V.is_business_hours(local), "is_night_login": V.is_night(local),
         "is_login_event": X.flag(F.lower("logtype") == "logon"),
@@ -189,11 +190,11 @@ def mssql_line_features(df: DataFrame, utc_offset_hours: int = 3) -> DataFrame:
         "is_local_client": X.flag(client.isin(P.LOCAL_CLIENTS)),
         "is_service_account": X.flag(X.search(user, P.SERVICE_ACCOUNT)),
         "is_domain_user": X.flag(user.contains("\\")),
-        **{n: X.flag(X.search(msg, p)) for n, p in P.MSSQL_FLAGS.items()},
+        **{n: X.flag(X.search(msg, p, lowered=F.col("_low"))) for n, p in P.MSSQL_FLAGS.items()},
         "error_severity_level": F.col("error_severity").cast("int"),
         "is_high_severity_error": X.flag(F.col("error_severity") >= 17),
         "is_system_error": X.flag(F.col("logtype").isin(P.SYSTEM_ERROR_TYPES)),
-    })
+    }).drop("_low")
 
 
 def key_frequency(df: DataFrame, scope: list[str], key: str, name: str, baseline: DataFrame | None = None,
@@ -280,7 +281,8 @@ def es_parse(df: DataFrame) -> DataFrame:
 
 def es_line_features(df: DataFrame) -> DataFrame:
     msg, level = F.col("message"), F.upper(F.trim("log_level"))
-    flags = {n: X.flag(X.search(msg, p)) for n, p in P.ES_FLAGS.items()}
+    df = df.withColumn("_low", F.lower(msg))
+    flags = {n: X.flag(X.search(msg, p, lowered=F.col("_low"))) for n, p in P.ES_FLAGS.items()}
     dataset = F.col("event_dataset") if "event_dataset" in df.columns else F.lit("")
     flags["is_deprecation"] = X.flag((flags["is_deprecation"] == 1) | level.contains("DEPRECAT")
                                      | X.search(dataset, "deprecation"))
@@ -290,7 +292,7 @@ def es_line_features(df: DataFrame) -> DataFrame:
         "is_warn": X.flag(level == "WARN"), "is_error": X.flag(level.isin("ERROR", "CRITICAL")),
         **{f"is_{k}_logger": X.flag(F.col("logger_category") == k) for k in ("cluster", "index", "transport")},
         **flags,
-    })
+    }).drop("_low")
 
 
 def es_features(df: DataFrame, keys: list[str] = ["host"], rare: int = 50) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sievelog.functions import patterns as P
+from sievelog.functions import patterns as P, text as X
 from sievelog.operators import features as FE, rules as R, severity as S
 from sievelog.operators.sequence import top_n
 from sievelog.plans import oracle as O

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievelog.session import configure
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(configure(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn

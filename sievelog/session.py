@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # per-key top-k keeps a partial heap before its shuffle up to this k
     "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
+    # the flag projections are wide: past this bytecode size the JIT would leave a fused method interpreted,
+    # while the unfused operator splits it into methods the JIT takes
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
