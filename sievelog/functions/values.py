@@ -152,7 +152,7 @@ def robust_baseline(arr: Column) -> dict[str, Column]:
 
 
 def cusum_changes(arr: Column) -> Column:
-    """Number of change points: drift half a sigma, threshold three sigma, sums reset on a hit."""
+    """Positions (from 0) of change points: drift half a sigma, threshold three sigma, sums reset on a hit."""
     mean, std = series_mean(arr), series_std(arr)
     zero = F.lit(0.0).cast("double")
 
@@ -160,12 +160,42 @@ def cusum_changes(arr: Column) -> Column:
         up = F.greatest(zero, acc["up"] + v - mean - std * 0.5)
         down = F.greatest(zero, acc["down"] - v + mean - std * 0.5)
         hit = (up > std * 3) | (down > std * 3)
-        return F.struct(F.when(hit, zero).otherwise(up).alias("up"), F.when(hit, zero).otherwise(down).alias("down"),
-                        (acc["hits"] + hit.cast("int")).alias("hits"))
+        return F.struct(
+            F.when(hit, zero).otherwise(up).alias("up"), F.when(hit, zero).otherwise(down).alias("down"),
+            (acc["i"] + 1).alias("i"),
+            F.when(hit, F.array_append(acc["hits"], acc["i"])).otherwise(acc["hits"]).alias("hits"))
 
-    start = F.struct(zero.alias("up"), zero.alias("down"), F.lit(0).alias("hits"))
+    none = F.array().cast("array<int>")
+    start = F.struct(zero.alias("up"), zero.alias("down"), F.lit(1).alias("i"), none.alias("hits"))
     rest = F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(0)))
-    return F.when((F.size(arr) < 4) | (std == 0), F.lit(0)).otherwise(F.aggregate(rest, start, step)["hits"])
+    return F.when((F.size(arr) < 4) | (std == 0), none).otherwise(F.aggregate(rest, start, step)["hits"])
+
+
+def regression(arr: Column) -> dict[str, Column]:
+    """Least squares of the values on their positions 0..n-1."""
+    n = F.size(arr).cast("double")
+    sx, sxx = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
+    sxy = _fsum(F.transform(arr, lambda v, i: v * i))
+    slope = F.when(n < 2, F.lit(0.0)).otherwise((n * sxy - sx * _fsum(arr)) / (n * sxx - sx * sx))
+    return {"slope": slope.cast("double"), "mean_x": (sx / n).cast("double")}
+
+
+def r_squared(arr: Column, slope: Column, intercept: Column) -> Column:
+    mean = series_mean(arr)
+    total = _fsum(F.transform(arr, lambda v: (v - mean) * (v - mean)))
+    rest = _fsum(F.transform(arr, lambda v, i: (v - slope * i - intercept) * (v - slope * i - intercept)))
+    return F.when((total > 0) & (F.size(arr) >= 2), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - rest / total))).otherwise(
+        F.lit(0.0)).cast("double")
+
+
+def interval_margin(arr: Column, slope: Column, intercept: Column, at_x: Column, t_value: float = 2.0) -> Column:
+    """Half width of the regression prediction interval at position at_x."""
+    n = F.size(arr).cast("double")
+    rest = _fsum(F.transform(arr, lambda v, i: (v - slope * i - intercept) * (v - slope * i - intercept)))
+    se = F.sqrt(rest / (n - 2))
+    mean_x = (n - 1) / 2
+    sxx = n * (n * n - 1) / 12
+    return F.lit(t_value) * se * F.sqrt(F.lit(1.0) + F.lit(1.0) / n + (at_x - mean_x) * (at_x - mean_x) / sxx)
 
 
 def residual_consistency(arr: Column, slope: Column, intercept: Column) -> Column:

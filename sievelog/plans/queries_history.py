@@ -9,6 +9,7 @@ from sievelog.operators import analysis as A, history as H, rate as RT, trend as
 from sievelog.plans import oracle as O
 from sievelog.plans.queries_analysis import BAD, LINES_SQL, lines, r6
 from sievelog.plans.registry import query
+from sievelog.sources.store import materialise
 from sievelog.sources.views import table
 
 KEYS = ["host", "ts"]
@@ -196,7 +197,7 @@ def temporal_shift(spark, d):
 
 @query("tr01_tr12_directions")
 def directions(spark, d):
-    h = history(spark, d)
+    h = materialise(history(spark, d), "history")
     return T.directions(h, T.all_alerts(h, ["host"]), ["host"]).select("host", us(), "direction", "info", "warning", "critical")
 
 
