@@ -184,4 +184,4 @@ def feedback_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     n = F.count(F.lit(1))
     return df.groupBy(*keys).agg(
         tp.alias("true_positives"), fp.alias("false_positives"), (tp / n).alias("precision"), (fp / n).alias("fp_rate"),
-        F.when(n >= 50, "high").when(n >= 20, "medium").when(n >= 5, "low").otherwise("insufficient").alias("confidence"))
+        F.when(n >= 50, "high").when(n >= 20, "medium").when(n >= 5, "low").otherwise("very_low").alias("confidence"))

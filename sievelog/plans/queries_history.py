@@ -325,7 +325,7 @@ def combined_insight(spark, d):
 @query("j09_g29_feedback", """WITH f AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'true_positive' ELSE 'false_positive' END AS label FROM labels)
 SELECT lang, count(*) FILTER (WHERE label = 'true_positive') AS true_positives, count(*) FILTER (WHERE label = 'false_positive') AS false_positives,
  round(CAST(count(*) FILTER (WHERE label = 'true_positive') AS DOUBLE) / count(*), 6) AS precision,
- CASE WHEN count(*) >= 50 THEN 'high' WHEN count(*) >= 20 THEN 'medium' WHEN count(*) >= 5 THEN 'low' ELSE 'insufficient' END AS confidence
+ CASE WHEN count(*) >= 50 THEN 'high' WHEN count(*) >= 20 THEN 'medium' WHEN count(*) >= 5 THEN 'low' ELSE 'very_low' END AS confidence
 FROM f JOIN documents USING (doc_id) GROUP BY lang""")
 def feedback(spark, d):
     labels = table(spark, d, "labels")
