@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sievelog.functions.text import extract_int
 
@@ -134,26 +134,28 @@ def ewma_series(arr: Column, alpha: float) -> Column:
     return F.aggregate(arr, F.array().cast("array<double>"), step)
 
 
-def robust_baseline(arr: Column) -> dict[str, Column]:
-    """Centre and spread: from four values on the mean inside 1.5 IQR (quartiles by index), else median and std."""
-    s = F.array_sort(arr)
+def robust_baseline(df: DataFrame, arr: str) -> DataFrame:
+    """Adds centre and spread of an array column: from four values on the mean inside 1.5 IQR (quartiles by index),
+    else median and standard deviation. Staged, so that the sorted array and its quartiles are computed once."""
     n = F.size(arr)
-    half = F.floor(n / 2)
-    median = F.when(n % 2 == 1, _at(s, half + 1)).otherwise((_at(s, half) + _at(s, half + 1)) / 2)
-    q1, q3 = _at(s, F.floor(n / 4) + 1), _at(s, F.floor(F.lit(3) * n / 4) + 1)
-    iqr = q3 - q1
-    inside = F.filter(s, lambda v: (v >= q1 - F.lit(1.5) * iqr) & (v <= q3 + F.lit(1.5) * iqr))
-    mean = F.when(F.size(inside) > 0, _fsum(inside) / F.size(inside)).otherwise(median)
+    half, s = F.floor(n / 2), F.col("_sorted")
     zero = F.lit(0.0).cast("double")
-    return {
-        "centre": F.when(n == 0, zero).when(n < 4, median).otherwise(mean),
-        "spread": F.when(n == 0, zero).when((n < 4) | (iqr <= 0), series_std(arr)).otherwise(iqr / 2),
-    }
+    df = df.withColumn("_sorted", F.array_sort(arr)).withColumns({
+        "_q1": _at(s, F.floor(n / 4) + 1), "_q3": _at(s, F.floor(F.lit(3) * n / 4) + 1),
+        "_median": F.when(n % 2 == 1, _at(s, half + 1)).otherwise((_at(s, half) + _at(s, half + 1)) / 2)})
+    q1, q3 = F.col("_q1"), F.col("_q3")
+    iqr = q3 - q1
+    df = df.withColumn("_inside", F.filter(s, lambda v: (v >= q1 - F.lit(1.5) * iqr) & (v <= q3 + F.lit(1.5) * iqr)))
+    mean = F.when(F.size("_inside") > 0, _fsum(F.col("_inside")) / F.size("_inside")).otherwise(F.col("_median"))
+    return df.withColumns({
+        "centre": F.when(n == 0, zero).when(n < 4, F.col("_median")).otherwise(mean),
+        "spread": F.when(n == 0, zero).when((n < 4) | (iqr <= 0), series_std(F.col(arr))).otherwise(iqr / 2),
+    }).drop("_sorted", "_q1", "_q3", "_median", "_inside")
 
 
-def cusum_changes(arr: Column) -> Column:
-    """Positions (from 0) of change points: drift half a sigma, threshold three sigma, sums reset on a hit."""
-    mean, std = series_mean(arr), series_std(arr)
+def cusum_changes(arr: Column, mean: Column, std: Column) -> Column:
+    """Positions (from 0) of change points: drift half a sigma, threshold three sigma, sums reset on a hit. Mean and
+    deviation are columns of the row, so that they are not recomputed for every element."""
     zero = F.lit(0.0).cast("double")
 
     def step(acc, v):
@@ -180,8 +182,7 @@ def regression(arr: Column) -> dict[str, Column]:
     return {"slope": slope.cast("double"), "mean_x": (sx / n).cast("double")}
 
 
-def r_squared(arr: Column, slope: Column, intercept: Column) -> Column:
-    mean = series_mean(arr)
+def r_squared(arr: Column, mean: Column, slope: Column, intercept: Column) -> Column:
     total = _fsum(F.transform(arr, lambda v: (v - mean) * (v - mean)))
     rest = _fsum(F.transform(arr, lambda v, i: (v - slope * i - intercept) * (v - slope * i - intercept)))
     return F.when((total > 0) & (F.size(arr) >= 2), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - rest / total))).otherwise(

@@ -119,10 +119,11 @@ def forecast(history: DataFrame, metrics: list[Metric], horizon_hours: int = 6,
         # the regression uses the whole series below twenty values, else the newer half (at least ten)
         "r": F.when(n < 20, v).otherwise(F.slice("v", -F.greatest(F.lit(10), F.floor(n / 2).cast("int")), F.greatest(F.lit(10), F.floor(n / 2).cast("int")))),
         "tier": F.when(n < min_points, 0).when(n < 10, 1).when(n < 20, 2).otherwise(3)})
-    df = df.withColumns(V.regression(c("r"))).withColumn("intercept", V.series_mean(c("r")) - c("slope") * c("mean_x"))
+    df = df.withColumns(V.regression(c("r"))).withColumn("r_mean", V.series_mean(c("r"))).withColumn(
+        "intercept", c("r_mean") - c("slope") * c("mean_x"))
     df = df.withColumns({
-        "r2": V.r_squared(c("r"), c("slope"), c("intercept")), "consistency": V.residual_consistency(c("r"), c("slope"), c("intercept")),
-        "fast": V.ewma_last(v, fast), "momentum": V.ewma_last(v, fast) - V.ewma_last(v, slow), "changes": V.cusum_changes(v),
+        "r2": V.r_squared(c("r"), c("r_mean"), c("slope"), c("intercept")), "consistency": V.residual_consistency(c("r"), c("slope"), c("intercept")),
+        "fast": V.ewma_last(v, fast), "momentum": V.ewma_last(v, fast) - V.ewma_last(v, slow), "changes": V.cusum_changes(v, c("mean"), c("std")),
         "x_ahead": n - 1 + c("steps"), "wma": V.weighted_mean(v),
         "step_trend": F.when(n >= 3, (c("current") - F.try_element_at("v", F.lit(-3))) / 2).otherwise(F.lit(0.0))})
     zero = F.lit(0.0)
@@ -182,7 +183,7 @@ def forecast_alerts(forecasts: DataFrame, metrics: list[Metric]) -> DataFrame:
     limits = forecasts.sparkSession.createDataFrame(rows, "metric string, warn double, crit double, least double")
     df = forecasts.join(F.broadcast(limits), "metric").withColumn(
         "_w", F.when(c("n") > 3, F.slice("v", 1, c("n") - 1)).otherwise(c("v")))
-    df = df.withColumns({f"_{k}": e for k, e in V.robust_baseline(c("_w")).items()})
+    df = V.robust_baseline(df, "_w").withColumnsRenamed({"centre": "_centre", "spread": "_spread"})
     df = df.withColumn("baseline", F.when(c("_centre") <= 0, V.series_mean(c("_w"))).otherwise(c("_centre")))
     wide = F.when((c("_spread") > 0) & (c("baseline") > 0) & (c("_spread") / c("baseline") > 0.3),
                   F.lit(1.0) + F.least(F.lit(0.5), c("_spread") / c("baseline") * 0.8)).otherwise(F.lit(1.0))

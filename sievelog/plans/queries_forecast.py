@@ -40,10 +40,10 @@ def arrays(spark, d):
  round(COALESCE(regr_intercept(value, x), avg(value)), 6) AS intercept,
  round(CASE WHEN count(*) < 2 OR var_pop(value) = 0 THEN 0 ELSE regr_r2(value, x) END, 4) AS r2 FROM p GROUP BY 1, 2""")
 def regression(spark, d):
-    a = arrays(spark, d).withColumns(V.regression(F.col("v")))
-    a = a.withColumn("intercept", V.series_mean(F.col("v")) - F.col("slope") * F.col("mean_x"))
+    a = arrays(spark, d).withColumns({**V.regression(F.col("v")), "mean": V.series_mean(F.col("v")), "std": V.series_std(F.col("v"))})
+    a = a.withColumn("intercept", F.col("mean") - F.col("slope") * F.col("mean_x"))
     return a.select("host", "metric", F.size("v").cast("bigint").alias("n"), r6("slope"), r6("intercept"),
-                    F.round(V.r_squared(F.col("v"), F.col("slope"), F.col("intercept")), 4).alias("r2"))
+                    F.round(V.r_squared(F.col("v"), F.col("mean"), F.col("slope"), F.col("intercept")), 4).alias("r2"))
 
 
 @query("m07_m09_series_statistics", f"""WITH {SERIES_SQL} SELECT host, metric, round(sum(value * (x + 1)) / sum(x + 1), 6) AS wma,
@@ -66,7 +66,7 @@ f AS (SELECT *, list_filter(s, lambda z: z >= q1 - 1.5 * (q3 - q1) AND z <= q3 +
 SELECT host, metric, round(CASE WHEN n < 4 THEN med ELSE list_avg(inside) END, 6) AS centre,
  round(CASE WHEN n < 4 OR q3 - q1 <= 0 THEN COALESCE(list_stddev_samp(s), 0) ELSE (q3 - q1) / 2 END, 6) AS spread FROM f""")
 def robust_baseline(spark, d):
-    return arrays(spark, d).select("host", "metric", *[r6(k, e) for k, e in V.robust_baseline(F.col("v")).items()])
+    return V.robust_baseline(arrays(spark, d), "v").select("host", "metric", r6("centre"), r6("spread"))
 
 
 @query("t07_mean_intervals", f"""WITH {SERIES_SQL}, g AS (SELECT host, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY host ORDER BY ts)) AS DOUBLE) / 3600000000 AS h FROM cut)
@@ -136,9 +136,9 @@ def risk_context(spark, d):
 
 @query("m12_m13_cusum_residuals")
 def cusum_residuals(spark, d):
-    a = arrays(spark, d).withColumns(V.regression(F.col("v")))
-    a = a.withColumn("intercept", V.series_mean(F.col("v")) - F.col("slope") * F.col("mean_x"))
-    return a.select("host", "metric", F.concat_ws(",", V.cusum_changes(F.col("v")).cast("array<string>")).alias("changes"),
+    a = arrays(spark, d).withColumns({**V.regression(F.col("v")), "mean": V.series_mean(F.col("v")), "std": V.series_std(F.col("v"))})
+    a = a.withColumn("intercept", F.col("mean") - F.col("slope") * F.col("mean_x"))
+    return a.select("host", "metric", F.concat_ws(",", V.cusum_changes(F.col("v"), F.col("mean"), F.col("std")).cast("array<string>")).alias("changes"),
                     r6("consistency", V.residual_consistency(F.col("v"), F.col("slope"), F.col("intercept"))))
 
 
@@ -155,7 +155,7 @@ def adjusted_forecasts(spark, d):
 
 @query("fc10_forecast_alerts")
 def forecast_alerts(spark, d):
-    return FC.forecast_alerts(_full(spark, d), METRICS).select("host", "metric", "severity", "tier", "direction", r6("pct_above"), r6("forecast_value"))
+    return FC.forecast_alerts(materialise(_full(spark, d), "forecasts"), METRICS).select("host", "metric", "severity", "tier", "direction", r6("pct_above"), r6("forecast_value"))
 
 
 @query("fc11_forecast_report")
