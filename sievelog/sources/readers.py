@@ -51,11 +51,16 @@ def read_mongodb_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 def scan(df: DataFrame, start: str | None = None, end: str | None = None, hosts: list[str] | None = None,
          **equals) -> DataFrame:
-    """Range, host and equality filters; all of them reach the Parquet scan."""
+    """Range, host and equality filters; all of them reach the Parquet scan. On a table partitioned by day (`dt`) the
+    range also prunes folders."""
+    bound = lambda text: F.lit(text).cast(df.schema["ts"].dataType)
+    by_day = "dt" in df.columns
     if start is not None:
-        df = df.filter(F.col("ts") >= F.lit(start).cast(df.schema["ts"].dataType))
+        df = df.filter(F.col("ts") >= bound(start))
+        df = df.filter(F.col("dt") >= F.to_date(bound(start))) if by_day else df
     if end is not None:
-        df = df.filter(F.col("ts") < F.lit(end).cast(df.schema["ts"].dataType))
+        df = df.filter(F.col("ts") < bound(end))
+        df = df.filter(F.col("dt") <= F.to_date(bound(end))) if by_day else df
     if hosts:
         df = df.filter(F.col("host").isin(hosts))
     for name, value in equals.items():
