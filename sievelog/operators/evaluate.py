@@ -48,21 +48,21 @@ def classifier_metrics(df: DataFrame, keys: list[str], truth: Column, flagged: C
         F.col("f1") >= 0.4, "FAIR").otherwise("POOR"))
 
 
-def roc_auc(df: DataFrame, truth: Column, score: Column, chunks: int = 4096) -> DataFrame:
-    """Area under the curve by rank sums, ties at half. Rows collapse to distinct scores, those to score chunks, so
-    the only ordered pass without a key has one row per chunk."""
+def roc_auc(df: DataFrame, truth: Column, score: Column, pieces: int = 256) -> DataFrame:
+    """Area under the curve by rank sums, ties at half. Rows collapse to distinct scores; those are cut into pieces of
+    about equal size at score quantiles, so a narrow score range does not end in one task. The only ordered pass
+    without a key has one row per piece."""
     points = df.select(score.cast("double").alias("x"), truth.alias("y")).groupBy("x").agg(
         F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    ends = points.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    points = points.withColumn("_e", ends)
-    width = F.greatest(F.col("_e.hi") - F.col("_e.lo"), F.lit(1e-300))
-    points = points.withColumn("_chunk", F.floor((F.col("x") - F.col("_e.lo")) / width * chunks)).drop("_e")
-    per = points.groupBy("_chunk").agg(F.sum("neg").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("_chunk", before.alias("_before"))
-    inside = Window.partitionBy("_chunk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = points.agg(F.percentile_approx("x", [i / pieces for i in range(1, pieces)], 10 * pieces)).scalar()
+    points = points.withColumn("_cuts", cuts)
+    points = points.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col("x")))).drop("_cuts")
+    per = points.groupBy("_piece").agg(F.sum("neg").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("_piece", before.alias("_before"))
+    inside = Window.partitionBy("_piece").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_before") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
-    ranked = points.join(per, "_chunk").withColumn("_below", below)
+    ranked = points.join(per, "_piece").withColumn("_below", below)
     return ranked.agg((F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"),
                       F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 

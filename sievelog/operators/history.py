@@ -99,14 +99,14 @@ def keep_versions(df: DataFrame, keys: list[str], n: int, version: str = "versio
     return df.withColumn("_r", rank).filter((F.col("_r") <= n) | F.col(active)).drop("_r")
 
 
-def trim_oldest(df: DataFrame, ts: str, tie: str, share: float = 0.2, chunk_micros: int = 3_600_000_000) -> DataFrame:
+def trim_oldest(df: DataFrame, ts: str, tie: str, share: float = 0.2, chunk_micros: int = 10_000_000) -> DataFrame:
     """Drops the oldest share of rows exactly: whole time chunks by their running count, only the chunk on the
     border is ranked."""
     from sievelog.functions.values import micros
     rows = df.withColumn("_chunk", F.coalesce(F.floor(micros(F.col(ts)) / F.lit(chunk_micros)), F.lit(-1)))
     per = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
     total = per.agg(F.floor(F.sum("_n") * share)).scalar()
-    # one row per chunk: the running count needs one small ordered pass
+    # one row per ten seconds of log: the running count is one ordered pass over that small table
     older = F.coalesce(F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edges = per.withColumn("_older", older).withColumn("_drop", total)
     kept = rows.join(edges.filter(F.col("_older") + F.col("_n") > F.col("_drop")), "_chunk")

@@ -43,7 +43,7 @@ def fingerprint_es(spark, d):
  '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS fp FROM documents)""")
 def fingerprint_documents(spark, d):
     fp = X.fingerprint_mongodb(F.col("text"))
-    return table(spark, d, "documents").select(fp.alias("fp")).agg(
+    return views.spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(fp.alias("fp")).agg(
         F.count_distinct("fp").alias("distinct_fingerprints"), F.count(F.lit(1)).alias("docs"),
         F.sum(F.length("fp")).alias("chars"))
 
@@ -158,7 +158,8 @@ def message_flags(spark, d):
     f"CAST(sum({O.flag(O.hit('text', p, n in P.CASE_SENSITIVE))}) AS BIGINT) AS {n}" for n, p in P.MONGO_FLAGS.items()
     if n not in ("is_auth_failure", "is_fatal", "is_error")) + " FROM documents GROUP BY lang")
 def flags_over_documents(spark, d):
-    docs = table(spark, d, "documents").select("lang", "text", F.lower("text").alias("low"))
+    docs = views.spread(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id").select(
+        "lang", "text", F.lower("text").alias("low"))
     names = [n for n in P.MONGO_FLAGS if n not in ("is_auth_failure", "is_fatal", "is_error")]
     return docs.select("lang", *[
         X.flag(X.search(F.col("text"), P.MONGO_FLAGS[n], n in P.CASE_SENSITIVE, F.col("low"))).alias(n)

@@ -14,6 +14,8 @@ SETTINGS = {
     # the flag projections are wide: past this bytecode size the JIT would leave a fused method interpreted,
     # while the unfused operator splits it into methods the JIT takes
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # sessions of a busy key are merged before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
