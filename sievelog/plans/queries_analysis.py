@@ -14,11 +14,12 @@ from sievelog.plans.registry import query
 from sievelog.sources import views
 from sievelog.sources.views import MONGO_LOGS, table
 
-# the same scores in both engines: errors and high values are anomalies, the value column drives score and severity
-SCORES = """CASE WHEN s = 'E' OR value > 100 THEN -1 ELSE 1 END AS prediction, -(value / 500) AS anomaly_score,
- least(value / 4, CAST(100 AS DOUBLE)) AS severity_score,
- CASE WHEN value / 4 >= 80 THEN 'CRITICAL' WHEN value / 4 >= 60 THEN 'HIGH' WHEN value / 4 >= 40 THEN 'MEDIUM'
-  WHEN value / 4 >= 20 THEN 'LOW' ELSE 'INFO' END AS severity_level"""
+# the same scores in both engines: errors and high values are anomalies, the value column drives score and severity.
+# The odd divisors keep means off exact rounding ties, which summation order would decide
+SCORES = """CASE WHEN s = 'E' OR value > 100 THEN -1 ELSE 1 END AS prediction, -(value / 503.7) AS anomaly_score,
+ least(value / 4.7, CAST(100 AS DOUBLE)) AS severity_score,
+ CASE WHEN value / 4.7 >= 80 THEN 'CRITICAL' WHEN value / 4.7 >= 60 THEN 'HIGH' WHEN value / 4.7 >= 40 THEN 'MEDIUM'
+  WHEN value / 4.7 >= 20 THEN 'LOW' ELSE 'INFO' END AS severity_level"""
 VALUED = MONGO_LOGS.replace("SELECT event_id AS log_id, ts,", "SELECT event_id AS log_id, ts, value,", 1)
 LINES_SQL = O.MONGO_LINES.replace(f"logs AS ({MONGO_LOGS})", f"logs AS (SELECT *, {SCORES} FROM ({VALUED}) v)", 1)
 L = f"WITH {LINES_SQL}"
