@@ -12,10 +12,13 @@ from sievelog.operators.sequence import top_n
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is named, as in tests."""
+    """The shared folder the cluster names in spark.checkpoint.dir. A local folder serves only a local master, where
+    driver and executors are one process; elsewhere a missing name is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(scratch_dir, "local"):
         scratch_dir.local = tempfile.mkdtemp(prefix="sievelog-")
     return scratch_dir.local
