@@ -23,8 +23,9 @@ REMEMBER = 800_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: A pair of tokens as one key: left * _SPREAD + right, whose low bits depend on both.
 _SPREAD = 1_000_003
-#: Letters with the spaces before them, other marks with theirs, digits one by one.
-_PARTS = re.compile(r" *[^\W\d_]+| *(?:[^\w ]|_)+|\d| +")
+#: Ways to cut a text, finest first: letters with the spaces before them, other marks with theirs, digits one by one;
+#: words with the spaces before them; not at all.
+_CUTS = [re.compile(r" *[^\W\d_²³¹]+| *(?:[^\w ]|[_²³¹])+|\d| +"), re.compile(" *[^ ]+| +"), re.compile("(?s:.+)")]
 
 
 class PrefixTable:
@@ -56,7 +57,7 @@ class PrefixTable:
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.shown = [{_NORMAL: p.replace(MARK, " "), _UNKNOWN: " ⁇ "}.get(k, "") for p, k in zip(self.pieces, self.kind)]
         # a text may be cut between two characters that stand side by side in no piece
-        self.cuts = all(len(_PARTS.findall(p.replace(MARK, " "))) == 1 for p in self.ids)
+        self.parts = next(c for c in _CUTS if all(len(c.findall(p.replace(MARK, " "))) == 1 for p in self.ids)) if self.bytes else _CUTS[-1]
         self.chars = {p for p in self.whole if len(p) == 1}
         self._alone = {self.ids[p]: True for p in self.whole}  # nothing before them
         self._fits: dict[int, bool] = dict(self._alone)
@@ -132,7 +133,7 @@ class PrefixTable:
         if not text:
             return []
         text = (" " if self.prefix else "") + text.replace(MARK, " ")
-        return _PARTS.findall(text) if self.cuts and self.bytes else [text]
+        return self.parts.findall(text)
 
     def _segment(self, part: str) -> tuple[str, str]:
         """(ids joined by commas, decoded text) of a part."""
