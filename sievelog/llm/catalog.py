@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import sentencepiece as op1
+from sievelog.llm import exact_dedup as op5, sentencepiece as op1, warc as op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,26 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document as digests."""
     rows = op1.with_ids(read(spark, sf_dir, "documents"), "piece_bpe_32k.model", keep_ids=False)
     return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op5_exact_dedup", r"""
+    SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    WINDOW same AS (PARTITION BY t)""")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and survivor of every document whose text repeats but for white space."""
+    return op5.dedup(read(spark, sf_dir, "documents"))
+
+
+@query("op9_warc", """
+    SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+           list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(
+               list_transform(range(5), lambda k: CAST(substr(b, CAST(5 * i + k + 1 AS INT), 1) AS INT) << CAST(4 - k AS INT)))::INT, 1)), 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> last THEN last END AS refers_to
+    FROM (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS last, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS b
+          FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives as a record and read back."""
+    return op9.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
