@@ -28,7 +28,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows once as a Parquet table in the scratch folder and reads them back: lineage ends here, lost
     executors reread the table, and later steps prune its columns."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/sievelog-{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
