@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import exact_dedup as op5, sentencepiece as op1, warc as op9
+from sievelog.llm import automaton as op10, exact_dedup as op5, language as op2, sentencepiece as op1, warc as op9
+from sievelog.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,28 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives as a record and read back."""
     return op9.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the smallest compressed size; learns from the rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = op2.learn(docs.filter(~held_out()))
+    rows = op2.identify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def joined_spans(spans, kept=None):
+    """kind:start:end of an array of spans, comma-joined."""
+    rows = spans if kept is None else F.filter(spans, kept)
+    return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op10_secrets")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with a digest of the base kinds."""
+    rows = op10.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", count("assign"), count("access"), count("hex"),
+                       F.sha2(joined_spans(F.col("secrets"), lambda s: s["is_base"]), 256).alias("base_sha256"),
+                       joined_spans(F.col("secrets")).alias("spans"))
