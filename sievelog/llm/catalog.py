@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import automaton as op10, exact_dedup as op5, language as op2, sentencepiece as op1, warc as op9
+from sievelog.llm import automaton as op10, exact_dedup as op5, language as op2, sentencepiece as op1, suffix_arrays as op6, warc as op9
 from sievelog.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", count("assign"), count("access"), count("hex"),
                        F.sha2(joined_spans(F.col("secrets"), lambda s: s["is_base"]), 256).alias("base_sha256"),
                        joined_spans(F.col("secrets")).alias("spans"))
+
+
+@query("op6_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows."""
+    rows = op6.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", F.col("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
