@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import automaton as op10, exact_dedup as op5, language as op2, sentencepiece as op1, suffix_arrays as op6, warc as op9
+from sievelog.llm import automaton as op10, exact_dedup as op5, language as op2, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
 from sievelog.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op6.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", F.col("n_hit"), F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op7_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learns from the labelled rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op7.learn(docs, read(spark, sf_dir, "labels").filter(~held_out()))
+    return op7.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

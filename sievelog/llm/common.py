@@ -29,9 +29,12 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """The `rows` rows with the smallest hash of `key`: the same rows at any partitioning."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
+def bounded_sample(df: DataFrame, key: Column, rows: int, of: int) -> DataFrame:
+    """About `rows` of the `of` rows of a table, all if there are fewer: those with the smallest hashes of `key`, whatever
+    the partitioning. The bound holds in expectation, give or take a few times its square root."""
+    if of <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * rows / of))
 
 
 def salted_groups(df: DataFrame, keys: list[str], row: Column, aggs: dict[str, tuple[str, str]], salts: int = 32) -> DataFrame:

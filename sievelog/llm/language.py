@@ -32,15 +32,16 @@ class Model:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Dictionaries from labelled rows: of each language the TRAIN_DOCUMENTS rows with the smallest hash of the key and
-    the first TRAIN_CHARACTERS characters of each, DICTIONARY_BYTES together. Rows without a label or text teach nothing;
+    """Dictionaries from labelled rows: of each language about TRAIN_DOCUMENTS rows chosen by a hash of the key and the
+    first TRAIN_CHARACTERS characters of each, DICTIONARY_BYTES together. Rows without a label or text teach nothing;
     without any row every text is undetermined."""
     rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text_of(text)) > 0)).select(
         F.col(lang).cast("string").alias("lang"), F.substring(text_of(text), 1, TRAIN_CHARACTERS).alias("text"), F.col(key).alias("key"))
-    names = [r["lang"] for r in rows.select("lang").distinct().collect()]
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     contents = []
-    for name in sorted(names):
-        sample = bounded_sample(rows.filter(F.col("lang") == name), F.col("key"), TRAIN_DOCUMENTS).collect()
+    for name in sorted(counts):
+        sample = bounded_sample(rows.filter(F.col("lang") == name), F.col("key"), TRAIN_DOCUMENTS, counts[name])
+        sample = sample.orderBy(F.xxhash64("key"), "text").collect()
         raw = b""
         for piece in (letters(r["text"]).encode() for r in sample):
             if len(raw) + len(piece) < DICTIONARY_BYTES:
