@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import automaton as op10, exact_dedup as op5, language as op2, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
+from sievelog.llm import automaton as op10, exact_dedup as op5, html as op3, language as op2, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
 from sievelog.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = op7.learn(docs, read(spark, sf_dir, "labels").filter(~held_out()))
     return op7.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op3_html_text")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return op3.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
