@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import automaton as op10, exact_dedup as op5, html as op3, language as op2, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
+from sievelog.llm import automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
 from sievelog.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return op3.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op8_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a similarity of 0.8 of five-word shingles."""
+    return op8.links(read(spark, sf_dir, "documents").select("doc_id", "text"))
