@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
+from sievelog.llm import automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, personal as op4, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
 from sievelog.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,13 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a similarity of 0.8 of five-word shingles."""
     return op8.links(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with a digest of the base kinds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = op4.find(docs, op4.learn(docs))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *[count(k) for k in op4.BASE], F.sha2(joined_spans(F.col("base_spans")), 256).alias("base_sha256"),
+                       joined_spans(F.col("all_spans")).alias("spans"))

@@ -41,7 +41,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     contents = []
     for name in sorted(counts):
         sample = bounded_sample(rows.filter(F.col("lang") == name), F.col("key"), TRAIN_DOCUMENTS, counts[name])
-        sample = sample.orderBy(F.xxhash64("key"), "text").collect()
+        sample = sorted(sample.select(F.xxhash64("key").alias("key"), "text").collect())
         raw = b""
         for piece in (letters(r["text"]).encode() for r in sample):
             if len(raw) + len(piece) < DICTIONARY_BYTES:
