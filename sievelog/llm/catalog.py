@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from sievelog.llm import automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, personal as op4, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
-from sievelog.llm.common import held_out
+from sievelog.llm.common import held_out, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 @query("op1_sentencepiece")
