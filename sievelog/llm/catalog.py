@@ -118,3 +118,8 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", *[count(k) for k in op4.BASE], F.sha2(joined_spans(F.col("base_spans")), 256).alias("base_sha256"),
                        joined_spans(F.col("all_spans")).alias("spans"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

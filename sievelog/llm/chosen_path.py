@@ -74,7 +74,7 @@ def _signed(a: np.ndarray) -> list[int]:
     return a.view(np.int64).tolist()
 
 
-def class_of_sets(df: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
+def class_of_sets(df: DataFrame, doc_id: str, text: str, runs: int, row: str | None) -> tuple[DataFrame, DataFrame]:
     """Stored: doc_id, _row, set, size, paths, and for the set: rep (row of the smallest id), rep_id, copies."""
     import pyarrow as pa
 
@@ -82,8 +82,8 @@ def class_of_sets(df: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame
         return [(_signature(t), len(t), _signed(first_paths(t, runs))) for t in _token_sets(texts)]
 
     udf = per_batch(run, "set string, size int, paths array<bigint>", [pa.string(), pa.int32(), pa.list_(pa.int64())])
-    rows = df.select(F.col(doc_id).alias("doc_id"), udf(text_of(text)).alias("_s")).select("doc_id", "_s.*")
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = df.select(F.col(doc_id).alias("doc_id"), number.alias("_row"), udf(text_of(text)).alias("_s")).select("doc_id", "_row", "_s.*")
     # a text without words is like no other
     rows = materialise(rows.withColumn("set", F.when(F.col("size") > 0, F.col("set")).otherwise(F.concat(F.lit("-"), F.col("_row")))), "sets")
     order = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
@@ -262,16 +262,17 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL, row: str | None = None) -> DataFrame:
     """One row per input row: doc_id, class_id, set_id, n_links, kept.
 
     Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least 0.8 (a text with
     fewer words, but some, is one shingle; one without words, null and empty ones too, is linked to none). n_links counts
     the linked rows, copies included; class_id is the smallest id of all rows that links connect, set_id that of the rows
     with the same set; kept marks one row of a class, that of the smallest id. A null id is larger than any. Rows that
-    repeat are copies of each other. Only the id and the text are read. An empty table gives no rows.
+    repeat are copies of each other. Only the id and the text are read. An empty table gives no rows. With `row`, the name
+    of a column of distinct longs, that column is returned too.
     """
-    rows, classes = class_of_sets(df, doc_id, text, runs_for(recall))
+    rows, classes = class_of_sets(df, doc_id, text, runs_for(recall), row)
     start = rows.select("_row", "paths").join(classes.filter("_row = rep").select("_row"), "_row")
     level = shared(start.select(F.explode("paths").alias("path"), F.col("_row").alias("rep")))
     wanted = classes.filter("_row = rep").join(level.select("rep").distinct(), "rep").select("rep", "rep_id", "set", "copies")
@@ -301,10 +302,11 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: flo
     out = classes.join(of_rep, "rep", "left")
     first = F.coalesce(F.col("_first.row"), F.col("rep"))
     return out.select(F.col("doc_id").alias(doc_id), F.when(F.col("_first").isNotNull(), F.col("_first.id")).otherwise(F.col("rep_id")).alias("class_id"),
-                      F.col("rep_id").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (first == F.col("_row")).alias("kept"))
+                      F.col("rep_id").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (first == F.col("_row")).alias("kept"), *[F.col("_row").alias(row)] * bool(row))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, with all columns of the input. The id must tell rows apart."""
-    gone = links(df, doc_id, text).filter(~F.col("kept")).select(F.col(doc_id))
-    return df.join(gone, doc_id, "left_anti").select(*df.columns)
+    """One row of each class, with all columns of the input, which must come from files: a row is known by its place."""
+    rows = df.withColumn("_place", F.monotonically_increasing_id())
+    gone = links(rows, doc_id, text, row="_place").filter(~F.col("kept")).select("_place")
+    return rows.join(materialise(gone, "gone"), "_place", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

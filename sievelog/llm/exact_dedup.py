@@ -94,7 +94,7 @@ def digests(df: DataFrame, text: str = "text", primes: tuple[int, int] = PRIMES)
     return add_fields(df, udf(text_of(text)), ["fp_a", "fp_b", "fp_bytes", "text_sha256"])
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", primes: tuple[int, int] = PRIMES) -> DataFrame:
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", primes: tuple[int, int] = PRIMES, row: str | None = None) -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after every run of white space is one space; null counts as empty, and empty texts
@@ -106,8 +106,9 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", primes: tup
     of each chunk number, which every task reduces before anything is shuffled, so a group may be of any size.
     """
     key = ["fp_a", "fp_b", "fp_bytes"]
-    one = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = materialise(digests(one, primes=primes).drop("text").withColumn("_row", F.monotonically_increasing_id()), "fingerprints")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    one = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), number.alias("_row"))
+    rows = materialise(digests(one, primes=primes).drop("text"), "fingerprints")
     twice = materialise(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key), "repeated")
 
     chunk = lambda i: F.substring("_normal", i * CHUNK + 1, F.lit(CHUNK))
@@ -121,10 +122,12 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", primes: tup
     marked = rows.join(differ, key, "left").withColumns({"_sub": F.when(F.col("_split"), F.col("text_sha256")).otherwise(""), "_order": order})
     groups = salted_groups(marked, [*key, "_sub"], F.col("_row"), {"_first": ("min", "_order"), "group_size": ("count", "*")})
     return groups.select(F.col("doc_id").alias(doc_id), F.col("_first.id").alias("keep_id"), "group_size",
-                         (F.col("_first.row") == F.col("_row")).alias("kept"), "text_sha256")
+                         (F.col("_first.row") == F.col("_row")).alias("kept"), "text_sha256", *[F.col("_row").alias(row)] * bool(row))
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of the input. The id must tell rows apart."""
-    gone = dedup(df, doc_id, text).filter(~F.col("kept")).select(F.col(doc_id))
-    return df.join(gone, doc_id, "left_anti").select(*df.columns)
+    """The rows that stay, with all columns of the input. The input is read twice and must come from files, whose rows
+    keep their places, so that a row is known by its place and ids may repeat."""
+    rows = df.withColumn("_place", F.monotonically_increasing_id())
+    gone = dedup(rows, doc_id, text, row="_place").filter(~F.col("kept")).select("_place")
+    return rows.join(materialise(gone, "gone"), "_place", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

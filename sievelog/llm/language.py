@@ -15,7 +15,7 @@ TRAIN_DOCUMENTS, TRAIN_CHARACTERS, DICTIONARY_BYTES = 400, 2000, 96 << 10
 #: Characters compressed on their own, so that a long text is measured against the dictionary and not against itself.
 WINDOW = 1500
 #: Compression level, and the least margin of the best over the second, as a share of the second's bytes.
-LEVEL, MARGIN = 6, 0.02
+LEVEL, MARGIN = 6, 0.005
 _REST = re.compile(r"[\W\d_]+")
 
 
