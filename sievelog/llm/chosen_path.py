@@ -302,11 +302,12 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: flo
     out = classes.join(of_rep, "rep", "left")
     first = F.coalesce(F.col("_first.row"), F.col("rep"))
     return out.select(F.col("doc_id").alias(doc_id), F.when(F.col("_first").isNotNull(), F.col("_first.id")).otherwise(F.col("rep_id")).alias("class_id"),
-                      F.col("rep_id").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (first == F.col("_row")).alias("kept"), *[F.col("_row").alias(row)] * bool(row))
+                      F.col("rep_id").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (first == F.col("_row")).alias("kept"), *([F.col("_row").alias(row)] if row else []))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, with all columns of the input, which must come from files: a row is known by its place."""
-    rows = df.withColumn("_place", F.monotonically_increasing_id())
-    gone = links(rows, doc_id, text, row="_place").filter(~F.col("kept")).select("_place")
-    return rows.join(materialise(gone, "gone"), "_place", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+                     F.monotonically_increasing_id().alias("_place"))
+    gone = links(rows, row="_place").filter(~F.col("kept")).select("_place")
+    return rows.join(materialise(gone, "gone"), "_place", "left_anti").select("_all.*")

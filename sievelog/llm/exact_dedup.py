@@ -71,7 +71,7 @@ def combine_chunks(chunks: DataFrame, keys: list[str], number: str = "number", p
     step = lambda a, x: F.struct(((a["hash"] * x["shift"] + x["hash"]) % prime).alias("hash"),
                                  (a["shift"] * x["shift"] % prime).alias("shift"))
     zero = F.struct(F.lit(0).cast("long").alias("hash"), F.lit(1).cast("long").alias("shift"))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(number), F.col("hash").cast("long"), F.col("shift").cast("long"))))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(number).alias("number"), F.col("hash").cast("long").alias("hash"), F.col("shift").cast("long").alias("shift"))))
     return chunks.groupBy(*keys).agg(F.aggregate(parts, zero, step).alias("value")).select(*keys, "value.hash", "value.shift")
 
 
@@ -122,12 +122,13 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", primes: tup
     marked = rows.join(differ, key, "left").withColumns({"_sub": F.when(F.col("_split"), F.col("text_sha256")).otherwise(""), "_order": order})
     groups = salted_groups(marked, [*key, "_sub"], F.col("_row"), {"_first": ("min", "_order"), "group_size": ("count", "*")})
     return groups.select(F.col("doc_id").alias(doc_id), F.col("_first.id").alias("keep_id"), "group_size",
-                         (F.col("_first.row") == F.col("_row")).alias("kept"), "text_sha256", *[F.col("_row").alias(row)] * bool(row))
+                         (F.col("_first.row") == F.col("_row")).alias("kept"), "text_sha256", *([F.col("_row").alias(row)] if row else []))
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all columns of the input. The input is read twice and must come from files, whose rows
     keep their places, so that a row is known by its place and ids may repeat."""
-    rows = df.withColumn("_place", F.monotonically_increasing_id())
-    gone = dedup(rows, doc_id, text, row="_place").filter(~F.col("kept")).select("_place")
-    return rows.join(materialise(gone, "gone"), "_place", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+                     F.monotonically_increasing_id().alias("_place"))
+    gone = dedup(rows, row="_place").filter(~F.col("kept")).select("_place")
+    return rows.join(materialise(gone, "gone"), "_place", "left_anti").select("_all.*")
