@@ -28,6 +28,10 @@ WORDS, ABOVE, BELOW, RECALL = 5, 4, 5, 0.999
 SPLIT, FIRST, LAST = 0.65, 2, 4
 #: Sets in a bucket before its path goes on; sets in a block of a bucket that is still larger at the end.
 BUCKET, BLOCK = 200, 256
+#: Parts of the hash range in which a set's tokens are counted: the smaller counts bound what two sets share.
+PARTS = 64
+#: Sets whose ids are broadcast to the texts (about 100 bytes each); more meet their texts by a shuffle.
+BROADCAST_SETS = 200_000
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -70,26 +74,31 @@ def _signature(tokens: np.ndarray) -> str:
     return hashlib.md5(tokens.tobytes(), usedforsecurity=False).hexdigest()
 
 
+def _counts(tokens: np.ndarray) -> bytes:
+    """Tokens in each part of the hash range; 255 stands for 255 and more."""
+    return np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def _signed(a: np.ndarray) -> list[int]:
     return a.view(np.int64).tolist()
 
 
 def class_of_sets(df: DataFrame, doc_id: str, text: str, runs: int, row: str | None) -> tuple[DataFrame, DataFrame]:
-    """Stored: doc_id, _row, set, size, paths, and for the set: rep (row of the smallest id), rep_id, copies."""
+    """Stored: doc_id, _row, set, size, counts, paths; and doc_id, _row, set, with for the set: rep (row of the smallest id), rep_id, copies."""
     import pyarrow as pa
 
     def run(texts: list) -> list[tuple]:
-        return [(_signature(t), len(t), _signed(first_paths(t, runs))) for t in _token_sets(texts)]
+        return [(_signature(t), len(t), _counts(t), _signed(first_paths(t, runs))) for t in _token_sets(texts)]
 
-    udf = per_batch(run, "set string, size int, paths array<bigint>", [pa.string(), pa.int32(), pa.list_(pa.int64())])
+    udf = per_batch(run, "set string, size int, counts binary, paths array<bigint>", [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64())])
     number = F.col(row) if row else F.monotonically_increasing_id()
     rows = df.select(F.col(doc_id).alias("doc_id"), number.alias("_row"), udf(text_of(text)).alias("_s")).select("doc_id", "_row", "_s.*")
     # a text without words is like no other
     rows = materialise(rows.withColumn("set", F.when(F.col("size") > 0, F.col("set")).otherwise(F.concat(F.lit("-"), F.col("_row")))), "sets")
     order = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    narrow = rows.select("doc_id", "_row", "set", "size").withColumn("_order", order)
+    narrow = rows.select("doc_id", "_row", "set").withColumn("_order", order)
     groups = salted_groups(narrow, ["set"], F.col("_row"), {"_first": ("min", "_order"), "copies": ("count", "*")})
-    return rows, materialise(groups.select("doc_id", "_row", "set", "size", "copies", F.col("_first.row").alias("rep"), F.col("_first.id").alias("rep_id")), "classes")
+    return rows, materialise(groups.select("doc_id", "_row", "set", "copies", F.col("_first.row").alias("rep"), F.col("_first.id").alias("rep_id")), "classes")
 
 
 def shared(buckets: DataFrame) -> DataFrame:
@@ -115,12 +124,16 @@ def deeper(buckets: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def token_table(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Stored: rep, tokens of the sets (rep, rep_id, set) wanted. Texts move to meet their ids, not to meet each other."""
+    """Stored: rep, tokens, copies of the sets wanted (rep, rep_id, set, copies), from one text of each. Few sets go to the
+    texts; beyond BROADCAST_SETS texts and ids are shuffled to meet."""
     import pyarrow as pa
     udf = per_batch(lambda texts: [(_signature(t), t.tobytes()) for t in _token_sets(texts)], "found string, tokens binary", [pa.string(), pa.binary()])
-    texts = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text"))
-    met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id"))).withColumn("_s", udf(F.col("_text")))
-    return materialise(met.filter(F.col("_s.found") == F.col("set")).select("rep", F.col("_s.tokens").alias("tokens"), "copies").dropDuplicates(["rep"]), "tokens")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
+    texts = df.select(key(doc_id), text_of(text).alias("_text"))
+    few = wanted.select(key("rep_id"), "rep", "set", "copies")
+    few = F.broadcast(few) if wanted.count() <= BROADCAST_SETS else few
+    met = texts.join(few, "_key").withColumn("_s", udf(F.col("_text"))).filter(F.col("_s.found") == F.col("set"))
+    return materialise(met.select("_key", "rep", F.col("_s.tokens").alias("tokens"), "copies").dropDuplicates(["_key", "rep"]).drop("_key"), "tokens")
 
 
 def in_blocks(buckets: DataFrame) -> DataFrame:
@@ -164,6 +177,17 @@ def _first_meeting(group: list[dict]) -> np.ndarray:
     return wanted
 
 
+def _may_link(group: list[dict]) -> np.ndarray:
+    """Which pairs can be similar enough by their sizes and by what they hold in each part of the hash range."""
+    size = np.array([r["size"] for r in group])
+    counts = np.array([np.frombuffer(r["counts"], dtype=np.uint8) for r in group]).astype(np.int64)
+    counts[counts == 255] = 1 << 40
+    most = np.minimum(size[:, None], size[None, :])
+    for i in range(len(group)):
+        most[i] = np.minimum(most[i], np.minimum(counts[i], counts).sum(axis=1))
+    return (ABOVE + BELOW) * most >= ABOVE * (size[:, None] + size[None, :])
+
+
 def _needed(batches) -> Iterator:
     """(path, low, high, block, rep) of the sets that have a pair to compare in their group."""
     import pyarrow as pa
@@ -172,11 +196,14 @@ def _needed(batches) -> Iterator:
     for group in _groups(batches):
         if len(group) == 2:  # the usual case, without arrays
             a, b = group
-            if (a["low"] != a["high"] and a["block"] == b["block"]) or min(set(a["all_paths"]) & set(b["all_paths"])) != a["path"]:
+            low, high = sorted((a["size"], b["size"]))
+            if (ABOVE + BELOW) * low < ABOVE * (low + high) or (a["low"] != a["high"] and a["block"] == b["block"]):
+                continue
+            if min(set(a["all_paths"]) & set(b["all_paths"])) != a["path"] or not _may_link(group)[0, 1]:
                 continue
             some = group
         else:
-            some = [r for r, w in zip(group, _first_meeting(group).any(axis=1)) if w]
+            some = [r for r, w in zip(group, (_first_meeting(group) & _may_link(group)).any(axis=1)) if w]
         for r in some:
             for column, name in zip(out, names):
                 column.append(r[name])
@@ -273,30 +300,33 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: flo
     of a column of distinct longs, that column is returned too.
     """
     rows, classes = class_of_sets(df, doc_id, text, runs_for(recall), row)
-    start = rows.select("_row", "paths").join(classes.filter("_row = rep").select("_row"), "_row")
-    level = shared(start.select(F.explode("paths").alias("path"), F.col("_row").alias("rep")))
-    wanted = classes.filter("_row = rep").join(level.select("rep").distinct(), "rep").select("rep", "rep_id", "set", "copies")
-    sets = token_table(df, doc_id, text, materialise(wanted, "wanted"))
+    firsts = classes.filter("_row = rep").select("rep", "rep_id", "set", "copies")
+    start = rows.select(F.col("_row").alias("rep"), "paths").join(firsts.select("rep"), "rep")
+    level = shared(start.select(F.explode("paths").alias("path"), "rep"))
     final = level.filter(F.col("n") <= BUCKET)
-    for _ in range(LAST - FIRST):
+    for depth in range(FIRST, LAST):
         hot = level.filter(F.col("n") > BUCKET)
         if hot.isEmpty():
             break
+        if depth == FIRST:
+            sets = token_table(df, doc_id, text, materialise(firsts.join(hot.select("rep").distinct(), "rep"), "hot"))
         level = shared(deeper(hot, sets))
         final = final.union(level.filter(F.col("n") <= BUCKET))
     final = materialise(final.union(level.filter(F.col("n") > BUCKET)), "final")
 
     lists = materialise(final.groupBy("rep").agg(F.sort_array(F.collect_list("path")).alias("all_paths")), "lists")
     key = ["path", "low", "high"]
-    dealt = in_blocks(final).join(lists, "rep").repartition(*key).sortWithinPartitions(*key, "rep")
+    seen = lists.join(rows.select(F.col("_row").alias("rep"), "size", "counts"), "rep")
+    dealt = in_blocks(final).join(seen, "rep").repartition(*key).sortWithinPartitions(*key, "rep")
     needed = materialise(dealt.mapInArrow(_needed, "path long, low long, high long, block long, rep long"), "needed")
+    sets = token_table(df, doc_id, text, materialise(firsts.join(needed.select("rep").distinct(), "rep"), "wanted"))
     full = needed.join(sets.join(lists, "rep"), "rep").repartition(*key).sortWithinPartitions(*key, "rep")
     found = materialise(full.mapInArrow(_compare, "rep long, links long, root long"), "links")
 
     part = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     ids = classes.filter("_row = rep").select(F.col("rep").alias("node"), F.struct(F.col("rep_id").isNull().alias("void"), F.col("rep_id").alias("id"), F.col("rep").alias("row")).alias("_first"))
-    firsts = part.join(ids, "node").groupBy("root").agg(F.min("_first").alias("_first"))
-    linked = part.join(materialise(firsts, "firsts"), "root").select(F.col("node").alias("rep"), "_first")
+    lowest = part.join(ids, "node").groupBy("root").agg(F.min("_first").alias("_first"))
+    linked = part.join(materialise(lowest, "lowest"), "root").select(F.col("node").alias("rep"), "_first")
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = materialise(linked.join(total, "rep"), "linked")
     out = classes.join(of_rep, "rep", "left")
