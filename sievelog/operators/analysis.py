@@ -87,12 +87,14 @@ def performance_alerts(df: DataFrame, keys: list[str], ids: int = 10) -> DataFra
 
 
 def dominant_patterns(df: DataFrame, keys: list[str], n: int = 7) -> DataFrame:
-    """Fingerprints with most anomalies: count, mean severity, a sample message, a component."""
-    groups = df.filter(IS_ANOMALY).groupBy(*keys, F.substring("message_fingerprint", 1, 120).alias("fingerprint")).agg(
+    """Fingerprints with most anomalies: count, mean severity, a sample message, a component, and the fingerprint cut to
+    120 characters for show. Lines without a fingerprint form no pattern."""
+    named = df.filter(IS_ANOMALY).filter(F.coalesce("message_fingerprint", F.lit("")) != "")
+    groups = named.groupBy(*keys, F.col("message_fingerprint").alias("fingerprint")).agg(
         F.count(F.lit(1)).alias("count"), F.avg("severity_score").alias("mean_severity"),
         F.max("severity_score").alias("max_severity"), F.min_by(F.substring("msg", 1, 200), "log_id").alias("sample"),
         F.min_by("c", "log_id").alias("component"))
-    return top_n(groups, keys, [F.col("count").desc(), F.col("fingerprint")], n)
+    return top_n(groups, keys, [F.col("count").desc(), F.col("fingerprint")], n).withColumn("shown", F.substring("fingerprint", 1, 120))
 
 
 def feature_statistics(df: DataFrame, features: list[str], binary: list[str]) -> DataFrame:

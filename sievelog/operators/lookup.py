@@ -1,25 +1,21 @@
-"""Joins against a small side whose size is measured before it is broadcast."""
+"""Joins of an aggregate or dimension back to its facts."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
 
+def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a lookup back to its facts. Nothing runs and nothing is held while the plan is built: Spark broadcasts the
+    lookup when its measured bytes are below the session's limit, and else shuffles both sides and splits hot keys."""
+    return facts.join(lookup, on, how)
 
-def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "left",
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join an aggregate or dimension back to its facts.
 
-    The lookup is materialised once and counted. Up to `broadcast_rows` rows it is broadcast, so the
-    facts are not shuffled; above that the join shuffles both sides and AQE splits hot keys.
-    """
-    held = lookup.persist(StorageLevel.MEMORY_AND_DISK)
-    if held.count() <= broadcast_rows:
-        return facts.join(F.broadcast(held), on, how)
-    held.unpersist()
-    return facts.join(lookup, on, how)
+def null_safe(rows: DataFrame, links: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on keys of which null equals null; the keys stay once."""
+    named = links.select(*[F.col(k).alias(f"_on_{k}") for k in on], *[c for c in links.columns if c not in on])
+    same = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on]
+    return rows.join(named, same).drop(*[f"_on_{k}" for k in on])
 
 
 def with_count(df: DataFrame, key: list[str], name: str) -> DataFrame:

@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sievelog.operators.sequence import top_n
 
 
-def fields(df: DataFrame, json: str, depth: int = 3) -> DataFrame:
-    """One row per field occurrence: dotted path, type, text value. Objects are opened up to `depth` levels."""
+def fields(df: DataFrame, json: str, depth: int | None = None) -> DataFrame:
+    """One row per field occurrence: dotted path, type, text value. Objects are opened as deep as they go, or to `depth`
+    levels if given. No document nests deeper than it has opening braces, and the last level is found by looking."""
+    if depth is None:
+        braces = F.length(json) - F.length(F.replace(json, F.lit("{"), F.lit("")))
+        depth = max(df.agg(F.max(braces)).first()[0] or 1, 1)
     root = df.select(F.try_parse_json(json).alias("v")).filter("v is not null")
     level = root.select(F.lit("").alias("prefix"), "v")
     found = []
@@ -23,29 +27,33 @@ def fields(df: DataFrame, json: str, depth: int = 3) -> DataFrame:
                                    .when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number"))
         found.append(opened.select("path", "type", F.when(~F.col("type").isin("object", "array"), F.try_variant_get("v", "$", "string")).alias("value")))
         level = opened.filter("type = 'object'").select(F.concat("path", F.lit(".")).alias("prefix"), "v")
+        if len(found) < depth and level.isEmpty():
+            break
     return reduce(DataFrame.unionByName, found)
 
 
-def field_profile(df: DataFrame, json: str, depth: int = 3, examples: int = 3) -> DataFrame:
-    """Per path: occurrences, share of documents that have it, types, whether it mixes types, sample values."""
+def field_profile(df: DataFrame, json: str, depth: int | None = None, examples: int = 3) -> DataFrame:
+    """Per path: occurrences, share of documents that have it, types, the most frequent of them, whether it mixes types,
+    sample values."""
     found = fields(df, json, depth)
     total = df.agg(F.count(F.lit(1))).scalar()
     types = found.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
-    shape = types.groupBy("path").agg(F.sum("n").alias("count"), F.array_sort(F.collect_set("type")).alias("types"))
+    shape = types.groupBy("path").agg(F.sum("n").alias("count"), F.array_sort(F.collect_set("type")).alias("types"),
+                                     F.min_by("type", F.struct(-F.col("n"), "type")).alias("primary_type"))
     values = found.filter("value is not null").groupBy("path", "value").agg(F.count(F.lit(1)).alias("n"))
     best = top_n(values, ["path"], [F.col("n").desc(), F.col("value")], examples).groupBy("path").agg(
         F.array_sort(F.collect_list("value")).alias("examples"))
     out = shape.join(best, "path", "left").withColumn("total", total)
-    return out.select("path", "count", (F.col("count") / F.col("total")).alias("fill_rate"), "types", (F.size("types") > 1).alias("is_mixed"),
+    return out.select("path", "count", (F.col("count") / F.col("total")).alias("fill_rate"), "types", "primary_type", (F.size("types") > 1).alias("is_mixed"),
                       (F.col("count") / F.col("total") < 0.5).alias("is_sparse"), F.array_contains("types", "object").alias("is_nested"), "examples")
 
 
-def find_fields(profile: DataFrame, words: list[str]) -> DataFrame:
-    """Paths whose name or sample values hold one of the words."""
-    low = [w.lower() for w in words]
-    named = reduce(lambda a, b: a | b, [F.lower("path").contains(w) for w in low])
-    shown = F.exists(F.coalesce("examples", F.array().cast("array<string>")),
-                     lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in low]))
+def find_fields(profile: DataFrame, asked: str) -> DataFrame:
+    """Paths that a question is about: a word of the text is in the path's name, or one of its example values is in the
+    text."""
+    low = asked.lower()
+    named = reduce(lambda a, b: a | b, [F.lower("path").contains(w) for w in low.split()], F.lit(False))
+    shown = F.exists(F.coalesce("examples", F.array().cast("array<string>")), lambda x: (x != "") & F.lit(low).contains(F.lower(x)))
     return profile.filter(named | shown)
 
 

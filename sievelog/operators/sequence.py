@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievelog.functions.values import micros
+from sievelog.operators.lookup import null_safe
 
 CHUNK_MICROS = 5 * 60 * 1_000_000
 BLOCK_ROWS = 100_000
@@ -43,7 +44,7 @@ def with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, values: lis
                      *[F.last(f"_end_{n}", True).over(earlier).alias(f"_from_{n}") for n in latest]))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
     above = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = (rows.join(links, [*keys, "_chunk"]).withColumn("_pos", F.row_number().over(inside))
+    out = (null_safe(rows, links, [*keys, "_chunk"]).withColumn("_pos", F.row_number().over(inside))
            .withColumns({f"_lag_{v}": F.lag(v).over(inside) for v in values})
            .withColumns({f"_up_{n}": F.last(f"_e_{n}", True).over(above) for n in latest}))
     new = {"seq": (F.col("_before") + F.col("_pos")).cast("bigint")}
@@ -90,7 +91,7 @@ def trailing_sums(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Colum
                                           for n in names]))
     inside = (Window.partitionBy(*keys, "_chunk").orderBy("_at", "_mark")
               .rowsBetween(Window.unboundedPreceding, 0))
-    running = points.join(offsets, [*keys, "_chunk"]).select(
+    running = null_safe(points, offsets, [*keys, "_chunk"]).select(
         *keys, "_us", "_mark", *[(F.sum(n).over(inside) + F.col(f"_o_{n}")).alias(n) for n in names])
     return running.groupBy(*keys, "_us").agg(*[
         (F.max(F.when(F.col("_mark") == 0, F.col(n))) - F.max(F.when(F.col("_mark") == 1, F.col(n)))).alias(n)
@@ -106,7 +107,7 @@ def newest(df: DataFrame, keys: list[str], ts: str, tie: str, n: int,
     edges = (rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_newer", F.coalesce(F.sum("_n").over(back), F.lit(0)))
              .filter(F.col("_newer") < n))
-    kept = rows.join(edges, [*keys, "_chunk"])
+    kept = null_safe(rows, edges, [*keys, "_chunk"])
     whole = kept.filter(F.col("_newer") + F.col("_n") <= n)
     rank = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(F.col(ts).desc(), F.col(tie).desc()))
     partial = (kept.filter(F.col("_newer") + F.col("_n") > n).withColumn("_rank", rank)

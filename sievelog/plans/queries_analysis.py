@@ -99,14 +99,14 @@ def component_rates(spark, d):
     return A.component_rates(lines(spark, d), ["host"]).select("host", "c", "total_count", "anomaly_count", r6("anomaly_rate"))
 
 
-@query("g32_dominant_patterns", f"""{L}, g AS (SELECT host, substr(message_fingerprint, 1, 120) AS fingerprint, count(*) AS count,
+@query("g32_dominant_patterns", f"""{L}, g AS (SELECT host, message_fingerprint AS fingerprint, count(*) AS count,
  round(avg(severity_score), 6) AS mean_severity, round(max(severity_score), 6) AS max_severity,
- min_by(substr(msg, 1, 200), log_id) AS sample, min_by(c, log_id) AS component FROM lines WHERE {BAD} GROUP BY 1, 2),
+ min_by(substr(msg, 1, 200), log_id) AS sample, min_by(c, log_id) AS component FROM lines WHERE {BAD} AND message_fingerprint <> '' GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY count DESC, fingerprint) AS rn FROM g)
-SELECT host, fingerprint, count, mean_severity, max_severity, sample, component FROM r WHERE rn <= 7""")
+SELECT host, fingerprint, substr(fingerprint, 1, 120) AS shown, count, mean_severity, max_severity, sample, component FROM r WHERE rn <= 7""")
 def dominant_patterns(spark, d):
     return A.dominant_patterns(lines(spark, d), ["host"]).select(
-        "host", "fingerprint", "count", r6("mean_severity"), r6("max_severity"), "sample", "component")
+        "host", "fingerprint", "shown", "count", r6("mean_severity"), r6("max_severity"), "sample", "component")
 
 
 @query("g33_hotspots", f"""{L}, g AS (SELECT c, count(*) FILTER (WHERE {BAD}) AS anomaly_count, count(*) AS total_count,
@@ -213,11 +213,10 @@ def benign(spark, d):
 
 
 @query("k05_share_cap", f"""{L}, b AS (SELECT *, count(*) OVER (PARTITION BY host) AS total, row_number() OVER (PARTITION BY host,
- message_fingerprint ORDER BY severity_score DESC, log_id) AS fr FROM (SELECT *, row_number() OVER (PARTITION BY host
- ORDER BY severity_score DESC, log_id) AS rn FROM lines WHERE {BAD}) t WHERE rn <= 200)
+ message_fingerprint ORDER BY severity_score DESC, log_id) AS fr FROM lines WHERE {BAD})
 SELECT host, log_id FROM b WHERE fr <= greatest(3, floor(total * 15 / 100))""")
 def share_cap(spark, d):
-    return A.cap_share(top_n(lines(spark, d).filter(BAD), ["host"], A.by_severity(), 200), ["host"]).select("host", "log_id")
+    return A.cap_share(lines(spark, d).filter(BAD), ["host"]).select("host", "log_id")
 
 
 @query("w09_round_robin", f"""{L}, f AS (SELECT *, row_number() OVER (PARTITION BY host, message_fingerprint ORDER BY severity_score DESC, log_id) AS fr
@@ -227,25 +226,28 @@ def round_robin(spark, d):
     return A.diverse_by_rank(lines(spark, d).filter(BAD), ["host"], 40).select("host", "log_id")
 
 
-@query("w10_category_balance", f"""{L}, t AS (SELECT *, {O.ANOMALY_TYPE} AS kind FROM lines),
+@query("w10_category_balance", f"""{L}, t AS (SELECT *, CASE WHEN c <> '' THEN c ELSE {O.ANOMALY_TYPE} END AS kind FROM lines WHERE {BAD}),
 q AS (SELECT host, greatest(2, floor(75 / (count(DISTINCT kind) * 2))) AS quota FROM t GROUP BY host),
 f AS (SELECT t.*, quota, row_number() OVER (PARTITION BY t.host, kind ORDER BY severity_score DESC, log_id) AS kr FROM t JOIN q ON t.host = q.host),
 r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN kr > quota THEN 1 ELSE 0 END, severity_score DESC, log_id) AS rn FROM f)
 SELECT host, log_id, kind FROM r WHERE rn <= 75""")
 def category_balance(spark, d):
-    typed = lines(spark, d).withColumn("kind", X.anomaly_type(F.col("msg"), F.col("c"), F.col("s")))
+    typed = lines(spark, d).filter(BAD).withColumn("kind", F.when(F.col("c") != "", F.col("c")).otherwise(
+        X.anomaly_type(F.col("msg"), F.col("c"), F.col("s"))))
     return A.diverse_by_category(typed, ["host"], "kind", 75).select("host", "log_id", "kind")
 
 
 @query("p16_g39_chunks", f"""{L}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY severity_score DESC, log_id) AS rn
- FROM lines WHERE {BAD}) t WHERE rn <= 200),
+ FROM lines WHERE {BAD}) t),
 k AS (SELECT host, CAST((rn - 1) // 20 AS INTEGER) AS chunk, severity_score, c,
  CAST(contains(lower(msg), 'failed') AS INTEGER) + CAST(contains(lower(msg), 'severity') AS INTEGER) AS hits FROM b)
 SELECT host, chunk, round(least(CAST(100 AS DOUBLE), sum(hits) * 10 + count(*) FILTER (WHERE severity_score > 70) * 5 + count(DISTINCT c) * 2
- + max(10 - least(10, chunk)) + avg(severity_score) / 10), 6) AS relevance FROM k GROUP BY 1, 2""")
+ + max(10 - least(10, chunk)) + avg(severity_score) / 10), 6) AS relevance FROM k GROUP BY 1, 2
+ QUALIFY row_number() OVER (PARTITION BY host ORDER BY least(CAST(100 AS DOUBLE), sum(hits) * 10 + count(*) FILTER (WHERE severity_score > 70) * 5 + count(DISTINCT c) * 2
+ + max(10 - least(10, chunk)) + avg(severity_score) / 10) DESC, chunk) <= 50""")
 def chunk_relevance(spark, d):
-    best = top_n(lines(spark, d).filter(BAD), ["host"], A.by_severity(), 200)
-    return A.chunk_relevance(A.chunks(best, ["host"]), ["host"], ["failed", "severity"]).select(
+    bad = lines(spark, d).filter(BAD)
+    return A.chunk_relevance(A.chunks(bad, ["host"]), ["host"], ["failed", "severity"]).select(
         "host", "chunk", r6("relevance"))
 
 

@@ -26,7 +26,9 @@ _SERIES = {"anomaly_rate": "anomaly_rate", "anomaly_count": "n_anomalies", "coll
 SERIES_SQL = f"""{HISTORY_SQL}, cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts) AS i FROM history) t WHERE i <= {CUT}),
 long AS ({' UNION ALL '.join(f"SELECT host, ts, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM cut" for m, e in _SERIES.items())}),
 p AS (SELECT *, row_number() OVER (PARTITION BY host, metric ORDER BY ts) - 1 AS x, count(*) OVER (PARTITION BY host, metric) AS n FROM long),
-arr AS (SELECT host, metric, max(n) AS n, list(value ORDER BY ts) AS v FROM p GROUP BY 1, 2)"""
+arr AS (SELECT host, metric, max(n) AS n, list(value ORDER BY ts) AS v FROM p GROUP BY 1, 2),
+gaps AS (SELECT host, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY host ORDER BY ts)) AS DOUBLE) / 3600000000 AS h FROM cut),
+iv AS (SELECT host, COALESCE(avg(CASE WHEN h > 0 AND h < 168 THEN h END), CAST(0.5 AS DOUBLE)) AS interval_hours FROM gaps GROUP BY host)"""
 KEEP = list(_SERIES)
 
 
@@ -69,8 +71,7 @@ def robust_baseline(spark, d):
     return V.robust_baseline(arrays(spark, d), "v").select("host", "metric", r6("centre"), r6("spread"))
 
 
-@query("t07_mean_intervals", f"""WITH {SERIES_SQL}, g AS (SELECT host, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY host ORDER BY ts)) AS DOUBLE) / 3600000000 AS h FROM cut)
-SELECT host, round(COALESCE(avg(CASE WHEN h > 0 AND h < 168 THEN h END), CAST(0.5 AS DOUBLE)), 6) AS interval_hours FROM g GROUP BY host""")
+@query("t07_mean_intervals", f"""WITH {SERIES_SQL} SELECT host, round(interval_hours, 6) AS interval_hours FROM iv""")
 def mean_intervals(spark, d):
     return FC.mean_interval(cut_history(spark, d)).select("host", r6("interval_hours"))
 
@@ -94,7 +95,7 @@ def seasonality(spark, d):
 rg AS (SELECT host, metric, COALESCE(regr_slope(value, x), 0) AS slope, COALESCE(regr_intercept(value, x), avg(value)) AS icpt,
  CASE WHEN var_pop(value) = 0 THEN 0 ELSE regr_r2(value, x) END AS r2 FROM (SELECT host, metric, value, n, CASE WHEN n < 20 THEN x ELSE x - (n - greatest(10, n // 2)) END AS x FROM p) t WHERE x >= 0 GROUP BY 1, 2),
 ew AS (SELECT host, metric, list_reduce(v, lambda a, z: CAST(0.3 AS DOUBLE) * z + CAST(0.7 AS DOUBLE) * a) AS fast, list_reduce(v, lambda a, z: CAST(0.1 AS DOUBLE) * z + CAST(0.9 AS DOUBLE) * a) AS slow FROM arr),
-j AS (SELECT st.*, slope, icpt, r2, fast, fast - slow AS mom, CAST(6 AS DOUBLE) / 24 AS steps FROM st JOIN rg USING (host, metric) JOIN ew USING (host, metric))
+j AS (SELECT st.*, slope, icpt, r2, fast, fast - slow AS mom, 6 / interval_hours AS steps FROM st JOIN rg USING (host, metric) JOIN ew USING (host, metric) JOIN iv USING (host))
 SELECT host, metric, CASE WHEN n < 5 THEN 0 WHEN n < 10 THEN 1 WHEN n < 20 THEN 2 ELSE 3 END AS tier,
  round(CASE WHEN n < 5 THEN NULL WHEN n < 10 THEN greatest(0, cur + (cur - prev2) / 2 * steps) WHEN n < 20 THEN greatest(0, slope * (n - 1 + steps) + icpt)
   ELSE greatest(0, fast + slope * steps + mom * steps * 0.5) END, 5) AS forecast_value,
@@ -113,7 +114,7 @@ def forecasts(spark, d):
 
 @query("m14_fc05_intervals", f"""WITH {SERIES_SQL}, rg AS (SELECT host, metric, max(n) AS n, regr_slope(value, x) AS slope, regr_intercept(value, x) AS icpt, regr_sxx(value, x) AS sxx, avg(x) AS mx FROM p WHERE n >= 10 AND n < 20 GROUP BY 1, 2),
 e AS (SELECT p.host, p.metric, sqrt(sum((value - slope * x - icpt) * (value - slope * x - icpt)) / (max(rg.n) - 2)) AS se FROM p JOIN rg USING (host, metric) GROUP BY 1, 2),
-k AS (SELECT *, n - 1 + CAST(0.25 AS DOUBLE) AS fx FROM rg JOIN e USING (host, metric))
+k AS (SELECT *, n - 1 + 6 / interval_hours AS fx FROM rg JOIN e USING (host, metric) JOIN iv USING (host))
 SELECT host, metric, round(slope * fx + icpt + 2 * se * sqrt(1 + CAST(1 AS DOUBLE) / n + (fx - mx) * (fx - mx) / sxx), 5) AS upper_bound,
  round(greatest(0, slope * fx + icpt - 2 * se * sqrt(1 + CAST(1 AS DOUBLE) / n + (fx - mx) * (fx - mx) / sxx)), 5) AS lower_bound FROM k""")
 def intervals(spark, d):

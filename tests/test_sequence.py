@@ -74,7 +74,7 @@ def test_trim_oldest(df, frame):
 
 def test_lookup_above_the_broadcast_bound(df, frame):
     counts = df.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    joined = L.attach(df, counts, ["host"], broadcast_rows=1)
+    joined = L.attach(df, counts, ["host"])
     assert joined.count() == len(frame)
     assert L.attach(df, counts, ["host"]).agg(F.sum("n")).first()[0] == joined.agg(F.sum("n")).first()[0]
 
@@ -83,3 +83,12 @@ def test_lines_without_time_or_host_stay(spark):
     rows = spark.createDataFrame([(1, None, None, "c", "m", "I", "{}"), (2, datetime(2024, 1, 1), "h", "c", "m", "I", None)],
                                  "log_id int, ts timestamp, host string, c string, msg string, s string, attr string")
     assert FE.mongodb_features(rows).count() == 2
+
+
+def test_null_keys_keep_their_lines(spark):
+    rows = [(None if i % 3 else "a", datetime(2024, 1, 1, 0, i % 60), i, i) for i in range(120)]
+    df = spark.createDataFrame(rows, "host string, ts timestamp, log_id long, v long")
+    out = Q.with_previous(df, ["host"], "ts", "log_id", ["v"])
+    assert out.count() == 120 and out.filter("host IS NULL").agg({"seq": "max"}).first()[0] == 80
+    assert Q.newest(df, ["host"], "ts", "log_id", 50).count() == 90
+    assert Q.trailing_sums(df, ["host"], "ts", {"n": F.lit(1)}, 60_000_000).filter("host IS NULL").count() > 0
