@@ -45,11 +45,17 @@ def tumbling(spark, d):
     return land(J.tumbling_counts(logs(spark, d), ["host"]), "tumbling").select("host", V.micros(F.col("start")).alias("start_us"), "n")
 
 
-@query("st03_sliding", f"""{LOGS}, s AS (SELECT host, s, (epoch_us(ts) // 300000000 - k) * 300000000 AS start_us, ts FROM logs, (SELECT unnest([0, 1, 2]) AS k) t)
-SELECT host, start_us, count(*) AS lines, count(*) FILTER (WHERE s = 'E') AS errors FROM s WHERE start_us + 900000000 <= (SELECT max(epoch_us(ts)) FROM logs) - 3600000000 GROUP BY 1, 2""")
-def sliding(spark, d):
-    return land(J.sliding_counts(logs(spark, d), ["host"], {"errors": "s = 'E'"}), "sliding").select(
-        "host", V.micros(F.col("start")).alias("start_us"), "lines", "errors")
+def _sliding(name, minutes):
+    @query(name, f"""{LOGS}, s AS (SELECT host, s, (epoch_us(ts) // 300000000 - k) * 300000000 AS start_us, ts FROM logs, (SELECT unnest(range({minutes // 5})) AS k) t)
+SELECT host, start_us, count(*) AS lines, count(*) FILTER (WHERE s = 'E') AS errors FROM s WHERE start_us + {minutes * 60_000_000} <= (SELECT max(epoch_us(ts)) FROM logs) - 3600000000 GROUP BY 1, 2""")
+    def sliding(spark, d):
+        return land(J.sliding_counts(logs(spark, d), ["host"], {"errors": "s = 'E'"}, minutes), "sliding").select(
+            "host", V.micros(F.col("start")).alias("start_us"), "lines", "errors")
+
+
+_sliding("st03_sliding", 15)
+_sliding("st03_sliding_hour", 60)
+_sliding("st03_sliding_six_hours", 360)
 
 
 @query("st04_session_bursts", f"""{LOGS}, g AS (SELECT host, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host ORDER BY ts) < 600000000 THEN 0 ELSE 1 END AS brk FROM logs),
@@ -59,7 +65,16 @@ def session_bursts(spark, d):
     return land(J.bursts(logs(spark, d), ["host"], "10 minutes"), "bursts").select("host", V.micros(F.col("start")).alias("start_us"), "length")
 
 
-@query("st05_repeats")
+@query("st04_login_bursts", f"""{LOGS}, a AS (SELECT * FROM logs WHERE c = 'ACCESS'),
+g AS (SELECT host, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host ORDER BY ts) < 1000000 THEN 0 ELSE 1 END AS brk FROM a),
+i AS (SELECT host, us, sum(brk) OVER (PARTITION BY host ORDER BY us) AS sid FROM g), r AS (SELECT host, sid, min(us) AS start_us, max(us) AS last_us, count(*) AS length FROM i GROUP BY 1, 2)
+SELECT host, start_us, length FROM r WHERE last_us + 1000000 <= (SELECT max(epoch_us(ts)) FROM a) - 3600000000""")
+def login_bursts(spark, d):
+    logins = logs(spark, d).filter("c = 'ACCESS'")
+    return land(J.bursts(logins, ["host"]), "logins").select("host", V.micros(F.col("start")).alias("start_us"), "length")
+
+
+@query("st05_repeats", f"""{LOGS} SELECT host, count(DISTINCT msg) AS lines, count(DISTINCT msg) AS messages FROM logs GROUP BY host""")
 def repeats(spark, d):
     return land(J.without_repeats(logs(spark, d), ["host", "msg"]), "repeats").groupBy("host").agg(
         F.count(F.lit(1)).alias("lines"), F.count_distinct("msg").alias("messages"))
