@@ -19,7 +19,7 @@ from sievelog.llm.common import add_fields, per_batch, text_of
 #: The white-space mark of the piece vocabulary.
 MARK = "▁"
 #: Segments and pair tests that a Python worker remembers before it starts anew; results don't depend on them.
-REMEMBER = 800_000
+REMEMBER = 150_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 #: A pair of tokens as one key: left * _SPREAD + right, whose low bits depend on both.
 _SPREAD = 1_000_003

@@ -26,7 +26,7 @@ FACTORS, PASSES, STEP_ROWS, RATE, DECAY = 8, 30, 256, 0.05, 1e-4
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
 #: Words whose features a Python worker remembers.
-REMEMBER = 500_000
+REMEMBER = 100_000
 
 
 def buckets(word: str) -> list[int]:
