@@ -72,7 +72,33 @@ def joined_spans(spans, kept=None):
     return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-@query("op10_secrets")
+#: The kinds of secrets, their patterns, the group whose length counts, and its least length.
+_SECRETS = [
+    ("assign", """(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 36), ("github", "gh[opsur]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15), ("google", "AIza[0-9A-Za-z_-]+", 0, 39),
+]
+
+
+def _sql_secrets(k: int) -> str:
+    """Rows (doc_id, k, kind, a, b) of one kind: matches lie between the pieces that the pattern splits the text into."""
+    kind, pattern, group, least = _SECRETS[k]
+    return f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, a, a + length(m[i]) AS b FROM (
+        SELECT doc_id, m, g, i, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+        FROM (SELECT doc_id, m, g, parts, unnest(range(1, len(m) + 1)) AS i FROM (
+            SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS parts FROM d)))
+        WHERE length(g[i]) >= {least}"""
+
+
+@query("op10_secrets", f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    s AS ({" UNION ALL ".join(_sql_secrets(k) for k in range(len(_SECRETS)))}),
+    r AS (SELECT *, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) AS span FROM s)
+    SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+           sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (WHERE k < 3), '')) AS base_sha256,
+           coalesce(string_agg(span, ',' ORDER BY a, k), '') AS spans
+    FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, with a digest of the base kinds."""
     rows = op10.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
