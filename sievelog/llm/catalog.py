@@ -27,6 +27,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _sql_words(text: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
 @query("op1_sentencepiece")
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document as digests."""
@@ -108,11 +113,6 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                        joined_spans(F.col("secrets")).alias("spans"))
 
 
-def _sql_words(text: str) -> str:
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
-
 @query("op6_decontamination", f"""
     WITH d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
     b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_sql_words("text")} AS w FROM benchmark),
@@ -147,7 +147,19 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-@query("op8_jaccard_join")
+@query("op8_jaccard_join", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
+        SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y, c = p.n AND c = q.n AS same FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 9 * c >= 4 * (p.n + q.n)),
+    r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+    low AS (SELECT x, min(y) AS y FROM r GROUP BY 1),
+    own AS (SELECT x, count(*) AS n, min(y) FILTER (WHERE same) AS y FROM l GROUP BY 1)
+    SELECT d.doc_id, least(d.doc_id, coalesce(low.y, d.doc_id)) AS class_id, least(d.doc_id, coalesce(own.y, d.doc_id)) AS set_id,
+           coalesce(own.n, 0) AS n_links, least(d.doc_id, coalesce(low.y, d.doc_id)) = d.doc_id AS kept
+    FROM d LEFT JOIN low ON low.x = d.doc_id LEFT JOIN own ON own.x = d.doc_id""")
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a similarity of 0.8 of five-word shingles."""
     return op8.links(read(spark, sf_dir, "documents").select("doc_id", "text"))
