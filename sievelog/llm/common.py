@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 
 
 #: Rows that go to a Python worker at once: with texts of some kilobytes a batch stays at a few megabytes.
