@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from sievelog.llm.common import Words, mix, per_batch, salted_groups, shards, shingles, text_of
+from sievelog.llm.common import Words, mix, numbered, per_batch, salted_groups, shards, shingles, text_of
 from sievelog.sources.store import materialise
 
 #: Words of a shingle; least similarity as a fraction; target recall of a pair at that similarity.
@@ -336,8 +336,8 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: flo
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, with all columns of the input, which must come from files: a row is known by its place."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
-                     F.monotonically_increasing_id().alias("_place"))
+    """One row of each class, with all columns of the input, which is stored once with a number for each row."""
+    stored = numbered(df)
+    rows = stored.select(F.col(f"_all.{doc_id}").alias("doc_id"), F.col(f"_all.{text}").alias("text"), "_place")
     gone = links(rows, row="_place").filter(~F.col("kept")).select("_place")
-    return rows.join(materialise(gone, "gone"), "_place", "left_anti").select("_all.*")
+    return stored.join(materialise(gone, "gone"), "_place", "left_anti").select("_all.*")

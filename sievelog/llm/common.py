@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sievelog.sources.store import materialise
+
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
 SHARD_BYTES = 1 << 19
 
@@ -25,6 +27,13 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Stored: _all, the row as a struct, and _place, a number of its own. Numbers of a scan that is planned again may name
+    other rows, since file splits follow the cores registered then; stored ones don't."""
+    return materialise(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"),
+                                 F.monotonically_increasing_id().alias("_place")), "numbered")
+
+
 def add_fields(df: DataFrame, value: Column, names: list[str]) -> DataFrame:
     """Appends the fields of a struct column. Columns of the input with one of these names are replaced, whatever
     their case, so that a clash can't make the result ambiguous."""

@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sievelog.llm.common import add_fields, per_batch, salted_groups, text_of
+from sievelog.llm.common import add_fields, numbered, per_batch, salted_groups, text_of
 from sievelog.sources.store import materialise
 
 #: Two primes below 2**31; a fingerprint is both remainders and the length.
@@ -126,9 +126,9 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", primes: tup
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of the input. The input is read twice and must come from files, whose rows
-    keep their places, so that a row is known by its place and ids may repeat."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
-                     F.monotonically_increasing_id().alias("_place"))
+    """The rows that stay, with all columns of the input. The input is stored once with a number for each row, which the
+    decision and the last join both read: ids may repeat, and how files are split may change in between."""
+    stored = numbered(df)
+    rows = stored.select(F.col(f"_all.{doc_id}").alias("doc_id"), F.col(f"_all.{text}").alias("text"), "_place")
     gone = dedup(rows, row="_place").filter(~F.col("kept")).select("_place")
-    return rows.join(materialise(gone, "gone"), "_place", "left_anti").select("_all.*")
+    return stored.join(materialise(gone, "gone"), "_place", "left_anti").select("_all.*")

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -70,6 +71,24 @@ def test_first_copies_keep_other_columns(spark, tmp_path):
     assert df.columns == ["doc_id", "text", "_place"] and sorted((r[0], r[1]) for r in df.collect()) == [(1, "a"), (1, "b")]
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep_first, chosen_path.keep_one])
+def test_kept_rows_hold_when_splits_move(spark, tmp_path, keep):
+    """The splits of the input are others when the result is read than when it was decided."""
+    rows = [(i, f"some words of text number {i % 30} and more") for i in range(60)]
+    spark.createDataFrame(rows, SCHEMA).repartition(12, "doc_id").write.parquet(str(tmp_path / "d"))
+    name, before = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    least = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        df = keep(spark.read.parquet(str(tmp_path / "d")))
+        spark.conf.set("spark.sql.files.minPartitionNum", "12")
+        spark.conf.set(name, "1g")
+        assert sorted(r["doc_id"] for r in df.collect()) == list(range(30))
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.files.minPartitionNum", least) if least else spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def check_links(spark, rows):
     got = chosen_path.links(spark.createDataFrame(rows, SCHEMA).withColumn("links", F.lit(1)).repartition(3)).collect()
     pairs = brute.links([t for _, t in rows])
