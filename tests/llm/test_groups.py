@@ -146,6 +146,22 @@ def test_runs_reach_the_recall():
     assert met >= 298
 
 
+def test_no_pair_is_lost_on_the_longest_paths():
+    """Sets of a similarity of 0.8, one inside the other, whose common paths all go on to the end."""
+    pick, runs, lost = np.random.default_rng(7), chosen_path.runs_for(), 0
+    for _ in range(6000):
+        big = np.unique(pick.integers(1, 2 ** 63, 40).astype(np.uint64))
+        shared = np.intersect1d(chosen_path.first_paths(big, runs), chosen_path.first_paths(big[:32], runs))
+        for _ in range(chosen_path.FIRST, chosen_path.LAST):
+            shared = np.intersect1d(chosen_path.extend(shared, big)[1], chosen_path.extend(shared, big[:32])[1])
+        lost += not len(shared)
+    assert lost == 0
+    meet = 1.0
+    for _ in range(chosen_path.LAST):
+        meet = 1 - np.exp(-0.8 / chosen_path.SPLIT * meet)
+    assert 5000 * 4999 / 2 * (1 - meet) ** runs < 1  # all pairs of a group of 5000
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in chosen_path.components(edges).collect()}
