@@ -217,28 +217,38 @@ def drift_report(predicted: DataFrame, trained_ratio: Column, drifted: DataFrame
 
 # ---- importance ----
 
-def permutation_importance(matrix: DataFrame, nodes: DataFrame, features: list[str], rows: int = 5000, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Mean fall of the score when one feature is shuffled, over a fixed sample of each host, against the largest.
-    One task per (host, feature): the sample is bounded, so are its copies."""
-    order = F.xxhash64("host", "log_id", F.lit(seed))
-    sample = top_n(matrix.withColumn("_o", order), ["host"], [F.col("_o"), F.col("log_id")], rows).drop("_o")
-    names = F.array(*map(F.lit, features))
-    left = sample.withColumn("shuffled", F.explode(names)).groupBy("host", "shuffled")
-    right = nodes.withColumn("shuffled", F.explode(names)).groupBy("host", "shuffled")
+def permutation_importance(matrix: DataFrame, nodes: DataFrame, features: list[str], rows: int | None = None, repeats: int = 10, seed: int = 42,
+                           slice_rows: int = 20_000) -> DataFrame:
+    """Mean fall of the score when one feature is shuffled, over all rows of each host (or a fixed sample of `rows`, if
+    asked), against the largest. A host's rows are split by id hash into slices of about `slice_rows`, as in `score`;
+    features are shuffled inside a slice, and the falls of all rows of the host are averaged."""
+    if rows:
+        order = F.xxhash64("host", "log_id", F.lit(seed))
+        matrix = top_n(matrix.withColumn("_o", order), ["host"], [F.col("_o"), F.col("log_id")], rows).drop("_o")
+    sizes = matrix.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias("slices"))
+    dealt = attach(matrix, sizes, ["host"], "inner").withColumn("slice", F.pmod(F.xxhash64("log_id", F.lit(seed)), F.col("slices")).cast("int"))
+    copies = attach(nodes, sizes, ["host"], "inner").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
 
     def run(key, pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"host": [], "feature": [], "fall": [], "n": []}
         if pdf.empty or trees.empty:
-            return pd.DataFrame({"host": [], "feature": [], "raw": []})
+            return pd.DataFrame(out)
         x = pdf.sort_values("log_id")[features].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), zlib.crc32(str(key[1]).encode())])
-        base, j, drops = _scores(x, trees).mean(), features.index(key[1]), []
-        for _ in range(repeats):
-            moved = x.copy()
-            moved[:, j] = rng.permutation(moved[:, j])
-            drops.append(base - _scores(moved, trees).mean())
-        return pd.DataFrame({"host": [key[0]], "feature": [key[1]], "raw": [float(np.mean(drops))]})
-
-    raw = left.cogroup(right).applyInPandas(run, "host string, feature string, raw double")
+        base = _scores(x, trees).sum()
+        for j, name in enumerate(features):
+            rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), zlib.crc32(name.encode()), int(key[1])])
+            falls, moved = [], x.copy()
+            for _ in range(repeats):
+                moved[:, j] = rng.permutation(x[:, j])
+                falls.append(base - _scores(moved, trees).sum())
+            for column, value in zip(out.values(), (key[0], name, float(np.mean(falls)), len(x))):
+                column.append(value)
+        return pd.DataFrame(out)
+
+    model_cols = ["host", "slice", "tree", "node", "feature", "threshold", "left", "right", "path", "samples"]
+    falls = dealt.select("host", "slice", "log_id", *features).groupBy("host", "slice").cogroup(
+        copies.select(*model_cols).groupBy("host", "slice")).applyInPandas(run, "host string, feature string, fall double, n long")
+    raw = falls.groupBy("host", "feature").agg((F.sum("fall") / F.sum("n")).alias("raw"))
     best = F.max("raw").over(Window.partitionBy("host"))
     return raw.withColumn("importance", F.when(best > 0, F.col("raw") / best).otherwise(F.col("raw"))).withColumn(
         "grade", F.when(F.col("importance") < 0.01, "dead").when(F.col("importance") < 0.05, "low").otherwise("useful"))

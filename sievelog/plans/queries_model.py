@@ -40,7 +40,7 @@ def training_plan(spark, d):
     return FO.plan(rows).select("host", "rows", "sample_size", r6("contamination"), "status")
 
 
-TREES, SAMPLES = 60, 256
+TREES, SAMPLES = 300, 512
 
 
 def _fitted(spark, d):
@@ -66,8 +66,8 @@ def forest_predictions(spark, d):
 @query("e06_global_fallback")
 def global_fallback(spark, d):
     m = matrix(spark, d)
-    own = FO.fit(m.filter("host = 'N'"), FEATURES, 20, 128)
-    nodes = materialise(own.unionByName(FO.fit_global(m, FEATURES, trees=20, samples=128)), "forest")
+    own = FO.fit(m.filter("host = 'N'"), FEATURES, TREES, SAMPLES)
+    nodes = materialise(own.unionByName(FO.fit_global(m, FEATURES, trees=TREES, samples=SAMPLES)), "forest")
     return FO.score(m, nodes, FEATURES, 25_000).groupBy("host").agg(
         F.count(F.lit(1)).alias("rows"), F.count("anomaly_score").alias("scored"), r6("mean_score", F.avg("anomaly_score")))
 
@@ -79,7 +79,7 @@ def ensemble(spark, d):
     votes, rows = None, []
     for batch in range(3):
         part = m.filter(F.pmod(F.col("log_id"), F.lit(3)) == batch)
-        nodes = materialise(FO.fit(part, FEATURES, 20, 128, seed=42 + batch), "forest")
+        nodes = materialise(FO.fit(part, FEATURES, TREES, SAMPLES, seed=42 + batch), "forest")
         scored = FO.score(m, nodes, FEATURES, 25_000)
         scored = materialise(scored, "scores")
         member = FO.predict(scored, FO.thresholds(scored, FO.plan(m))).withColumn("member", F.lit(batch))
@@ -113,8 +113,8 @@ def drift_report(spark, d):
 @query("e23_e24_importance")
 def importance(spark, d):
     m = matrix(spark, d)
-    nodes = materialise(FO.fit(m, FEATURES, 20, 128), "forest")
-    out = FO.permutation_importance(m, nodes, FEATURES, rows=2000, repeats=3)
+    nodes = materialise(FO.fit(m, FEATURES, TREES, SAMPLES), "forest")
+    out = FO.permutation_importance(m, nodes, FEATURES)
     return out.select("host", "feature", r6("importance"), "grade")
 
 
@@ -122,8 +122,8 @@ def importance(spark, d):
 def feature_selection(spark, d):
     m = matrix(spark, d)
     small = FEATURES[:3]
-    a = materialise(FO.score(m, FO.fit(m, FEATURES, 20, 128), FEATURES, 25_000), "scores")
-    b = materialise(FO.score(m, FO.fit(m, small, 20, 128), small, 25_000), "scores")
+    a = materialise(FO.score(m, FO.fit(m, FEATURES, TREES, SAMPLES), FEATURES, 25_000), "scores")
+    b = materialise(FO.score(m, FO.fit(m, small, TREES, SAMPLES), small, 25_000), "scores")
     return E.tail_agreement(a, b).select("tail_a", "tail_b", "shared", r6("consistency"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from sievelog.operators import forest as FO
 
 FEATURES = ["a", "b", "c"]
@@ -78,6 +79,31 @@ def test_importance_finds_the_informative_feature(spark):
     assert set(out) == set(FEATURES) and out["b"] == out["c"]
 
 
+def test_importance_reads_all_rows(spark):
+    """A feature that varies only outside of the 5000 rows with the smallest hashes."""
+    ids = spark.range(6000).select(F.lit("h").alias("host"), F.col("id").alias("log_id")).withColumn("o", F.xxhash64("host", "log_id", F.lit(42)))
+    late = {r["log_id"] for r in ids.orderBy(F.desc("o")).limit(1000).collect()}
+    rng = np.random.default_rng(2)
+    rows = [("h", i, float(rng.normal()), float(rng.normal()) if i in late else 0.0, 1.0) for i in range(6000)]
+    m = spark.createDataFrame(rows, "host string, log_id bigint, a double, b double, c double")
+    nodes = FO.fit(m, FEATURES, 20, 256).cache()
+    for more in ({}, {"slice_rows": 1000}):
+        raw = {r["feature"]: r["raw"] for r in FO.permutation_importance(m, nodes, FEATURES, repeats=3, **more).collect()}
+        assert set(raw) == set(FEATURES) and abs(raw["b"]) > 1e-6 and raw["c"] == 0
+    nodes.unpersist()
+
+
+def test_queries_use_whole_forests_and_all_rows(spark, monkeypatch):
+    grown, asked = [], []
+    fit = FO.fit
+    monkeypatch.setattr(FO, "fit", lambda m, f, *a, **k: grown.append((*a, *[k[x] for x in ("trees", "samples") if x in k])) or fit(m, f, 2, 64))
+    real = FO.permutation_importance
+    monkeypatch.setattr(FO, "permutation_importance", lambda m, n, f, *a, **k: asked.append((a, k)) or real(m, n, f, 100, 1))
+    for name in ("e02_forest_nodes", "e04_forest_predictions", "e06_global_fallback", "e07_e08_ensemble", "e23_e24_importance", "e25_feature_selection"):
+        queries()[name](spark, "/root/testdata/sf0.001")
+    assert set(grown) == {(300, 512)} and asked == [((), {})]
+
+
 def test_ensemble_vote(spark):
     votes = spark.createDataFrame([("h", 1, m, p, s) for m, p, s in ((0, -1, -0.9), (1, 1, -0.3), (2, 1, -0.3))], "host string, log_id int, member int, prediction int, anomaly_score double")
     weights = spark.createDataFrame([("h", 0, 0.6), ("h", 1, 0.2), ("h", 2, 0.2)], "host string, member int, weight double")
