@@ -162,13 +162,13 @@ def _joined(by_item: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, i
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
     """The items in blocks of about `size` bytes each, cut by a hash of the id; only one block is held at a time by the
-    caller's loop when it iterates. An item without words matches nothing."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), text_of(text).alias("text")).filter("id is not null")
+    caller's loop when it iterates. An item without words matches nothing; one without an id is dealt by its text."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), text_of(text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // size) + 1
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()
-        yield sorted((r["id"], r["text"]) for r in rows)
+        rows = items.filter(F.pmod(F.xxhash64(F.coalesce("id", "text")), F.lit(parts)) == part).collect()
+        yield sorted(((r["id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
 def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", **columns) -> DataFrame:
@@ -215,11 +215,11 @@ def covered(spans: Column) -> Column:
 
 
 def judge(df: DataFrame, benchmark: DataFrame, text: str = "text", **columns) -> DataFrame:
-    """`matches` with n_hit (words inside any window's occurrence), items (sorted ids with occurring windows) and
-    contaminated (n_hit > 0 and SHARE * n_hit >= n_words)."""
+    """`matches` with n_hit (words inside any window's occurrence), items (sorted ids with occurring windows; a null id counts in
+    n_hit only) and contaminated (n_hit > 0 and SHARE * n_hit >= n_words)."""
     rows = matches(df, benchmark, text, **columns)
     rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("n_hit", "items", "contaminated")])
-    rows = rows.withColumns({"n_hit": covered(F.col("matches")), "items": F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))})
+    rows = rows.withColumns({"n_hit": covered(F.col("matches")), "items": F.array_sort(F.array_distinct(F.array_compact(F.transform("matches", lambda m: m["item_id"]))))})
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -191,3 +191,14 @@ def test_longest_match_goes_beyond_a_window(spark):
     bench = spark.createDataFrame([("7", item)], "item_id string, text string")
     row = suffix_arrays.matches(frame(spark, ["x " + item + " y"]), bench).first()
     assert [(m["start"], m["end"], m["longest"]) for m in row["matches"]] == [(1, 41, 40)]
+
+
+def test_items_without_an_id_count_and_blocks_are_several(spark):
+    item = [" ".join(f"{x}{i}" for i in range(20)) for x in "abc"]
+    bench = spark.createDataFrame([("7", item[0]), (None, item[1]), (None, item[2])], "item_id string, text string")
+    assert len(list(suffix_arrays.blocks(bench, size=50))) > 1
+    texts = ["x " + item[0], item[1] + " y", item[2] + " " + item[0], "z"]
+    for more in ({}, {"size": 50}):
+        got = {r["doc_id"]: (r["n_hit"], list(r["items"]), r["contaminated"]) for r in suffix_arrays.judge(frame(spark, texts), bench, **more).collect()}
+        assert got == {0: (20, ["7"], True), 1: (20, [], True), 2: (40, ["7"], True), 3: (0, [], False)}
+        assert [r["doc_id"] for r in suffix_arrays.remove(frame(spark, texts), bench, **more).collect()] == [3]
