@@ -35,7 +35,7 @@ def event_props_profile(spark, d):
 
 @query("a14_found_fields", f"""{FIELDS_SQL} SELECT path, n AS count FROM p WHERE contains(lower(path), 'plan') OR contains(lower(path), 'code') OR contains(lower(path), 'micros')""")
 def found_fields(spark, d):
-    profile = PR.field_profile(views.mongo_logs(spark, d), "attr", examples=1).withColumn("examples", F.array().cast("array<string>"))
+    profile = PR.field_profile(views.mongo_logs(spark, d), "attr", examples=1)
     return PR.find_fields(profile, "plan code micros").select("path", "count")
 
 

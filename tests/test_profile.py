@@ -23,3 +23,11 @@ def test_long_fingerprints_stay_apart(spark):
     df = spark.createDataFrame(rows, "host string, log_id long, message_fingerprint string, msg string, c string, severity_score double")
     out = A.dominant_patterns(df.withColumn("prediction", F.lit(-1)), ["host"]).collect()
     assert [r["count"] for r in out] == [4, 4] and {len(r["shown"]) for r in out} == {120}
+
+
+def test_found_fields_are_searched_with_examples(spark, monkeypatch):
+    from sievelog.plans import queries_misc as Q
+    seen, real = [], Q.PR.find_fields
+    monkeypatch.setattr(Q.PR, "find_fields", lambda profile, asked: seen.append(profile.filter("size(examples) > 0").count()) or real(profile, asked))
+    Q.found_fields(spark, "/root/testdata/sf0.001")
+    assert seen[0] > 0
