@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, personal as op4, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
+from sievelog.llm import automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, personal as op4, phrase_automata as op11, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
 from sievelog.llm.common import held_out, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +175,22 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                        joined_spans(F.col("all_spans")).alias("spans"))
 
 
+@query("op11_repeated_passages", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 19], ' ')) AS a, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (
+        SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY a, g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r),
+    l AS (SELECT doc_id, list(i) AS cut FROM c GROUP BY 1)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(cut), 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(array_to_string(CASE WHEN cut IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(cut, i)) END, ' '), '')) AS kept_sha256
+    FROM d LEFT JOIN l ON l.doc_id = d.doc_id""")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when windows of 20 words stay only where they come first."""
+    rows = op11.strip(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

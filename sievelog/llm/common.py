@@ -89,6 +89,10 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, dtype=np.int8)
 _WORD[48:58] = _WORD[97:123] = 1
 _WORD[128:] = 1
+#: Byte tables for `Words`: no case folding, and words that lie between white space.
+BYTES = np.arange(256, dtype=np.uint8)
+SPACED = np.ones(256, dtype=np.int8)
+SPACED[[9, 10, 11, 12, 13, 32]] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -112,16 +116,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def polynomial(values: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hashes of slices of 64-bit values, mixed with their lengths."""
+    run = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power(_BASE, len(values)), out=run[1:])
+    return mix((run[after] - run[first]) * _power(_BACK, len(values) + 1)[first] + (after - first).astype(np.uint64))
+
+
 class Words:
     """Words of a run of texts, found and hashed with array operations.
 
-    A word is a maximal run of digits, letters a-z (A-Z are lower-cased) and characters beyond ASCII. `hash` holds one
-    64-bit polynomial hash a word, `bounds[i]:bounds[i + 1]` are the words of text i, `start` and `end` their bytes.
+    A word is a maximal run of digits, letters a-z (A-Z are lower-cased) and characters beyond ASCII, or what the byte
+    tables `fold` and `word` say. `hash` holds one 64-bit polynomial hash a word, `bounds[i]:bounds[i + 1]` are the words of
+    text i, `start` and `end` their bytes.
     """
 
-    def __init__(self, texts: list[bytes]):
-        blob = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
-        edge = np.diff(_WORD[blob], prepend=np.int8(0))
+    def __init__(self, texts: list[bytes], fold: np.ndarray = _LOWER, word: np.ndarray = _WORD):
+        blob = fold[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
+        edge = np.diff(word[blob], prepend=np.int8(0))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         run = np.zeros(len(blob) + 1, dtype=np.uint64)
         np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(blob)), out=run[1:])
