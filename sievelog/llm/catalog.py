@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, personal as op4, phrase_automata as op11, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
+from sievelog.llm import alignment as op12, automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, personal as op4, phrase_automata as op11, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
 from sievelog.llm.common import held_out, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +191,12 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query("op12_alignment")
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the ids of two tokenizers over all documents."""
+    return op12.align(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
