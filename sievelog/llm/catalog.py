@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from sievelog.llm import alignment as op12, automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, personal as op4, phrase_automata as op11, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
+from sievelog.llm import alignment as op12, automaton as op10, chosen_path as op8, exact_dedup as op5, html as op3, language as op2, lexical_search as op13, personal as op4, phrase_automata as op11, sentencepiece as op1, suffix_arrays as op6, toxicity as op7, warc as op9
 from sievelog.llm.common import held_out, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,23 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.align(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op13_lexical_search", f"""
+    WITH d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+    s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+    b AS (SELECT item_id, unnest(list_distinct({_sql_words("text")})) AS t FROM benchmark),
+    f AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+    g AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+    p AS (SELECT doc_id, f.t, CAST(floor(1000 * ln(CAST(2 * s.n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+                 * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * f.n * s.n) // s.l)))) AS part
+          FROM f JOIN g ON g.t = f.t, s WHERE f.t IN (SELECT t FROM b)),
+    r AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM b JOIN p ON p.t = b.t GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER best AS INT) AS rank, doc_id, score FROM r WHERE score > 0
+    WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10""")
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return op13.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
