@@ -5,29 +5,25 @@ in its group on both sides has the same bytes on both, so an identity map, made
 side's id: such links are counted in vectors of the vocabulary's length, one a task. Only links that the identity map does
 not give are shuffled as pairs.
 
-Both tokenizers cut a text before a space that follows a character other than white space, so these pieces of a text are
-aligned on their own, and a worker remembers those it has seen.
+Texts are encoded whole; their tokens are aligned a batch at a time, with array operations over the ends of tokens.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from sievelog.llm.common import text_of
+from sievelog.llm.common import shards, text_of
 from sievelog.llm.sentencepiece import MARK, tokenizer_path
 from sievelog.sources.store import materialise
 
-#: Pieces that a Python worker remembers before it starts anew, and their longest length; results don't depend on them.
-REMEMBER, LONGEST = 100_000, 48
 #: Pairs that a task counts before it sends what it has.
 PAIRS = 200_000
-_PIECES = re.compile(r"(?<=\S)(?= )")
 
 
 def _byte_of() -> dict[str, int]:
@@ -38,96 +34,93 @@ def _byte_of() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers with the bytes of their ids. `same[a]` is the id of the other side with the bytes of `a`, or -1."""
+    """Both tokenizers with the bytes of their ids. `same[a]` is the id of the other side with the bytes of `a`, or -1.
+
+    The left file is a byte-level BPE whose ids follow its merges, so that ids are ranks and any encoder by ranks gives the
+    file's own result; strings of its special tokens are plain text. The right file is a sentencepiece model."""
 
     def __init__(self, left: str, right: str):
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.left = Tokenizer.from_file(tokenizer_path(left))
-        self.left.encode_special_tokens = True
-        self.right = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(right))
-        byte_of, r = _byte_of(), self.right
-        size = self.left.get_vocab_size(with_added_tokens=True)
-        special = self.left.get_added_tokens_decoder()
-        shown = [self.left.id_to_token(i) or "" for i in range(size)]
-        self.left_bytes = [t.encode() if i in special else bytes(byte_of[c] for c in t) for i, t in enumerate(shown)]
+        import tiktoken
+        byte_of = _byte_of()
+        with open(tokenizer_path(left), encoding="utf-8") as f:
+            model = json.load(f)
+        vocab, special = model["model"]["vocab"], {t["content"] for t in model["added_tokens"]}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+        made = [vocab[a + b] for a, b in merges]
+        if model["pre_tokenizer"]["type"] != "ByteLevel" or made != sorted(made):
+            raise ValueError("a byte-level vocabulary numbered by its merges is needed")
+        self.left = tiktoken.Encoding(left, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.left_bytes = [b""] * (max(vocab.values()) + 1)
+        for raw, i in ranks.items():
+            self.left_bytes[i] = raw
+        self.right = r = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(right))
         pieces = [r.id_to_piece(i) for i in range(r.get_piece_size())]
         self.right_bytes = [b"" if r.is_control(i) else bytes([int(p[3:5], 16)]) if r.is_byte(i) else p.replace(MARK, " ").encode()
                             for i, p in enumerate(pieces)]
-        self.space = r.piece_to_id(MARK)
         # a byte piece gives way to the plain piece with the same bytes
         by_bytes = {b: i for i, b in enumerate(self.right_bytes) if b and r.is_byte(i)}
         by_bytes |= {b: i for i, b in enumerate(self.right_bytes) if b and not r.is_byte(i) and not r.is_unknown(i)}
         self.same = np.array([by_bytes.get(b, -1) for b in self.left_bytes], dtype=np.int64)
-        self._same = self.same.tolist()
-        self._seen: dict[str, tuple | None] = {}
-
-    def _right(self, piece: str) -> list[int]:
-        """Ids of a piece that starts with a space, which the library adds itself."""
-        return self.right.encode(piece[1:]) if len(piece) > 1 else [self.space]
-
-    def align(self, piece: str) -> tuple | None:
-        """(ids on the left, on the right, groups, groups as text, identity ids, other links) of a piece; None where the
-        tokens' bytes are not the piece's."""
-        a, b = self.left.encode(piece, add_special_tokens=False).ids, self._right(piece)
-        raw = piece.encode()
-        left, right = [self.left_bytes[i] for i in a], [self.right_bytes[i] for i in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return None
-        shown, same, other, groups = [], [], [], 0
-        i = j = at_a = at_b = 0
-        first_a = first_b = 0
-        links: list[tuple[int, int]] = []
-        while i < len(a):
-            end_a, end_b = at_a + len(left[i]), at_b + len(right[j])
-            links.append((a[i], b[j]))  # the two current tokens overlap
-            if end_a == end_b:
-                i, j, at_a, at_b = i + 1, j + 1, end_a, end_b
-                shown.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                if i - first_a == 1 and j - first_b == 1 and self._same[links[0][0]] == links[0][1]:
-                    same.append(links[0][0])
-                else:
-                    other += links
-                groups, links, first_a, first_b = groups + 1, [], i, j
-            elif end_a < end_b:
-                i, at_a = i + 1, end_a
-            else:
-                j, at_b = j + 1, end_b
-        return len(a), len(b), groups, ";".join(shown), same, other
-
-    def _found(self, piece: str) -> tuple | None:
-        out = self.align(piece)
-        if len(piece) <= LONGEST:
-            if len(self._seen) >= REMEMBER:
-                self._seen.clear()
-            self._seen[piece] = out
-        return out
-
-    def text(self, text: str) -> tuple[int, int, int, str, Counter, Counter] | None:
-        """(ids on the left, on the right, groups, digest of the groups, identity ids, other links) of a whole text, or
-        None if it has no tokens."""
+        self._size = [np.array([len(b) for b in side], dtype=np.int64) for side in (self.left_bytes, self.right_bytes)]
+        # ids as text after each mark that can stand before them
+        most = max(len(self.left_bytes), len(self.right_bytes))
+        self._shown = [mark + str(i) for mark in ("", ",", "|", ";") for i in range(most)]
+        self._most = most
+
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids on both sides; None for a text without tokens."""
         if not text:
             return None
-        seen, missing = self._seen, object()
-        digest, n_a, n_b, n_groups = hashlib.sha256(), 0, 0, 0
-        same: Counter = Counter()
-        other: Counter = Counter()
-        pieces = _PIECES.split(" " + text)
-        found = {}
-        for p in set(pieces):
-            out = seen.get(p, missing)
-            out = found[p] = self._found(p) if out is missing else out
-            if out is None:
-                return None
-        for p, n in Counter(pieces).items():
-            a, b, groups, _, own, links = found[p]
-            n_a, n_b, n_groups = n_a + n * a, n_b + n * b, n_groups + n * groups
-            for t in own:
-                same[t] += n
-            for t in links:
-                other[t] += n
-        digest.update(";".join([found[p][3] for p in pieces]).encode())
-        return n_a, n_b, n_groups, digest.hexdigest(), same, other
+        a, b = self.left.encode_ordinary(" " + text), self.right.encode(text)
+        raw, left, right = (" " + text).encode(), self.left_bytes, self.right_bytes
+        if b"".join([left[i] for i in a]) != raw or b"".join([right[i] for i in b]) != raw:
+            return None
+        return a, b
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], tuple[np.ndarray, ...]]:
+        """For each text ids on the left, on the right, groups, and the digest of its groups; and the distinct links of each
+        text as arrays (text, left id, right id, how often)."""
+        both = [self.encode(t) for t in texts]
+        sides = [[x[k] if x else [] for x in both] for k in (0, 1)]
+        count = [np.array([len(x) for x in side], dtype=np.int64) for side in sides]
+        ids = [np.array([i for x in side for i in x], dtype=np.int64) for side in sides]
+        end = [np.cumsum(size[i]) for size, i in zip(self._size, ids)]
+        text = [np.repeat(np.arange(len(texts)), n) for n in count]
+        if not len(ids[0]):
+            none = np.zeros(0, dtype=np.int64)
+            return *count, np.zeros(len(texts), dtype=np.int64), [""] * len(texts), (none,) * 4
+        ends = np.zeros((2, end[0][-1] + 1), dtype=bool)  # by side: whether a token ends at a byte
+        ends[0, end[0]] = ends[1, end[1]] = True
+        closes = [ends[1, end[0]], ends[0, end[1]]]  # whether a group ends with a token
+        group = [np.cumsum(c) - c for c in closes]
+        groups = np.bincount(text[0][closes[0]], minlength=len(texts))
+
+        # a link for each place where a token of either side ends
+        at = np.flatnonzero(ends[0] | ends[1])
+        place = [np.searchsorted(e, at) for e in end]
+        key = (text[0][place[0]] * self._most + ids[0][place[0]]) * self._most + ids[1][place[1]]
+        key, n = np.unique(key, return_counts=True)
+        links = key // self._most ** 2, key // self._most % self._most, key % self._most, n
+
+        # left ids of a group stand before its right ones, each with its mark
+        total = int(group[0][-1]) + 1
+        before = [np.concatenate(([0], np.cumsum(np.bincount(g, minlength=total)))) for g in group]
+        slot = [np.arange(len(ids[0])) + before[1][group[0]], np.arange(len(ids[1])) + before[0][group[1] + 1]]
+        new = [np.diff(g, prepend=-1) > 0 for g in group]
+        mark = [np.where(new[0], 3, 1), np.where(new[1], 2, 1)]
+        mark[0][(np.cumsum(count[0]) - count[0])[count[0] > 0]] = 0  # no mark before a text's first id
+        shown = np.empty(len(ids[0]) + len(ids[1]), dtype=np.int64)
+        for k in (0, 1):
+            shown[slot[k]] = mark[k] * self._most + ids[k]
+        parts = [self._shown[i] for i in shown.tolist()]
+        digests, done = [], 0
+        for n in (count[0] + count[1]).tolist():
+            digests.append(hashlib.sha256("".join(parts[done:done + n]).encode()).hexdigest() if n else "")
+            done += n
+        return *count, groups, digests, links
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -147,30 +140,29 @@ def encode(df: DataFrame, left: str, right: str, doc_id: str = "doc_id", text: s
     """One row per input row: the id, n_a, n_b, n_groups, groups_sha256, ids that the identity map links (with how often), and
     all other links. A link of the identity map's pair inside a larger group counts as one of its links."""
     import pyarrow as pa
-    same_type = pa.struct([("a", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
-    other_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
+
+    def lists(text: np.ndarray, rows: int, *columns: np.ndarray) -> pa.ListArray:
+        """The entries of each text, which are sorted by text, as one list a text."""
+        offsets = pa.array(np.searchsorted(text, np.arange(rows + 1)), pa.int32())
+        fields = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64())[-len(columns):])]
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["a", "b", "n"][:len(columns) - 1] + ["n"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(left, right)
         for batch in batches:
-            rows = []
-            for t in batch.column(1).to_pylist():
-                got = both.text(t)
-                if got is None:
-                    rows.append((0, 0, 0, "", {"a": [], "n": []}, []))
-                    continue
-                n_a, n_b, n_groups, digest, same, other = got
-                for a, b in [x for x in other if both._same[x[0]] == x[1]]:
-                    same[a] += other.pop((a, b))
-                rows.append((n_a, n_b, n_groups, digest, {"a": list(same), "n": list(same.values())}, [{"a": a, "b": b, "n": n} for (a, b), n in other.items()]))
-            cols = zip(*rows) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (
-                pa.int64(), pa.int64(), pa.int64(), pa.string(), same_type, other_type))]], names)
-
-    names = ["_id", "n_a", "n_b", "n_groups", "groups_sha256", "same", "other"]
+            texts, done = batch.column(1).to_pylist(), []
+            for start, part in shards([t.encode() for t in texts]):
+                *counts, digests, (text, a, b, n) = both.align(texts[start:start + len(part)])
+                same = both.same[a] == b
+                done.append([*map(pa.array, counts), pa.array(digests, pa.string()), lists(text[same], len(part), a[same], n[same]),
+                             lists(text[~same], len(part), a[~same], b[~same], n[~same])])
+            if done:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.concat_arrays(c) for c in zip(*done)]],
+                                                 ["_id", "n_a", "n_b", "n_groups", "groups_sha256", "same", "other"])
+
     docs = df.select(F.col(doc_id).alias("_id"), text_of(text).alias("_text"))
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, same struct<a:array<int>,n:array<int>>, other {_LINKS}")
+    return docs.mapInArrow(run, f"_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, same array<struct<a:int,n:bigint>>, other {_LINKS}")
 
 
 def identity_counts(encoded: DataFrame, size: int) -> np.ndarray:
@@ -181,12 +173,12 @@ def identity_counts(encoded: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=size)
+            total += np.bincount(batch.column(0).flatten().field("a").to_numpy(), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["a", "n"])
 
     out = np.zeros(size, dtype=np.int64)
-    for a, n in encoded.select("same.a").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n")).collect():
+    for a, n in encoded.select("same").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n")).collect():
         out[a] = n
     return out
 
@@ -242,8 +234,8 @@ def align(df: DataFrame, left: str = "byte_bpe_50k.json", right: str = "piece_bp
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, most = held.value, top.value
         for batch in batches:
-            lists, weights = batch.column(1), batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
+            ids, weights = (lists.flatten().field(c).to_numpy() for c in ("a", "n"))
             row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
             sums = [np.zeros(len(lists), dtype=np.int64) for _ in range(3)]
             for total, each in zip(sums, (weights, weights * (count[ids] == most[ids]), weights * count[ids])):
@@ -251,7 +243,7 @@ def align(df: DataFrame, left: str = "byte_bpe_50k.json", right: str = "piece_bp
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums)], ["_row", "n_links", "n_best", "count_sum"])
 
     tops = spark.createDataFrame(list(enumerate(best.tolist())), "a int, most long")
-    same = encoded.select("_row", "same.a", "same.n").mapInArrow(totals, "_row long, n_links long, n_best long, count_sum long")
+    same = encoded.select("_row", "same").mapInArrow(totals, "_row long, n_links long, n_best long, count_sum long")
     links = encoded.select("_row", F.explode("other").alias("_l")).select("_row", "_l.*")
     met = links.join(pairs, ["a", "b"]).join(F.broadcast(tops), "a")
     other = met.select("_row", F.col("n").alias("n_links"), F.when(F.col("count") == F.col("most"), F.col("n")).otherwise(0).alias("n_best"),
