@@ -46,8 +46,13 @@ class Runs:
         if n < window:
             self.at = self.first = self.last = self.doc = np.zeros(0, dtype=np.int64)
             self.anchor = self.run = np.zeros(0, dtype=np.uint64)
+            self.loops = np.zeros(0, dtype=bool)
             return
-        least, wide = self._horner(np.arange(n - gram + 1), gram, np.uint64(0xD6E8FEB86659FD93)), 1
+        grams, wide = self._horner(np.arange(n - gram + 1), gram, np.uint64(0xD6E8FEB86659FD93)), 1
+        twice = np.zeros(len(grams) + 1, dtype=np.int64)  # before each gram: how many stand again soon after
+        for step in range(1, window - gram + 1):
+            twice[1:-step] += grams[:-step] == grams[step:]
+        least = grams
         while 2 * wide <= window - gram + 1:
             least, wide = np.minimum(least[:len(least) - wide], least[wide:]), 2 * wide
         rest = window - gram + 1 - wide
@@ -60,6 +65,10 @@ class Runs:
         self.last = np.append(self.first[1:], len(self.at)) - 1
         self.doc = self.of[self.at[self.first]]
         self.run = polynomial(words.hash, self.at[self.first], self.at[self.last] + window)
+        # runs in which a window may stand again: a gram does so, or they are longer than one gram can be the smallest of
+        twice = np.cumsum(twice)
+        near = twice[self.at[self.last] + window - gram + 1] > twice[self.at[self.first]]
+        self.loops = near | (self.last - self.first > window - gram)
 
     def _horner(self, at: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
         out = np.zeros(len(at), dtype=np.uint64)
@@ -73,16 +82,19 @@ class Runs:
         return (self._horner(at, self.window, np.uint64(0x9FB21C651E98DF25)), self._horner(at, self.window, np.uint64(0xA0761D6478BD642F)))
 
     def repeats(self) -> np.ndarray:
-        """Whether a window stands earlier in its own text too."""
-        if not len(self.at):
-            return np.zeros(0, dtype=bool)
-        a, _ = self.hashes(np.arange(len(self.at)))
-        doc = self.of[self.at]
-        order = np.lexsort((a, doc))  # stable: equal windows stay in the order of the text
-        same = np.zeros(len(a), dtype=bool)
-        same[1:] = (a[order][1:] == a[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-        out = np.empty(len(a), dtype=bool)
-        out[order] = same
+        """Whether a window stands earlier in its own text too. Equal windows have equal anchors, so they lie in runs of one
+        anchor, or in one run that loops."""
+        out = np.zeros(len(self.at), dtype=bool)
+        if not len(out):
+            return out
+        anchor, some = self.anchor[self.first], self.loops.copy()
+        order = np.lexsort((anchor, self.doc))
+        twin = (np.diff(anchor[order]) == 0) & (np.diff(self.doc[order]) == 0)
+        some[order[1:][twin]] = some[order[:-1][twin]] = True
+        which = np.flatnonzero(np.repeat(some, self.last - self.first + 1))
+        key, doc = self._horner(self.at[which], self.window, np.uint64(0x9FB21C651E98DF25)), self.of[self.at[which]]
+        order = np.lexsort((key, doc))  # stable: equal windows stay in the order of the text
+        out[which[order[1:]]] = (np.diff(key[order]) == 0) & (np.diff(doc[order]) == 0)
         return out
 
 
@@ -167,23 +179,19 @@ def _first_holders(lists, size: int, things: np.ndarray, doc: np.ndarray) -> np.
     return out
 
 
-class _Alphabet(dict):
-    """Words as characters, numbered as they come; surrogates are left out."""
-
-    def __missing__(self, word: bytes) -> str:
-        n = len(self) + 1
-        self[word] = out = chr(n if n < 0xD800 else n + 0x800)
-        return out
-
-
 def _occurrences(words: list[bytes], flagged: np.ndarray, known: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Every place in a shard's words where a confirmed window stands, with the smallest id known to hold the window.
 
     `flagged` are the first words of confirmed windows and `known` such ids (the document's own id for a window that stands
     earlier in the same text); equal windows are one phrase of the automaton."""
     import ahocorasick
-    alphabet = _Alphabet()
-    text = "".join([alphabet[w] for w in words])
+    covered = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(covered, flagged, 1)
+    np.add.at(covered, flagged + window, -1)
+    # words of confirmed windows as characters from 1 on, without surrogates; any other word is the character 0
+    known_words = dict.fromkeys(compress(words, np.cumsum(covered[:-1]) > 0))
+    letter = {w: chr(i if i < 0xD800 else i + 0x800) for i, w in enumerate(known_words, 1)}.get
+    text = "".join([letter(w, "\0") for w in words])
     holder: dict[str, int] = {}
     for at, first in zip(flagged.tolist(), known.tolist()):
         phrase = text[at:at + window]
