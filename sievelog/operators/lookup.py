@@ -11,11 +11,11 @@ def attach(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "left"
     return facts.join(lookup, on, how)
 
 
-def null_safe(rows: DataFrame, links: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join on keys of which null equals null; the keys stay once."""
+def null_safe(rows: DataFrame, links: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; the keys stay once."""
     named = links.select(*[F.col(k).alias(f"_on_{k}") for k in on], *[c for c in links.columns if c not in on])
     same = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on]
-    return rows.join(named, same).drop(*[f"_on_{k}" for k in on])
+    return rows.join(named, same, how).drop(*[f"_on_{k}" for k in on])
 
 
 def with_count(df: DataFrame, key: list[str], name: str) -> DataFrame:

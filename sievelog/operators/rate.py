@@ -6,14 +6,22 @@ Two map-side combined passes: newest and oldest line per host, then every counte
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievelog.functions.values import micros
-from sievelog.operators.lookup import attach
+from sievelog.operators.lookup import attach, null_safe
 from sievelog.operators.sequence import top_n
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 MINUTE = 60_000_000
 
 
@@ -137,14 +145,75 @@ def samples(df: DataFrame, events: list[Event], windows=WINDOWS, message: str =
         F.transform(F.array_sort(F.collect_list(F.struct("ts", "log_id", "m"))), lambda x: x["m"]).alias("samples"))
 
 
-def cooldown(alerts: DataFrame, keys: list[str], ts: str, minutes: int = 30) -> DataFrame:
-    """Keeps an alert when the last kept one of its key is at least the cooldown ago.
+#: A cooldown's chunk is so many cooldowns wide.
+SPAN = 64
+
+
+def _next(t: np.ndarray, far: int) -> np.ndarray:
+    """For sorted times, the number of the first one at least `far` later."""
+    return np.searchsorted(t, t + far)
+
+
+def cooldown(alerts: DataFrame, keys: list[str], ts: str, minutes: int = 30, span: int = SPAN) -> DataFrame:
+    """Rows (keys, kept_us): an alert is kept when the last kept one of its key is at least the cooldown ago.
 
-    The kept alert depends on the one kept before, a recurrence; it runs over the sorted times of one key, which
-    are evaluations at a fixed cadence (a few thousand in a retention), not log lines.
+    The kept alert depends on the one kept before, a recurrence. Times are cut into chunks of `span` cooldowns. What a
+    chunk does to the last kept time before it is a step function over the alerts in its first cooldown, found for each
+    chunk on its own; one pass over these steps, a small part of the alerts, hands the last kept time from chunk to
+    chunk; then each chunk keeps its alerts on its own. Alerts without a time are never kept; times repeat once.
     """
-    times = alerts.groupBy(*keys).agg(F.array_sort(F.collect_set(micros(F.col(ts)))).alias("_t"))
-    far = F.lit(minutes * MINUTE)
-    kept = F.aggregate("_t", F.array().cast("array<bigint>"), lambda acc, t: F.when(
-        (F.size(acc) == 0) | (t - F.element_at(acc, -1) >= far), F.array_append(acc, t)).otherwise(acc))
-    return times.select(*keys, F.explode(kept).alias("kept_us"))
+    far = minutes * MINUTE
+    wide, piece, kinds = far * span, [*keys, "_chunk"], dict(alerts.dtypes)
+    shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    times = alerts.select(*keys, micros(F.col(ts)).alias("_us")).filter("_us is not null").distinct().withColumn(
+        "_chunk", F.floor(F.col("_us") / F.lit(wide)))
+
+    def steps(rows: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(rows["_us"].to_numpy())
+        at = np.arange(len(t))
+        end = np.where(_next(t, far) < len(t), _next(t, far), at)
+        while (end[end] != end).any():
+            end = end[end]
+        first = np.searchsorted(t, rows["_chunk"].iloc[0] * wide + far) + 1  # whatever came before, one of these is next
+        until, after = t[:first], t[end[:first]]
+        edge = np.append(after[1:] != after[:-1], True)
+        return rows.iloc[:1][piece].assign(until=[until[edge]], after=[after[edge]])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        key, last = None, None
+        for batch in batches:
+            came = []
+            for r in batch.to_pylist():
+                here = tuple(r[k] for k in keys)
+                key, last = here, last if here == key else None
+                came.append(last)
+                i = 0 if last is None else bisect_left(r["until"], last + far)
+                if i < len(r["until"]):
+                    last = r["after"][i]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(piece)], pa.array(came, pa.int64())], [*piece, "_last"])
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_us")
+        t, last = rows["_us"].to_numpy(), rows["_last"].iloc[0]
+        after, i, kept = _next(t, far), np.searchsorted(t, last + far), []
+        while i < len(t):
+            kept.append(i)
+            i = after[i]
+        return rows.iloc[kept][[*keys, "_us"]]
+
+    found = times.groupBy(*piece).applyInPandas(steps, f"{shape}, _chunk bigint, until array<bigint>, after array<bigint>")
+    handed = found.repartition(*keys).sortWithinPartitions(*piece).mapInArrow(walk, f"{shape}, _chunk bigint, _last bigint")
+    known = null_safe(times, handed.withColumn("_last", F.coalesce("_last", F.lit(-2**62))), piece)
+    return known.groupBy(*piece).applyInPandas(keep, f"{shape}, _us bigint").withColumnRenamed("_us", "kept_us")
+
+
+def cooled(alerts: DataFrame, ts: str = "ts", minutes: int = 30) -> DataFrame:
+    """Alerts (host, event, window, ts, severity) of a series of evaluations as they are sent: those in the cooldown of their
+    (host, event, window) go first, and only then an event in two windows of one evaluation counts as persistent."""
+    key = ["host", "event", "window"]
+    kept = cooldown(alerts, key, ts, minutes).withColumnRenamed("kept_us", "_us")
+    sent = null_safe(alerts.withColumn("_us", micros(F.col(ts))), kept, [*key, "_us"])
+    several = sent.groupBy("host", "event", "_us").agg(F.count_distinct("window").alias("windows_hit"))
+    out = null_safe(sent, several, ["host", "event", "_us"]).drop("_us")
+    return out.withColumn("severity", F.when(F.col("windows_hit") >= 2, "CRITICAL").otherwise(F.col("severity")))

@@ -1,8 +1,9 @@
 """Ordered operators over very long per-key sequences.
 
 A host can hold a third of all lines, so no window here is partitioned by host alone. Lines are cut into
-(key, time chunk) pieces; what a piece needs from earlier pieces (row count, last row, running sums) comes
-from a summary with one row per piece.
+(key, time chunk, slot) pieces; what a piece needs from earlier pieces (row count, last row, running sums) comes
+from a summary with one row per piece. Chunks have a fixed width in time; a chunk with more lines than a piece may hold
+is split at its quantiles, so pieces are bounded also where all lines of a host fall into one second.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from sievelog.operators.lookup import null_safe
 
 CHUNK_MICROS = 5 * 60 * 1_000_000
 BLOCK_ROWS = 100_000
+#: Lines of a piece, and the most slots a chunk is split into (a power of two).
+PIECE_ROWS, SLOTS = 500_000, 1024
 
 
 def _chunked(df: DataFrame, ts: str, chunk_micros: int) -> DataFrame:
@@ -22,29 +25,66 @@ def _chunked(df: DataFrame, ts: str, chunk_micros: int) -> DataFrame:
     return df.withColumn("_chunk", F.coalesce(chunk, F.lit(2**62)))
 
 
+def pieces(df: DataFrame, keys: list[str], ts: str, tie: str, chunk_micros: int = CHUNK_MICROS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Adds `_chunk` and `_slot`: pieces in the order of (ts, tie), of about `piece_rows` lines at most.
+
+    Only chunks with more lines look further: quantiles of their lines' places (time within the chunk, then tie within the
+    chunk's range of ties) by one sketch a chunk, and each line's place among those cuts. A tie that is no integer does
+    not split lines of one time. Equal places stay together, and a chunk has SLOTS slots at most.
+    """
+    rows = _chunked(df, ts, chunk_micros)
+    whole = dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(tie).cast("bigint") if whole else F.lit(0).cast("bigint")
+    narrow = rows.select(*keys, "_chunk", F.col(ts).alias("_ts"), number.alias("_tie"))
+    heavy = (narrow.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.min("_tie").alias("_low"), F.max("_tie").alias("_high"))
+             .filter(F.col("_n") > piece_rows))
+
+    def place(time, order):
+        """Time in the chunk above the tie's share of its range, as one number of 62 bits at most."""
+        bits = 62 - chunk_micros.bit_length()
+        span = F.col("_high").cast("double") - F.col("_low") + 1
+        return (F.coalesce(F.pmod(micros(time), F.lit(chunk_micros)), F.lit(0)) * F.lit(1 << bits)
+                + F.least(F.floor((order.cast("double") - F.col("_low")) / span * float(1 << bits)), F.lit((1 << bits) - 1)))
+
+    parts = [i / SLOTS for i in range(1, SLOTS)]
+    cuts = (null_safe(narrow, heavy, [*keys, "_chunk"]).groupBy(*keys, "_chunk")
+            .agg(F.percentile_approx(place(F.col("_ts"), F.col("_tie")), parts, 10 * SLOTS).alias("_cuts"), F.first("_n").alias("_n"),
+                 F.first("_low").alias("_low"), F.first("_high").alias("_high")))
+    told = null_safe(rows, cuts, [*keys, "_chunk"], "left")
+    # the number of cuts at or below a line, by halving; a piece takes as many slots as fill it
+    steps = F.array(*[F.lit(SLOTS >> k) for k in range(1, SLOTS.bit_length())])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col("_place"), at + step).otherwise(at))
+    slot = F.floor(below * F.ceil(2 * F.col("_n") / F.lit(piece_rows)) / F.lit(SLOTS))
+    return (told.withColumn("_place", F.when(F.col("_cuts").isNotNull(), place(F.col(ts), number)))
+            .withColumn("_slot", F.when(F.col("_cuts").isNull(), 0).otherwise(slot).cast("int"))
+            .drop("_place", "_cuts", "_n", "_low", "_high"))
+
+
 def with_previous(df: DataFrame, keys: list[str], ts: str, tie: str, values: list[str],
-                  latest: dict[str, Column] | None = None, chunk_micros: int = CHUNK_MICROS) -> DataFrame:
+                  latest: dict[str, Column] | None = None, chunk_micros: int = CHUNK_MICROS,
+                  piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Adds `seq` (1-based position inside the key), `prev_<value>` of the line before, and for every entry of
     `latest` the newest non-null value of that expression on any earlier line.
 
-    One shuffle of the lines, on (key, chunk); the summary that links chunks has one row per chunk and reads
+    One shuffle of the lines, on their piece; the summary that links pieces has one row per piece and reads
     only the columns it needs.
     """
     latest = latest or {}
-    rows = _chunked(df, ts, chunk_micros).withColumns({f"_e_{n}": e for n, e in latest.items()})
+    piece = [*keys, "_chunk", "_slot"]
+    rows = pieces(df, keys, ts, tie, chunk_micros, piece_rows).withColumns({f"_e_{n}": e for n, e in latest.items()})
     order = F.struct(ts, tie)
-    by_key = Window.partitionBy(*keys).orderBy("_chunk")
+    by_key = Window.partitionBy(*keys).orderBy("_chunk", "_slot")
     earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
     ends = [F.max_by(F.struct(*values), order).alias("_last")] if values else []
     ends += [F.max_by(f"_e_{n}", F.when(F.col(f"_e_{n}").isNotNull(), order)).alias(f"_end_{n}") for n in latest]
-    links = (rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"), *ends)
-             .select(*keys, "_chunk",
+    links = (rows.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"), *ends)
+             .select(*piece,
                      F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("bigint").alias("_before"),
                      *([F.lag("_last").over(by_key).alias("_carry")] if values else []),
                      *[F.last(f"_end_{n}", True).over(earlier).alias(f"_from_{n}") for n in latest]))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
+    inside = Window.partitionBy(*piece).orderBy(ts, tie)
     above = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = (null_safe(rows, links, [*keys, "_chunk"]).withColumn("_pos", F.row_number().over(inside))
+    out = (null_safe(rows, links, piece).withColumn("_pos", F.row_number().over(inside))
            .withColumns({f"_lag_{v}": F.lag(v).over(inside) for v in values})
            .withColumns({f"_up_{n}": F.last(f"_e_{n}", True).over(above) for n in latest}))
     new = {"seq": (F.col("_before") + F.col("_pos")).cast("bigint")}
@@ -99,20 +139,22 @@ def trailing_sums(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Colum
 
 
 def newest(df: DataFrame, keys: list[str], ts: str, tie: str, n: int,
-           chunk_micros: int = CHUNK_MICROS) -> DataFrame:
-    """The newest n rows of every key, for large n: rows per chunk give the chunk in which the n-th newest row
-    lies; newer chunks pass whole, only that one chunk is ranked."""
-    rows = _chunked(df, ts, chunk_micros)
-    back = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    edges = (rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+           chunk_micros: int = CHUNK_MICROS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """The newest n rows of every key, for large n: rows per piece give the piece in which the n-th newest row
+    lies; newer pieces pass whole, only that one piece is ranked. Lines without a time count as the newest."""
+    piece = [*keys, "_chunk", "_slot"]
+    rows = pieces(df, keys, ts, tie, chunk_micros, piece_rows)
+    back = (Window.partitionBy(*keys).orderBy(F.col("_chunk").desc(), F.col("_slot").desc())
+            .rowsBetween(Window.unboundedPreceding, -1))
+    edges = (rows.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_newer", F.coalesce(F.sum("_n").over(back), F.lit(0)))
              .filter(F.col("_newer") < n))
-    kept = null_safe(rows, edges, [*keys, "_chunk"])
+    kept = null_safe(rows, edges, piece)
     whole = kept.filter(F.col("_newer") + F.col("_n") <= n)
-    rank = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(F.col(ts).desc(), F.col(tie).desc()))
+    rank = F.row_number().over(Window.partitionBy(*piece).orderBy(F.col(ts).desc(), F.col(tie).desc()))
     partial = (kept.filter(F.col("_newer") + F.col("_n") > n).withColumn("_rank", rank)
                .filter(F.col("_rank") <= n - F.col("_newer")).drop("_rank"))
-    return whole.unionByName(partial).drop("_chunk", "_n", "_newer")
+    return whole.unionByName(partial).drop("_chunk", "_slot", "_n", "_newer")
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelog.functions import values as V
 from sievelog.operators import analysis as A, history as H, rate as RT, trend as T
+from sievelog.operators.sequence import trailing_sums
 from sievelog.plans import oracle as O
 from sievelog.plans.queries_analysis import BAD, LINES_SQL, lines, r6
 from sievelog.plans.registry import query
@@ -263,6 +264,28 @@ def cooldown(spark, d):
     return RT.cooldown(evaluations, ["host"], "ts", 720)
 
 
+#: Errors in the trailing window at which an evaluation alerts.
+_ALERT_AT = {"short": 1, "medium": 2, "long": 3}
+
+
+@query("r07_r08_cooled_alerts", f"""WITH RECURSIVE e AS (SELECT user_id % 8 AS host, (epoch_us(ts) // 300000000) * 300000000 AS t, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2),
+a AS ({" UNION ALL ".join(f"SELECT host, '{w}' AS win, t, n, c FROM (SELECT host, t, n, sum(n) OVER (PARTITION BY host ORDER BY t RANGE BETWEEN {m * RT.MINUTE - 1} PRECEDING AND CURRENT ROW) AS c FROM e) x WHERE c >= {_ALERT_AT[w]}" for w, m in RT.WINDOWS)}),
+r AS (SELECT host, win, min(t) AS t FROM a GROUP BY ALL
+ UNION ALL SELECT r.host, r.win, (SELECT min(a.t) FROM a WHERE a.host = r.host AND a.win = r.win AND a.t >= r.t + 10800000000) FROM r WHERE r.t IS NOT NULL),
+k AS (SELECT a.host, a.win, a.t, a.c FROM a JOIN r ON a.host = r.host AND a.win = r.win AND a.t = r.t)
+SELECT host, win AS "window", t AS at_us, CAST(c AS BIGINT) AS count, count(*) OVER (PARTITION BY host, t) AS windows_hit,
+ CASE WHEN count(*) OVER (PARTITION BY host, t) >= 2 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM k""")
+def cooled_alerts(spark, d):
+    e = table(spark, d, "events").filter("event_type = 'error'").select(
+        (F.col("user_id") % 8).alias("host"), F.timestamp_micros(V.time_slice(F.col("ts"), 5)).alias("ts"))
+    one = {"count": F.lit(1).cast("bigint")}
+    found = [trailing_sums(e, ["host"], "ts", one, m * RT.MINUTE).filter(F.col("count") >= _ALERT_AT[w]).withColumn("window", F.lit(w))
+             for w, m in RT.WINDOWS]
+    alerts = found[0].unionByName(found[1]).unionByName(found[2]).select(
+        "host", F.lit("error").alias("event"), "window", F.timestamp_micros("_us").alias("ts"), "count", F.lit("WARNING").alias("severity"))
+    return RT.cooled(alerts, minutes=180).select("host", "window", V.micros(F.col("ts")).alias("at_us"), "count", "windows_hit", "severity")
+
+
 # ---- dashboards over prediction alerts derived from the history ----
 
 ALERTS_SQL = f"""{HISTORY_SQL}, alerts AS (SELECT host, ts, src AS alert_source, CASE WHEN v > 10 THEN 'CRITICAL' WHEN v > 7 THEN 'WARNING' WHEN v > 5 THEN 'INFO' ELSE 'OK' END AS max_severity, v > 5 AS has_alerts

@@ -17,12 +17,16 @@ def matrix(spark):
     rows += [("hot", 10_000 + i, 9.0 + i, -9.0, 9.0) for i in range(10)]
     rows += [("small", i, *map(float, rng.normal(size=3))) for i in range(300)]
     rows += [("tiny", i, 0.0, 0.0, 0.0) for i in range(10)]
-    return spark.createDataFrame(rows, "host string, log_id bigint, a double, b double, c double").cache()
+    held = spark.createDataFrame(rows, "host string, log_id bigint, a double, b double, c double").cache()
+    yield held
+    held.unpersist()
 
 
 @pytest.fixture(scope="module")
 def nodes(matrix):
-    return FO.fit(matrix, FEATURES, trees=40, samples=128).cache()
+    held = FO.fit(matrix, FEATURES, trees=40, samples=128).cache()
+    yield held
+    held.unpersist()
 
 
 def scores(df):
@@ -68,6 +72,7 @@ def test_contamination(matrix, nodes):
     scored = FO.score(matrix, nodes, FEATURES).cache()
     out = FO.predict(scored, FO.thresholds(scored, FO.plan(matrix)))
     share = {r["host"]: r["p"] for r in out.groupBy("host").agg(F.avg((F.col("prediction") == -1).cast("int")).alias("p")).collect()}
+    scored.unpersist()
     assert abs(share["hot"] - 0.05) < 0.01 and abs(share["small"] - 0.10) < 0.02
 
 

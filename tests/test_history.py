@@ -124,3 +124,49 @@ def test_convergence_raises_risk(spark):
     rows = [("a", "trend", "INFO", True), ("a", "rate", "INFO", True), ("b", "trend", "INFO", True), ("c", "trend", "INFO", True), ("c", "rate", "INFO", True), ("c", "forecast", "OK", True)]
     out = H.combined_insight(spark.createDataFrame(rows, "host string, alert_source string, max_severity string, has_alerts boolean"))
     assert {r["host"]: r["risk_level"] for r in out.collect()} == {"a": "WARNING", "b": "INFO", "c": "CRITICAL"}
+
+
+# ---- cooldown ----
+
+def kept_one_by_one(times, far):
+    out, last = [], None
+    for t in sorted(set(times)):
+        if last is None or t - last >= far:
+            out.append(t)
+            last = t
+    return out
+
+
+@pytest.mark.parametrize("span", [1, 2, 64])
+def test_cooldown_against_one_by_one(spark, span):
+    import random
+    rnd, far, times = random.Random(span), 30 * 60_000_000, {}
+    for key in ("a", "b", None, "steady", "far", "exact"):
+        step = {"steady": lambda: 60_000_000, "far": lambda: rnd.randint(1, 20) * far, "exact": lambda: far}.get(key, lambda: rnd.choice([1, 7_000_000, 400_000_000, far, 3 * far]))
+        t, times[key] = 1_704_067_200_000_000, []
+        for _ in range(400):
+            t += step()
+            times[key].append(t)
+    rows = [(k, t) for k, v in times.items() for t in v for _ in range(2)] + [("a", None), ("lost", None)]
+    df = spark.createDataFrame(rows, "k string, us bigint").select("k", F.timestamp_micros("us").alias("ts")).repartition(5)
+    got = sorted((r["k"] or "", r["kept_us"]) for r in RT.cooldown(df, ["k"], "ts", span=span).collect())
+    assert got == sorted((k or "", t) for k, v in times.items() for t in kept_one_by_one(v, far))
+    assert RT.cooldown(df.limit(0), ["k"], "ts").count() == 0
+
+
+def test_cooldown_of_a_million_times_of_one_key(spark):
+    df = spark.range(1_000_000, numPartitions=8).select(F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * 61_000_000).alias("ts"))
+    got = sorted(r["kept_us"] for r in RT.cooldown(df, ["k"], "ts").collect())
+    assert got == [i * 61_000_000 for i in range(0, 1_000_000, 30)]
+
+
+def test_cooldown_comes_before_persistence(spark):
+    start = datetime(2025, 1, 1)
+    rows = [("h", "error", "short", start, "WARNING"), ("h", "error", "short", start + timedelta(minutes=20), "WARNING"),
+            ("h", "error", "long", start + timedelta(minutes=20), "WARNING"), ("h", "error", "short", start + timedelta(minutes=60), "WARNING"),
+            ("h", "error", "long", start + timedelta(minutes=60), "WARNING"), (None, "oom", "short", start, "WARNING")]
+    out = RT.cooled(spark.createDataFrame(rows, "host string, event string, window string, ts timestamp, severity string")).collect()
+    got = {(r["host"], r["window"], (r["ts"] - start).seconds // 60): (r["windows_hit"], r["severity"]) for r in out}
+    # at 20 minutes the short window is cooling down, so the long one stands alone
+    assert got == {("h", "short", 0): (1, "WARNING"), ("h", "long", 20): (1, "WARNING"), ("h", "short", 60): (2, "CRITICAL"),
+                   ("h", "long", 60): (2, "CRITICAL"), (None, "short", 0): (1, "WARNING")}

@@ -92,3 +92,45 @@ def test_null_keys_keep_their_lines(spark):
     assert out.count() == 120 and out.filter("host IS NULL").agg({"seq": "max"}).first()[0] == 80
     assert Q.newest(df, ["host"], "ts", "log_id", 50).count() == 90
     assert Q.trailing_sums(df, ["host"], "ts", {"n": F.lit(1)}, 60_000_000).filter("host IS NULL").count() > 0
+
+
+# ---- pieces of bounded size ----
+
+def crowd(spark, n):
+    """One host with all lines in one second, half of them at one microsecond; another without times; a quiet one."""
+    start = F.timestamp_micros(F.lit(1_704_067_200_000_000))
+    ids = spark.range(n, numPartitions=4).withColumnRenamed("id", "log_id")
+    late = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.when(F.col("log_id") % 2 == 0, 500).otherwise(F.col("log_id") * 37 % 1_000_000))
+    hot = ids.select(F.lit("hot").alias("host"), late.alias("ts"), "log_id")
+    lost = ids.select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("timestamp").alias("ts"), (F.col("log_id") + n).alias("log_id"))
+    quiet = ids.limit(10).select(F.lit("quiet").alias("host"), start.alias("ts"), (F.col("log_id") + 2 * n).alias("log_id"))
+    return hot.unionByName(lost).unionByName(quiet)
+
+
+def test_no_piece_is_above_its_rows(spark):
+    n, most = 40_000, 1000
+    cut = Q.pieces(crowd(spark, n), ["host"], "ts", "log_id", piece_rows=most)
+    sizes = cut.groupBy("host", "_chunk", "_slot").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "log_id")).alias("a"), F.max(F.struct("ts", "log_id")).alias("b")).collect()
+    assert max(r["n"] for r in sizes) <= most and sum(r["n"] for r in sizes) == 2 * n + 10
+    assert len(sizes) <= 5 * n / most
+    for host in ("hot", None):
+        rows = sorted((r for r in sizes if r["host"] == host), key=lambda r: (r["_chunk"], r["_slot"]))
+        key = lambda x: (x["ts"] is not None, x["ts"], x["log_id"]) if x["ts"] else (False, x["log_id"])
+        assert len(rows) > 30 and all(key(a["b"]) < key(b["a"]) for a, b in zip(rows, rows[1:]))
+
+
+def test_order_over_split_pieces(spark):
+    n = 6000
+    df = crowd(spark, n)
+    got = Q.with_previous(df, ["host"], "ts", "log_id", ["log_id"], {"last_even": F.when(F.col("log_id") % 2 == 0, F.col("log_id"))}, piece_rows=100)
+    pdf = got.filter("host = 'hot'").toPandas().sort_values(["ts", "log_id"])
+    assert pdf["seq"].tolist() == list(range(1, n + 1))
+    assert pdf["prev_log_id"].iloc[1:].tolist() == pdf["log_id"].iloc[:-1].tolist()
+    even = pdf["log_id"].where(pdf["log_id"] % 2 == 0).ffill().shift()
+    assert (pdf["last_even"].fillna(-1) == even.fillna(-1)).all()
+    top = Q.newest(df, ["host"], "ts", "log_id", 777, piece_rows=100)
+    assert sorted(r["log_id"] for r in top.filter("host = 'hot'").collect()) == sorted(pdf["log_id"].tail(777))
+
+
+def test_pieces_of_an_empty_table(spark):
+    assert Q.with_previous(crowd(spark, 10).limit(0), ["host"], "ts", "log_id", ["log_id"]).count() == 0
