@@ -2,7 +2,8 @@
 
 Sampling, grouping, thresholds and ensembles are Spark jobs. Python sees one tree's sample (512 rows) when it
 grows, or one bounded slice of a host's rows when it scores; a host of any size is many slices. Samples follow a
-hash of the row id, so the forest is the same whatever the partitioning.
+hash of the row id, so the forest is the same whatever the partitioning. For scoring a host's nodes are packed once into
+one row of arrays; a slice meets that row, not the nodes.
 """
 
 from __future__ import annotations
@@ -15,11 +16,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievelog.operators.lookup import attach
 from sievelog.operators.sequence import top_n
+from sievelog.sources.store import materialise
 
 NODES = "host string, tree int, node int, feature int, threshold double, left int, right int, path double, samples int"
 GLOBAL = "__global__"
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by key over several tasks a core. Growing and scoring cost far more than the bytes they read, by which
+    adaptive execution would merge them into a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 # ---- growing ----
 
 def plan(matrix: DataFrame, trees: int = 300, samples: int = 512, contamination: float = 0.05, min_rows: int = 50) -> DataFrame:
@@ -46,7 +55,7 @@ def tree_samples(matrix: DataFrame, planned: DataFrame, trees: int, seed: int) -
              .withColumn("tree", F.pmod(F.xxhash64("host", "log_id", "_draw", F.lit(seed + 1)), F.lit(trees)).cast("int"))
              .withColumn("_order", F.xxhash64("host", "log_id", "_draw", F.lit(seed + 2))))
     rank = F.row_number().over(Window.partitionBy("host", "tree").orderBy("_order", "log_id", "_draw"))
-    return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("sample_size")).drop("rows", "_rank", "_draw")
+    return _dealt(drawn, "host", "tree").withColumn("_rank", rank).filter(F.col("_rank") <= F.col("sample_size")).drop("rows", "_rank", "_draw")
 
 
 def _average_path(n: np.ndarray) -> np.ndarray:
@@ -110,47 +119,76 @@ def fit_global(matrix: DataFrame, features: list[str], **options) -> DataFrame:
 
 # ---- scoring ----
 
-def _scores(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
-    """-2^(-mean path / c(sample)) for every row; all rows walk a tree together, level by level."""
-    total, expected, count = np.zeros(len(x)), 0.0, 0
-    for _, t in nodes.groupby("tree", sort=True):
-        t = t.sort_values("node")
-        feature, cut = t["feature"].to_numpy(), t["threshold"].to_numpy()
-        left, right, path = t["left"].to_numpy(), t["right"].to_numpy(), t["path"].to_numpy()
-        at = np.zeros(len(x), dtype=np.int64)
-        walking = np.arange(len(x)) if feature[0] >= 0 else np.empty(0, dtype=np.int64)
+#: Rows that walk together: their places stay in the processor's cache.
+WALKING = 8192
+PACKED = "trees int, expected double, starts binary, feature binary, threshold binary, right binary, path binary"
+_KINDS = {"starts": np.int64, "feature": np.int32, "threshold": np.float64, "right": np.int32, "path": np.float64}
+
+
+def pack(nodes: DataFrame) -> DataFrame:
+    """One row per host: its trees, the mean expected path, and the nodes of all trees as arrays; children are numbered
+    inside their tree, which starts at `starts`, and a left child follows its parent. 24 bytes a node."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tree", "node"])
+        first = pdf["node"].to_numpy() == 0
+        arrays = {k: pdf[k].to_numpy().astype(t).tobytes() for k, t in _KINDS.items() if k != "starts"}
+        expected = float(_average_path(pdf["samples"].to_numpy()[first]).mean())
+        starts = np.append(np.flatnonzero(first), len(pdf)).astype(np.int64)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "trees": [int(first.sum())], "expected": [expected], "starts": [starts.tobytes()],
+                             **{k: [v] for k, v in arrays.items()}})
+
+    return nodes.groupBy("host").applyInPandas(run, f"host string, {PACKED}")
+
+
+def _scores(x: np.ndarray, forest: pd.Series) -> np.ndarray:
+    """-2^(-mean path / c(sample)) for every row; a block of rows walks a tree together, level by level."""
+    if len(x) > WALKING:
+        return np.concatenate([_scores(x[i:i + WALKING], forest) for i in range(0, len(x), WALKING)])
+    part = {k: np.frombuffer(forest[k], dtype=t) for k, t in _KINDS.items()}
+    part = {k: v.astype(np.intp) if v.dtype.kind == "i" else v for k, v in part.items()}
+    total, flat, first = np.zeros(len(x)), np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    for a, b in zip(part["starts"][:-1], part["starts"][1:]):
+        feature, cut, right, path = (part[k][a:b] for k in ("feature", "threshold", "right", "path"))
+        at = here = np.zeros(len(x), dtype=np.intp)
+        walking, row = np.arange(len(x)) if feature[0] >= 0 else at[:0], first
         while len(walking):
-            here = at[walking]
-            go = np.where(x[walking, feature[here]] <= cut[here], left[here], right[here])
-            at[walking] = go
-            walking = walking[feature[go] >= 0]
-        total += path[at]
-        expected += float(_average_path(t["samples"].iloc[0]))
-        count += 1
-    return -np.power(2.0, -(total / count) / max(expected / count, 1e-12))
-
-
-def score(matrix: DataFrame, nodes: DataFrame, features: list[str], slice_rows: int = 200_000) -> DataFrame:
-    """(host, log_id, anomaly_score): slices of a host's rows meet that host's trees. A host's rows are split by id
-    hash into slices of about `slice_rows`, each with its own copy of the few megabytes of trees. Hosts without a
-    forest use the global one when the table has it; else their score is null."""
-    hosts = nodes.select(F.col("host").alias("model")).distinct().withColumn("_has", F.lit(True))
+            below = flat.take(row + feature.take(here, mode="clip"), mode="clip") <= cut.take(here, mode="clip")
+            here = np.where(below, here + 1, right.take(here, mode="clip"))
+            at[walking] = here
+            on = feature.take(here, mode="clip") >= 0
+            if not on.all():
+                walking, here, row = walking[on], here[on], row[on]
+        total += path.take(at)
+    return -np.power(2.0, -(total / forest["trees"]) / max(forest["expected"], 1e-12))
+
+
+def _sliced(matrix: DataFrame, models: DataFrame, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and models, both with `model` and `slice`: rows of a host without a model of its own go to the global one."""
+    hosts = models.select(F.col("host").alias("model")).distinct().withColumn("_has", F.lit(True))
     keyed = attach(matrix.withColumn("model", F.col("host")), hosts, ["model"])
     keyed = keyed.withColumn("model", F.when(F.col("_has"), F.col("model")).otherwise(F.lit(GLOBAL))).drop("_has")
     sizes = keyed.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias("slices"))
     keyed = attach(keyed, sizes, ["model"]).withColumn("slice", F.pmod(F.xxhash64("log_id"), F.col("slices")).cast("int"))
-    copies = attach(nodes.withColumn("model", F.col("host")), sizes, ["model"], "inner").withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    model_cols = ["model", "slice", "tree", "node", "feature", "threshold", "left", "right", "path", "samples"]
+    copies = attach(models.withColumnRenamed("host", "model"), sizes, ["model"], "inner").withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    return _dealt(keyed.drop("slices"), "model", "slice"), _dealt(copies, "model", "slice")
+
+
+def score(matrix: DataFrame, nodes: DataFrame, features: list[str], slice_rows: int = 200_000) -> DataFrame:
+    """(host, log_id, anomaly_score): slices of a host's rows meet that host's packed forest, one row. A host's rows are
+    split by id hash into slices of about `slice_rows`. Hosts without a forest use the global one when the table has it;
+    else their score is null. `nodes` is a node table or an already packed one."""
+    keyed, copies = _sliced(matrix, nodes if "starts" in nodes.columns else pack(nodes), slice_rows)
     id_type = dict(matrix.dtypes)["log_id"]
 
-    def run(key, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         out = rows[["host", "log_id"]].copy()
-        out["anomaly_score"] = _scores(rows[features].to_numpy(dtype=float), trees) if len(trees) and len(rows) else np.nan
+        out["anomaly_score"] = _scores(rows[features].to_numpy(dtype=float), models.iloc[0]) if len(models) and len(rows) else np.nan
         return out
 
     scored = keyed.select("model", "slice", "host", "log_id", *features).groupBy("model", "slice").cogroup(
-        copies.select(*model_cols).groupBy("model", "slice")).applyInPandas(run, f"host string, log_id {id_type}, anomaly_score double")
+        copies.groupBy("model", "slice")).applyInPandas(run, f"host string, log_id {id_type}, anomaly_score double")
     return scored.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None).cast("double")))
 
 
@@ -181,6 +219,40 @@ def ensemble(member_scores: DataFrame, weights: DataFrame) -> DataFrame:
         (F.sum(F.col("anomaly_score") * w) / F.sum(w)).alias("anomaly_score"))
 
 
+def member(batch: DataFrame, features: list[str], number: int, trees: int = 100, samples: int = 256) -> DataFrame:
+    """One row per host with enough rows: a small forest grown on the batch, with the batch's own scaler and threshold."""
+    scaler = fit_scaler(batch, features)
+    scaled = materialise(scale(batch, scaler, features), "scaled")
+    forest = materialise(pack(fit(scaled, features, trees, samples, seed=42 + number)), "member")
+    limits = thresholds(score(scaled, forest, features), plan(scaled, trees, samples))
+    sides = [F.array(*[F.col(f"{k}_{f}") for f in features]).alias(k) for k in ("mean", "std")]
+    return (forest.join(limits.select("host", F.col("threshold").alias("limit")), "host")
+            .join(scaler.select("host", *sides), "host").withColumn("member", F.lit(number)))
+
+
+def score_members(matrix: DataFrame, members: DataFrame, features: list[str], slice_rows: int = 200_000) -> DataFrame:
+    """(host, log_id, anomaly_score, prediction) by the weighted vote of a host's members, each with its own scaler and
+    threshold; `members` are rows of `member` with their `weight`. A host without members has null scores and prediction 1."""
+    keyed, copies = _sliced(matrix, members, slice_rows)
+    id_type = dict(matrix.dtypes)["log_id"]
+
+    def run(key, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["host", "log_id"]].copy()
+        x, total, vote = rows[features].to_numpy(dtype=float), np.zeros(len(rows)), np.zeros(len(rows))
+        for _, m in models.iterrows():
+            spread = np.array(m["std"])
+            s = _scores((x - np.array(m["mean"])) / np.where(spread > 0, spread, 1.0), m)
+            total += m["weight"] * s
+            vote += m["weight"] * np.where(s < m["limit"], -1, 1)
+        out["anomaly_score"] = total / models["weight"].sum() if len(models) else np.nan
+        out["prediction"] = np.where(vote < 0, -1, 1)
+        return out
+
+    scored = keyed.select("model", "slice", "host", "log_id", *features).groupBy("model", "slice").cogroup(
+        copies.groupBy("model", "slice")).applyInPandas(run, f"host string, log_id {id_type}, anomaly_score double, prediction int")
+    return scored.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None).cast("double")))
+
+
 # ---- scaling and drift ----
 
 def fit_scaler(matrix: DataFrame, features: list[str]) -> DataFrame:
@@ -227,27 +299,27 @@ def permutation_importance(matrix: DataFrame, nodes: DataFrame, features: list[s
         matrix = top_n(matrix.withColumn("_o", order), ["host"], [F.col("_o"), F.col("log_id")], rows).drop("_o")
     sizes = matrix.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias("slices"))
     dealt = attach(matrix, sizes, ["host"], "inner").withColumn("slice", F.pmod(F.xxhash64("log_id", F.lit(seed)), F.col("slices")).cast("int"))
-    copies = attach(nodes, sizes, ["host"], "inner").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    packed = nodes if "starts" in nodes.columns else pack(nodes)
+    copies = attach(packed, sizes, ["host"], "inner").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
 
     def run(key, pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"host": [], "feature": [], "fall": [], "n": []}
         if pdf.empty or trees.empty:
             return pd.DataFrame(out)
-        x = pdf.sort_values("log_id")[features].to_numpy(dtype=float)
-        base = _scores(x, trees).sum()
+        x, forest = pdf.sort_values("log_id")[features].to_numpy(dtype=float), trees.iloc[0]
+        base = _scores(x, forest).sum()
         for j, name in enumerate(features):
             rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), zlib.crc32(name.encode()), int(key[1])])
             falls, moved = [], x.copy()
             for _ in range(repeats):
                 moved[:, j] = rng.permutation(x[:, j])
-                falls.append(base - _scores(moved, trees).sum())
+                falls.append(base - _scores(moved, forest).sum())
             for column, value in zip(out.values(), (key[0], name, float(np.mean(falls)), len(x))):
                 column.append(value)
         return pd.DataFrame(out)
 
-    model_cols = ["host", "slice", "tree", "node", "feature", "threshold", "left", "right", "path", "samples"]
-    falls = dealt.select("host", "slice", "log_id", *features).groupBy("host", "slice").cogroup(
-        copies.select(*model_cols).groupBy("host", "slice")).applyInPandas(run, "host string, feature string, fall double, n long")
+    falls = _dealt(dealt.select("host", "slice", "log_id", *features), "host", "slice").groupBy("host", "slice").cogroup(
+        _dealt(copies, "host", "slice").groupBy("host", "slice")).applyInPandas(run, "host string, feature string, fall double, n long")
     raw = falls.groupBy("host", "feature").agg((F.sum("fall") / F.sum("n")).alias("raw"))
     best = F.max("raw").over(Window.partitionBy("host"))
     return raw.withColumn("importance", F.when(best > 0, F.col("raw") / best).otherwise(F.col("raw"))).withColumn(

@@ -40,7 +40,7 @@ def training_plan(spark, d):
     return FO.plan(rows).select("host", "rows", "sample_size", r6("contamination"), "status")
 
 
-TREES, SAMPLES = 300, 512
+TREES, SAMPLES, SLICE = 300, 512, 15_000
 
 
 def _fitted(spark, d):
@@ -58,7 +58,7 @@ def forest_nodes(spark, d):
 @query("e04_forest_predictions")
 def forest_predictions(spark, d):
     m, nodes = _fitted(spark, d)
-    scored = materialise(FO.score(m, nodes, FEATURES, 25_000), "scores")
+    scored = materialise(FO.score(m, nodes, FEATURES, SLICE), "scores")
     out = FO.predict(scored, FO.thresholds(scored, FO.plan(m)))
     return out.select("host", "log_id", r6("anomaly_score"), "prediction")
 
@@ -68,7 +68,7 @@ def global_fallback(spark, d):
     m = matrix(spark, d)
     own = FO.fit(m.filter("host = 'N'"), FEATURES, TREES, SAMPLES)
     nodes = materialise(own.unionByName(FO.fit_global(m, FEATURES, trees=TREES, samples=SAMPLES)), "forest")
-    return FO.score(m, nodes, FEATURES, 25_000).groupBy("host").agg(
+    return FO.score(m, nodes, FEATURES, SLICE).groupBy("host").agg(
         F.count(F.lit(1)).alias("rows"), F.count("anomaly_score").alias("scored"), r6("mean_score", F.avg("anomaly_score")))
 
 
@@ -80,7 +80,7 @@ def ensemble(spark, d):
     for batch in range(3):
         part = m.filter(F.pmod(F.col("log_id"), F.lit(3)) == batch)
         nodes = materialise(FO.fit(part, FEATURES, TREES, SAMPLES, seed=42 + batch), "forest")
-        scored = FO.score(m, nodes, FEATURES, 25_000)
+        scored = FO.score(m, nodes, FEATURES, SLICE)
         scored = materialise(scored, "scores")
         member = FO.predict(scored, FO.thresholds(scored, FO.plan(m))).withColumn("member", F.lit(batch))
         votes = member if votes is None else votes.unionByName(member)
@@ -122,8 +122,8 @@ def importance(spark, d):
 def feature_selection(spark, d):
     m = matrix(spark, d)
     small = FEATURES[:3]
-    a = materialise(FO.score(m, FO.fit(m, FEATURES, TREES, SAMPLES), FEATURES, 25_000), "scores")
-    b = materialise(FO.score(m, FO.fit(m, small, TREES, SAMPLES), small, 25_000), "scores")
+    a = materialise(FO.score(m, FO.fit(m, FEATURES, TREES, SAMPLES), FEATURES, SLICE), "scores")
+    b = materialise(FO.score(m, FO.fit(m, small, TREES, SAMPLES), small, SLICE), "scores")
     return E.tail_agreement(a, b).select("tail_a", "tail_b", "shared", r6("consistency"))
 
 
