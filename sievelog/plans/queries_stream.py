@@ -7,11 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from sievelog.functions import values as V
-from sievelog.operators import features as FE
+from sievelog.operators import features as FE, forest as FO
 from sievelog.plans.queries_analysis import LINES_SQL
 from sievelog.plans.queries_parse import LOGS
 from sievelog.plans.registry import query
-from sievelog.sources import views
 from sievelog.sources.store import scratch_dir
 from sievelog.sources.views import MONGO_LOGS, table
 from sievelog.streaming import jobs as J
@@ -32,6 +31,27 @@ def logs(spark, d):
     return spark.sql(MONGO_LOGS)
 
 
+def arrivals(spark, d, batches=5, files=2):
+    """The events as files that arrive one time slice after the other, so that a rate-limited stream takes several batches."""
+    e = table(spark, d, "events")
+    folder = folders(spark, "arrivals")[0]
+    slot = _slot(e, batches)
+    for i in range(batches):
+        e.filter(slot == i).repartition(files).write.mode("append").parquet(folder)
+    return J.file_stream(spark, folder, e.schema, files)
+
+
+def _slot(e, batches):
+    """Number of a row's time slice: slices of equal length over the whole table."""
+    low, high = e.agg(F.min(V.micros(F.col("ts"))), F.max(V.micros(F.col("ts")))).first()
+    return F.floor((V.micros(F.col("ts")) - low) * batches / F.lit(high - low + 1))
+
+
+def arriving_logs(spark, d, batches=5):
+    arrivals(spark, d, batches).createOrReplaceTempView("events")
+    return spark.sql(MONGO_LOGS)
+
+
 def land(df, name):
     out, ck = folders(df.sparkSession, name)
     J.run_available(df, out, ck)
@@ -84,46 +104,54 @@ def repeats(spark, d):
 r AS (SELECT alert_key, min(t) AS t FROM a GROUP BY alert_key UNION ALL SELECT r.alert_key, (SELECT min(a.t) FROM a WHERE a.alert_key = r.alert_key AND a.t >= r.t + 43200000000) FROM r WHERE r.t IS NOT NULL)
 SELECT alert_key, t AS kept_us FROM r WHERE t IS NOT NULL""")
 def cooldown(spark, d):
+    """Over five batches; the state of a key goes when its cooldown is over."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
-    e = events(spark, d).filter("event_type = 'error'")
-    slot = V.time_slice(F.col("ts"), 5)
-    alerts = e.select(F.concat(F.lit("host-"), (F.col("user_id") % 8).cast("string")).alias("alert_key"), slot.alias("us"))
+    e = arrivals(spark, d).filter("event_type = 'error'")
+    alerts = e.select(F.concat(F.lit("host-"), (F.col("user_id") % 8).cast("string")).alias("alert_key"),
+                      F.timestamp_micros(V.time_slice(F.col("ts"), 5)).alias("ts"))
     return land(J.cooled_alerts(alerts, 720), "cooldown").select("alert_key", "kept_us")
 
 
 @query("st07_frequency_baseline", """SELECT 'user' AS kind, CAST(user_id AS VARCHAR) AS key, count(*) AS count FROM events GROUP BY user_id
 UNION ALL SELECT 'type', event_type, count(*) FROM events GROUP BY event_type""")
 def frequency_baseline(spark, d):
-    from sievelog.sources.store import read_counts
     out, ck = folders(spark, "baseline")
-    J.run_batches(events(spark, d), J.baseline_counter(out, {"user": F.col("user_id"), "type": F.col("event_type")}), ck)
-    return read_counts(spark, out, ["kind", "key"])
+    J.run_batches(arrivals(spark, d), J.baseline_counter(out, {"user": F.col("user_id"), "type": F.col("event_type")}), ck)
+    return J.read_baseline(spark, out)
 
 
 @query("st08_fifo_buffer", f"""{LOGS}, r AS (SELECT host, log_id, row_number() OVER (PARTITION BY host ORDER BY ts DESC, log_id DESC) AS rn FROM logs) SELECT host, log_id FROM r WHERE rn <= 50""")
 def fifo_buffer(spark, d):
     out, ck = folders(spark, "fifo")
-    J.run_batches(logs(spark, d), J.fifo_writer(out, ["host"], 50), ck)
-    return J.read_buffer(spark, out, ["host"], 50).select("host", "log_id")
+    J.run_batches(arriving_logs(spark, d), J.fifo_writer(out, ["host"], 50), ck)
+    return J.read_buffer(spark, out, ["host"]).select("host", "log_id")
 
 
-@query("st09_st10_online_models")
+# each batch of a host with 50 lines and more adds a model; every line of such a host gets a score and a vote
+@query("st09_st10_online_models", f"""{LOGS}, b AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) - min(epoch_us(ts)) + 1 AS wide FROM events),
+s AS (SELECT host, count(*) AS n FROM (SELECT host, floor(CAST((epoch_us(ts) - low) * 3 AS DOUBLE) / wide) AS slot FROM logs, b) x GROUP BY host, slot),
+m AS (SELECT host, count(*) AS members FROM s WHERE n >= 50 GROUP BY host)
+SELECT host, count(*) AS lines, COALESCE(any_value(members), 0) AS members, CASE WHEN any_value(members) IS NULL THEN 0 ELSE count(*) END AS scored,
+ COALESCE(any_value(members), 0) * 100 AS trees, any_value(members) IS NOT NULL AS weighted, true AS in_range FROM logs LEFT JOIN m USING (host) GROUP BY host""")
 def online_models(spark, d):
-    """Mini models trained from the stream, then the stream scored with them, rules and severity on top."""
-    from sievelog.operators import forest as FO
-    from sievelog.sources.store import materialise
+    """Models grown from three batches of the stream, then the stream scored with them, rules and severity on top."""
     names = ["is_error", "is_collscan", "query_duration_ms", "docs_examined_count", "attr_key_count", "hour_of_day"]
     model, ck = folders(spark, "mini")
-    lines = FE.mongodb_line_features(logs(spark, d)).withColumn("extreme_burst_flag", F.lit(0))
-    J.run_batches(lines.select("host", "log_id", *[F.col(n).cast("double").alias(n) for n in names]), J.mini_model_writer(model, names, 30, 128), ck)
-    nodes = spark.read.parquet(model).drop("batch", "member")
-    batch = FE.mongodb_line_features(views.mongo_logs(spark, d))
-    train = materialise(FO.score(FE.align_schema(batch, names), nodes, names), "scores")
-    limits = materialise(FO.thresholds(train, FO.plan(train)), "limits")
+    signals = lambda logs: FE.mongodb_line_features(logs).withColumn("extreme_burst_flag", F.lit(0))
+    lines = signals(arriving_logs(spark, d, 3))
+    J.run_batches(lines.select("host", "log_id", *[F.col(n).cast("double").alias(n) for n in names]), J.mini_model_writer(model, names), ck)
+    models = J.ring(spark, model)
+    empty = spark.createDataFrame([], f"host string, {FO.PACKED}, limit double, mean array<double>, std array<double>, member int, weight double")
+    models = empty if models is None else models
     out, ck2 = folders(spark, "scored")
-    J.run_batches(lines, J.scoring_writer(out, nodes, limits, names), ck2)
-    scored = spark.read.parquet(out)
-    return scored.groupBy("host", "prediction", "severity_level").agg(F.count(F.lit(1)).alias("n"))
+    J.run_batches(signals(logs(spark, d)), J.scoring_writer(out, models, names), ck2)
+    per = models.groupBy("host").agg(F.count(F.lit(1)).alias("members"), F.sum("trees").alias("trees"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("weighted"))
+    score = F.col("model_score")
+    facts = spark.read.parquet(out).groupBy("host").agg(
+        F.count(F.lit(1)).alias("lines"), F.count(score).alias("scored"),
+        F.every(F.coalesce(score.between(-1, 0), F.lit(True)) & F.col("prediction").isin(-1, 1) & F.col("severity_level").isNotNull()).alias("in_range"))
+    return facts.join(per, "host", "left").select("host", "lines", F.coalesce("members", F.lit(0)).alias("members"), "scored",
+                                                  F.coalesce("trees", F.lit(0)).alias("trees"), F.coalesce("weighted", F.lit(False)).alias("weighted"), "in_range")
 
 
 @query("st11_sequence_features", f"""WITH {LINES_SQL}, w AS (SELECT host, log_id, epoch_us(ts) - epoch_us(lag(ts) OVER o) AS gap, row_number() OVER o AS seq FROM lines WINDOW o AS (PARTITION BY host ORDER BY ts, log_id)),
@@ -144,10 +172,29 @@ def history_enrichment(spark, d):
     return land(J.enriched(fresh, past, ["host"]), "enriched").select("event_id", "host", "past", "mean_value")
 
 
-@query("st15_late_feedback", """WITH a AS (SELECT event_id, ts FROM events WHERE event_type = 'error'), f AS (SELECT event_id, ts + INTERVAL 5 MINUTE AS fts FROM events WHERE event_type = 'error' AND event_id % 3 = 0)
-SELECT a.event_id AS log_id FROM a JOIN f ON a.event_id = f.event_id""")
+# rows are late by the watermark of the batch before: the third file's, by what the first has moved it to
+@query("st12_late_rows", """WITH k AS (SELECT max(epoch_us(ts)) FILTER (WHERE event_id % 10 BETWEEN 1 AND 8) // 1000 * 1000 - 3600000000 AS mark FROM events)
+SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 10 = 0 AND (epoch_us(ts) // 3600000000 + 1) * 3600000000 <= mark) AS dropped FROM events, k""")
+def late_rows(spark, d):
+    """Rows that arrive after their window has closed: dropped, and kept count of."""
+    e = table(spark, d, "events")
+    folder, ck = folders(spark, "late")
+    for part in ("event_id % 10 BETWEEN 1 AND 8", "event_id % 10 = 9", "event_id % 10 = 0"):
+        e.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = J.file_stream(spark, folder, e.schema, 1)
+    query = J.run_available(J.tumbling_counts(stream, ["event_id"]), folder + "-counts", ck)
+    return J.late_rows_table(query, spark).agg(F.sum("rows").alias("rows"), F.sum("dropped").alias("dropped"))
+
+
+# unmatched anomalies come out once the bound on their feedback has passed: two days, and the lateness, before the newest feedback
+@query("st15_late_feedback", """WITH a AS (SELECT event_id, ts FROM events WHERE event_type = 'error'),
+f AS (SELECT event_id, ts + INTERVAL 5 MINUTE AS fts FROM events WHERE event_type = 'error' AND event_id % 3 = 0),
+w AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(fts) FROM f)) - INTERVAL 1 HOUR AS mark)
+SELECT a.event_id AS log_id, f.event_id IS NOT NULL AS matched FROM a LEFT JOIN f ON a.event_id = f.event_id, w
+WHERE f.event_id IS NOT NULL OR date_trunc('millisecond', a.ts) + INTERVAL 2 DAY < date_trunc('millisecond', mark)""")
 def late_feedback(spark, d):
-    a = events(spark, d).filter("event_type = 'error'").select(F.col("event_id").alias("log_id"), "ts")
-    f = events(spark, d).filter("event_type = 'error' and event_id % 3 = 0").select(
+    """Over five batches: feedback comes in files of its own, behind the anomalies."""
+    a = arrivals(spark, d).filter("event_type = 'error'").select(F.col("event_id").alias("log_id"), "ts")
+    f = arrivals(spark, d).filter("event_type = 'error' and event_id % 3 = 0").select(
         F.col("event_id").alias("f_log_id"), (F.col("ts") + F.expr("interval 5 minutes")).alias("feedback_ts"))
-    return land(J.with_feedback(a, f, "1 hour"), "feedback").filter("f_log_id is not null").select("log_id")
+    return land(J.with_feedback(a, f, "2 days"), "feedback").select("log_id", F.col("f_log_id").isNotNull().alias("matched"))
