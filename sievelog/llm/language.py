@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievelog.llm.common import add_fields, bounded_sample, per_batch, text_of
@@ -16,12 +17,15 @@ TRAIN_DOCUMENTS, TRAIN_CHARACTERS, DICTIONARY_BYTES = 400, 2000, 96 << 10
 WINDOW = 1500
 #: Compression level, and the least margin of the best over the second, as a share of the second's bytes.
 LEVEL, MARGIN = 6, 0.005
-_REST = re.compile(r"[\W\d_]+")
+#: What stands between words: anything but letters and the marks beside them (Unicode categories L and M).
+_REST, _ASCII_REST, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), re.compile("[^A-Za-z]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> str:
-    """Lower-case words; digits and signs say nothing about a language."""
-    return _REST.sub(" ", text).strip().lower()
+    """Lower-case words; digits and signs say nothing about a language. Empty without a letter."""
+    if text.isascii():
+        return _ASCII_REST.sub(" ", text).strip().lower()
+    return _REST.sub(" ", text).strip().lower() if _LETTER.search(text) else ""
 
 
 @dataclass(frozen=True)

@@ -202,3 +202,12 @@ def test_search_in_empty_tables(spark):
 def test_ties_go_by_document(spark):
     docs = [(i, "same words here") for i in range(50, 0, -1)]
     assert sorted(k[2] for k in found(spark, docs, [(1, "same"), ])) == list(range(1, 11))
+
+
+# ---- texts without letters ----
+
+def test_signs_and_numbers_are_no_letters():
+    from sievelog.llm import language
+    for text in ("²", "½ ⅓", "①②", "Ⅷ", "12 _ 3", "\u0301\u0308", "٣", "😀", ""):
+        assert language.letters(text) == "", text
+    assert language.letters("E\u0301té 2²") == "e\u0301té" and language.letters("नमस्ते!") == "नमस्ते" and language.letters("ªº") == "ªº"
