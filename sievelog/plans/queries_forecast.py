@@ -1,9 +1,9 @@
-"""Series statistics, forecasts and forecast alerts. Histories are cut to different lengths by host so that every
-tier runs."""
+"""Series statistics, forecasts and forecast alerts over whole histories. Every analysis of a host stands in three series,
+that of its month, of its half month and of its week, which have the lengths that the four tiers are for."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from sievelog.functions import values as V
 from sievelog.operators import forecast as FC
@@ -13,39 +13,45 @@ from sievelog.plans.registry import query
 from sievelog.sources.store import materialise
 
 METRICS = FC.METRICS["mongodb"]
-CUT = "CASE host WHEN 'node-0' THEN 3 WHEN 'node-1' THEN 7 WHEN 'node-2' THEN 15 ELSE 1000 END"
+SCOPED_SQL = """scoped AS (SELECT h.* EXCLUDE (host, scopes), host || ' ' || unnest(scopes) AS host FROM (SELECT *,
+ [strftime(ts, '%Y-%m'), strftime(ts, '%Y-%m') || CASE WHEN day(ts) <= 15 THEN ' first half' ELSE ' second half' END,
+  'week of ' || strftime(date_trunc('week', ts), '%Y-%m-%d')] AS scopes FROM history) h)"""
 
 
-def cut_history(spark, d):
-    h = history(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("ts")))
-    return h.filter(F.col("i") <= F.expr(CUT)).drop("i")
+def scoped_history(spark, d):
+    """The history with a row for each of an analysis's series; the host names the host and the period."""
+    month = F.date_format("ts", "yyyy-MM")
+    half = F.concat(month, F.when(F.dayofmonth("ts") <= 15, " first half").otherwise(" second half"))
+    week = F.concat(F.lit("week of "), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
+    rows = history(spark, d).withColumn("_scope", F.explode(F.array(month, half, week)))
+    return rows.withColumn("host", F.concat_ws(" ", "host", "_scope")).drop("_scope")
 
 
 _SERIES = {"anomaly_rate": "anomaly_rate", "anomaly_count": "n_anomalies", "collscan_count": "collscans", "mean_anomaly_score": "abs(score_mean)",
            "slow_query_count": "slow_queries", "auth_failure_count": "auth_failures"}
-SERIES_SQL = f"""{HISTORY_SQL}, cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts) AS i FROM history) t WHERE i <= {CUT}),
-long AS ({' UNION ALL '.join(f"SELECT host, ts, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM cut" for m, e in _SERIES.items())}),
+SERIES_SQL = f"""{HISTORY_SQL}, {SCOPED_SQL},
+long AS ({' UNION ALL '.join(f"SELECT host, ts, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM scoped" for m, e in _SERIES.items())}),
 p AS (SELECT *, row_number() OVER (PARTITION BY host, metric ORDER BY ts) - 1 AS x, count(*) OVER (PARTITION BY host, metric) AS n FROM long),
 arr AS (SELECT host, metric, max(n) AS n, list(value ORDER BY ts) AS v FROM p GROUP BY 1, 2),
-gaps AS (SELECT host, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY host ORDER BY ts)) AS DOUBLE) / 3600000000 AS h FROM cut),
+gaps AS (SELECT host, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY host ORDER BY ts)) AS DOUBLE) / 3600000000 AS h FROM scoped),
 iv AS (SELECT host, COALESCE(avg(CASE WHEN h > 0 AND h < 168 THEN h END), CAST(0.5 AS DOUBLE)) AS interval_hours FROM gaps GROUP BY host)"""
 KEEP = list(_SERIES)
 
 
 def arrays(spark, d):
-    long = FC.long_series(cut_history(spark, d), [m for m in METRICS if m.name in KEEP])
+    long = FC.long_series(scoped_history(spark, d), [m for m in METRICS if m.name in KEEP])
     return long.groupBy("host", "metric").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("v"))
 
 
 @query("m06_regression", f"""WITH {SERIES_SQL} SELECT host, metric, count(*) AS n, round(COALESCE(regr_slope(value, x), 0), 6) AS slope,
  round(COALESCE(regr_intercept(value, x), avg(value)), 6) AS intercept,
- round(CASE WHEN count(*) < 2 OR var_pop(value) = 0 THEN 0 ELSE regr_r2(value, x) END, 4) AS r2 FROM p GROUP BY 1, 2""")
+ round(CASE WHEN count(*) < 2 OR var_pop(value) = 0 THEN 0 ELSE regr_r2(value, x) END, 5) AS r2 FROM p GROUP BY 1, 2""")
 def regression(spark, d):
     a = arrays(spark, d).withColumns({**V.regression(F.col("v")), "mean": V.series_mean(F.col("v")), "std": V.series_std(F.col("v"))})
     a = a.withColumn("intercept", F.col("mean") - F.col("slope") * F.col("mean_x"))
     return a.select("host", "metric", F.size("v").cast("bigint").alias("n"), r6("slope"), r6("intercept"),
-                    F.round(V.r_squared(F.col("v"), F.col("mean"), F.col("slope"), F.col("intercept")), 4).alias("r2"))
+                    F.round(V.r_squared(F.col("v"), F.col("mean"), F.col("slope"), F.col("intercept")), 5).alias("r2"))
 
 
 @query("m07_m09_series_statistics", f"""WITH {SERIES_SQL} SELECT host, metric, round(sum(value * (x + 1)) / sum(x + 1), 6) AS wma,
@@ -73,10 +79,10 @@ def robust_baseline(spark, d):
 
 @query("t07_mean_intervals", f"""WITH {SERIES_SQL} SELECT host, round(interval_hours, 6) AS interval_hours FROM iv""")
 def mean_intervals(spark, d):
-    return FC.mean_interval(cut_history(spark, d)).select("host", r6("interval_hours"))
+    return FC.mean_interval(scoped_history(spark, d)).select("host", r6("interval_hours"))
 
 
-@query("m11_fc07_seasonality", """WITH l AS (SELECT user_id % 8 AS host, ts, value FROM events WHERE event_type = 'view'),
+@query("m11_fc07_seasonality", """WITH l AS (SELECT user_id % 8 AS host, ts, value FROM events),
 w AS (SELECT host, count(*) AS n, avg(value) AS mean, CAST(hour(max(ts) + INTERVAL 6 HOUR) AS INTEGER) AS target FROM l GROUP BY 1),
 h AS (SELECT host, CAST(hour(ts) AS INTEGER) AS h, avg(value) AS m FROM l GROUP BY 1, 2),
 r AS (SELECT w.host, max(n) AS n, max(mean) AS mean, count(*) AS hours, max(CASE WHEN h = target THEN m END) AS exact,
@@ -84,7 +90,7 @@ r AS (SELECT w.host, max(n) AS n, max(mean) AS mean, count(*) AS hours, max(CASE
 SELECT host, round(CASE WHEN n >= 8 AND hours >= 3 AND mean > 0 THEN greatest(CAST(0.5 AS DOUBLE), least(CAST(2 AS DOUBLE), COALESCE(exact, near) / mean)) ELSE 1 END, 6) AS season FROM r""")
 def seasonality(spark, d):
     from sievelog.sources.views import table
-    e = table(spark, d, "events").filter("event_type = 'view'")
+    e = table(spark, d, "events")
     series = e.select((F.col("user_id") % 8).alias("host"), "ts", F.lit("m").alias("metric"), "value")
     return FC.seasonality(series, 6).select("host", r6("season"))
 
@@ -107,7 +113,7 @@ SELECT host, metric, CASE WHEN n < 5 THEN 0 WHEN n < 10 THEN 1 WHEN n < 20 THEN
   ELSE CASE WHEN slope > 0.001 AND mom > 0 THEN 'rising' WHEN slope < -0.001 AND mom < 0 THEN 'falling' WHEN mom > sd * 0.5 THEN 'accelerating'
    WHEN mom < -sd * 0.5 THEN 'decelerating' ELSE 'stable' END END AS direction FROM j""")
 def forecasts(spark, d):
-    out = FC.forecast(cut_history(spark, d), [m for m in METRICS if m.name in KEEP], seasonal=False)
+    out = FC.forecast(scoped_history(spark, d), [m for m in METRICS if m.name in KEEP], seasonal=False)
     upper = F.when(F.col("tier") != 2, F.col("upper_bound"))
     return out.select("host", "metric", "tier", F.round("forecast_value", 5).alias("forecast_value"), F.round(upper, 5).alias("upper_bound"), "direction")
 
@@ -118,20 +124,20 @@ k AS (SELECT *, n - 1 + 6 / interval_hours AS fx FROM rg JOIN e USING (host, met
 SELECT host, metric, round(slope * fx + icpt + 2 * se * sqrt(1 + CAST(1 AS DOUBLE) / n + (fx - mx) * (fx - mx) / sxx), 5) AS upper_bound,
  round(greatest(0, slope * fx + icpt - 2 * se * sqrt(1 + CAST(1 AS DOUBLE) / n + (fx - mx) * (fx - mx) / sxx)), 5) AS lower_bound FROM k""")
 def intervals(spark, d):
-    out = FC.forecast(cut_history(spark, d), [m for m in METRICS if m.name in KEEP], seasonal=False).filter("tier = 2")
+    out = FC.forecast(scoped_history(spark, d), [m for m in METRICS if m.name in KEEP], seasonal=False).filter("tier = 2")
     return out.select("host", "metric", F.round("upper_bound", 5).alias("upper_bound"), F.round("lower_bound", 5).alias("lower_bound"))
 
 
 @query("fc09_risk_context", f"""WITH {SERIES_SQL}, r AS (SELECT host, ts, abs(score_mean) AS score, anomaly_rate AS rate, sev_critical + sev_high AS severe,
- row_number() OVER (PARTITION BY host ORDER BY ts DESC) AS k, row_number() OVER (PARTITION BY host ORDER BY ts) - 1 AS x FROM cut),
+ row_number() OVER (PARTITION BY host ORDER BY ts DESC) AS k, row_number() OVER (PARTITION BY host ORDER BY ts) - 1 AS x FROM scoped),
 b AS (SELECT host, avg(score) AS base, stddev_samp(score) AS sd, avg(rate) AS base_rate, count(*) AS n FROM r WHERE k > 1 GROUP BY host),
-s AS (SELECT host, regr_slope(score, x) AS slope FROM r GROUP BY host)
-SELECT r.host, CAST(CASE WHEN n >= 3 THEN score > base + greatest(sd * 1.5, base * 0.1) ELSE score > base * 1.15 END AS INTEGER) AS score_worsening,
- round(slope, 6) AS score_slope, round(rate / base_rate, 6) AS density_ratio,
+s AS (SELECT host, CASE WHEN count(*) >= 3 THEN regr_slope(score, x) ELSE 0 END AS slope FROM r GROUP BY host)
+SELECT r.host, CAST(CASE WHEN n >= 3 THEN score > base + greatest(sd * 1.5, base * 0.1) ELSE base > 0 AND score > base * 1.15 END AS INTEGER) AS score_worsening,
+ round(slope, 6) AS score_slope, round(CASE WHEN base_rate > 0 THEN rate / base_rate ELSE 1 END, 6) AS density_ratio,
  CASE WHEN severe >= 3 OR rate > 15 THEN 'CRITICAL' WHEN severe >= 1 OR rate > 8 THEN 'WARNING' WHEN rate > 0 THEN 'INFO' ELSE 'OK' END AS ml_risk
 FROM r JOIN b ON r.host = b.host JOIN s ON r.host = s.host WHERE k = 1""")
 def risk_context(spark, d):
-    out = FC.risk_context(cut_history(spark, d))
+    out = FC.risk_context(scoped_history(spark, d))
     return out.select("host", F.col("score_worsening").cast("int").alias("score_worsening"), r6("score_slope"), r6("density_ratio"), "ml_risk")
 
 
@@ -145,7 +151,7 @@ def cusum_residuals(spark, d):
 
 def _full(spark, d):
     """The history is a stored table in use; here it is written once and the four forecast inputs read it."""
-    h = materialise(cut_history(spark, d), "history")
+    h = materialise(scoped_history(spark, d), "history")
     return FC.with_risk(FC.forecast(h, METRICS), FC.risk_context(h))
 
 

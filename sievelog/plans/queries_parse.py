@@ -310,11 +310,11 @@ def servers_by_file(spark, d):
 
 @query("s06_servers_by_content", """SELECT event_type AS file_name, CASE WHEN event_type = 'error' THEN NULL
  ELSE 'mongo' || CAST(min_by(user_id, (ts, event_id)) % 50 AS VARCHAR(9)) END AS server
-FROM events WHERE event_type <> 'click' OR event_id % 3 = 0 GROUP BY event_type""")
+FROM events GROUP BY event_type""")
 def servers_by_content(spark, d):
     e = table(spark, d, "events")
     name = F.format_string("MONGO%d.local", F.col("user_id") % 50)
-    rows = e.filter("event_type <> 'click' or event_id % 3 = 0").select(
+    rows = e.select(
         F.col("event_type").alias("file_name"), "ts", F.col("event_id").alias("log_id"),
         F.when(F.col("event_type") == "view", name).otherwise("unknown").alias("host"),
         F.when(F.col("event_type") == "signup", "Process Details").otherwise("text").alias("msg"),
