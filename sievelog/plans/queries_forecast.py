@@ -46,12 +46,12 @@ def arrays(spark, d):
 
 @query("m06_regression", f"""WITH {SERIES_SQL} SELECT host, metric, count(*) AS n, round(COALESCE(regr_slope(value, x), 0), 6) AS slope,
  round(COALESCE(regr_intercept(value, x), avg(value)), 6) AS intercept,
- round(CASE WHEN count(*) < 2 OR var_pop(value) = 0 THEN 0 ELSE regr_r2(value, x) END, 5) AS r2 FROM p GROUP BY 1, 2""")
+ round(CASE WHEN count(*) < 2 OR var_pop(value) = 0 THEN 0 ELSE regr_r2(value, x) END + 1e-9, 6) AS r2 FROM p GROUP BY 1, 2""")
 def regression(spark, d):
     a = arrays(spark, d).withColumns({**V.regression(F.col("v")), "mean": V.series_mean(F.col("v")), "std": V.series_std(F.col("v"))})
     a = a.withColumn("intercept", F.col("mean") - F.col("slope") * F.col("mean_x"))
-    return a.select("host", "metric", F.size("v").cast("bigint").alias("n"), r6("slope"), r6("intercept"),
-                    F.round(V.r_squared(F.col("v"), F.col("mean"), F.col("slope"), F.col("intercept")), 5).alias("r2"))
+    a = a.withColumn("r2", V.r_squared(F.col("v"), F.col("mean"), F.col("slope"), F.col("intercept")))
+    return a.select("host", "metric", F.size("v").cast("bigint").alias("n"), r6("slope"), r6("intercept"), r6("r2", F.col("r2") + 1e-9))
 
 
 @query("m07_m09_series_statistics", f"""WITH {SERIES_SQL} SELECT host, metric, round(sum(value * (x + 1)) / sum(x + 1), 6) AS wma,
