@@ -248,14 +248,16 @@ CRITICAL_MESSAGES = {
                       ["flood stage"], ["shard failed"], ["unassigned"], ["node left"], ["node disconnected"],
                       ["data too large"]],
 }
+# ---- fixed values: known benign signatures, order, pattern (any case), component, reason ----
 BENIGN_SIGNATURES = [
-    (1, "privileges on resource", "ACCESS", "privilege check of a monitor"),
-    (2, "serverstatus", "COMMAND", "routine status poll"),
-    (3, "replsetgetstatus", "COMMAND", "routine replica set health check"),
-    (4, "ismaster", "COMMAND", "driver topology handshake"),
-    (5, "hello", "COMMAND", "driver hello handshake"),
-    (6, "refreshing the rsm with current topology", "CONNPOOL", "connection pool topology refresh"),
+    (1, "privileges on resource", "ACCESS", "Monitoring/exporter privilege check noise"),
+    (2, "serverStatus", "COMMAND", "Routine serverStatus polling by monitoring tools"),
+    (3, "replSetGetStatus", "COMMAND", "Routine replica set health check by monitoring tools"),
+    (4, "isMaster", "COMMAND", "Driver topology discovery handshake"),
+    (5, "hello", "COMMAND", "Driver hello handshake (MongoDB 5.0+)"),
+    (6, "Refreshing the RSM with current topology", "CONNPOOL", "Normal connection pool topology refresh"),
 ]
+# ---- fixed values: components that are never taken for noise ----
 PROTECTED_COMPONENTS = ["COMMAND", "REPL", "CONTROL", "NETWORK", "STORAGE"]
 
 # ---- fixed values: search pattern library, name -> regex (case-insensitive) ----
@@ -276,12 +278,12 @@ PATTERN_LIBRARY = {
     "security.authorization": "unauthorized|forbidden|access denied",
     "security.tls": "ssl|tls|certificate.*error|cert.*invalid",
     "security.attack": "sql injection|xss|csrf|injection attack",
-    "database.replica_set": "replica.*set|replication|oplog",
-    "database.primary_change": r"primary.*chang|election|step(ping)? down",
-    "database.cursor": "cursor.*timeout|cursor.*kill|cursor exceeded",
-    "database.index": "index|createIndex|dropIndex",
-    "database.sharding": "shard|sharding|chunk migration",
-    "database.storage": "journal|checkpoint|fsync",
+    "mongodb.replica_set": "replica.*set|replication|oplog",
+    "mongodb.primary_change": r"primary.*chang|election|step(ping)? down",
+    "mongodb.cursor": "cursor.*timeout|cursor.*kill|cursor exceeded",
+    "mongodb.index": "index|createIndex|dropIndex",
+    "mongodb.sharding": "shard|sharding|chunk migration",
+    "mongodb.storage": "journal|checkpoint|fsync",
     "network.connection": "connection (refused|reset|timeout|closed)",
     "network.socket": "socket|tcp|udp",
     "network.dns": "dns|resolve|hostname",

@@ -204,7 +204,7 @@ def false_positives(spark, d):
 
 
 @query("p17_j06_benign", f"""{L} SELECT c, CASE {' '.join(
-    f"WHEN contains(lower(msg), {O.quoted(p)}) AND c = {O.quoted(c)} THEN {O.quoted(t)}"
+    f"WHEN contains(lower(msg), lower({O.quoted(p)})) AND c = {O.quoted(c)} THEN {O.quoted(t)}"
     for _, p, c, t in [*P.BENIGN_SIGNATURES, (7, 'slow query', 'COMMAND', 'tracked elsewhere')])} END AS benign_reason, count(*) AS n
 FROM lines GROUP BY 1, 2""")
 def benign(spark, d):
@@ -212,6 +212,34 @@ def benign(spark, d):
     return A.tag_benign(lines(spark, d), signatures=extended).groupBy("c", "benign_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+SIGNATURES = """SELECT p_partkey AS "order", CASE p_partkey % 5 WHEN 0 THEN 'User ' || chr(39) || 'U' || CAST(p_partkey AS VARCHAR(9)) || chr(39)
+  WHEN 1 THEN 'docsExamined":' || CAST(p_partkey AS VARCHAR(9)) WHEN 2 THEN 'Client: 10.0.0.' || CAST(p_partkey AS VARCHAR(9)) || ']'
+  WHEN 3 THEN 'keysExamined":' || CAST(p_partkey * 7 AS VARCHAR(9)) ELSE CAST(p_partkey AS VARCHAR(9)) || '}' END AS pattern,
+ CASE WHEN p_partkey % 5 IN (1, 3) AND p_partkey % 2 = 0 THEN 'QUERY' WHEN p_partkey % 7 = 0 THEN 'COMMAND' END AS component,
+ 'part ' || p_name AS reason FROM part"""
+
+
+def signatures(spark, d):
+    """One signature for each row of `part`."""
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    pattern = (F.when(k % 5 == 0, F.concat(F.lit("User 'U"), text, F.lit("'"))).when(k % 5 == 1, F.concat(F.lit('docsExamined":'), text))
+               .when(k % 5 == 2, F.concat(F.lit("Client: 10.0.0."), text, F.lit("]"))).when(k % 5 == 3, F.concat(F.lit('keysExamined":'), (k * 7).cast("string")))
+               .otherwise(F.concat(text, F.lit("}"))))
+    component = F.when((k % 5).isin(1, 3) & (k % 2 == 0), "QUERY").when(k % 7 == 0, "COMMAND")
+    return table(spark, d, "part").select(k.alias("order"), pattern.alias("pattern"), component.alias("component"),
+                                          F.concat(F.lit("part "), "p_name").alias("reason"))
+
+
+@query("j06_signature_table", f"""{L}, sig AS ({SIGNATURES}),
+hit AS (SELECT log_id, arg_min(reason, "order") AS benign_reason, min("order") AS benign_order FROM lines JOIN sig
+ ON contains(lower(msg), lower(pattern)) AND (component IS NULL OR component = c) GROUP BY 1)
+SELECT c, benign_order, benign_reason, CAST(benign_order IS NOT NULL AS INTEGER) AS is_known_benign, count(*) AS n FROM lines LEFT JOIN hit USING (log_id) GROUP BY 1, 2, 3, 4""")
+def signature_table(spark, d):
+    rows = A.tag_by_table(lines(spark, d), signatures(spark, d), ["log_id"])
+    return rows.groupBy("c", "benign_order", "benign_reason", F.col("is_known_benign").cast("int").alias("is_known_benign")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("k05_share_cap", f"""{L}, b AS (SELECT *, count(*) OVER (PARTITION BY host) AS total, row_number() OVER (PARTITION BY host,
  message_fingerprint ORDER BY severity_score DESC, log_id) AS fr FROM lines WHERE {BAD})
 SELECT host, log_id FROM b WHERE fr <= greatest(3, floor(total * 15 / 100))""")
