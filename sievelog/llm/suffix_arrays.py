@@ -8,6 +8,8 @@ Shards never meet, so nothing is shuffled; the benchmark goes to the tasks in bl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -100,10 +102,15 @@ class Block:
         raw = [t.encode() for _, t in items]
         w = Words(raw)
         self.item, self.at, self.need, rows = [], [], [], []
+        #: Spelling of each hash; None for a hash of several words.
+        self.spelt: dict[int, bytes | None] = {}
         self.text: list[list[bytes]] = []
         for i in range(len(raw)):
             hashes = w.of(i)
             self.text.append([w.word(k) for k in range(w.bounds[i], w.bounds[i + 1])])
+            for x, word in zip(hashes.tolist(), self.text[i]):
+                if self.spelt.setdefault(x, word) != word:
+                    self.spelt[x] = None
             for j in range(len(hashes)):
                 rows.append(hashes[j:j + SORTED])
                 self.item.append(i)
@@ -119,45 +126,72 @@ class Block:
         """Per text: number of words and matches (first word, end word, item, longest match in words). A match covers a
         window of an item; matches of one item that overlap or touch are joined."""
         w = Words(texts)
-        found: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in texts]
         counts = np.diff(w.bounds)
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         if len(w.hash) and len(self.tests):
             # a word that equals nothing between documents, so that no match crosses them
-            place = np.arange(len(w.hash)) + np.searchsorted(w.bounds[1:], np.arange(len(w.hash)), side="right")
+            doc_of = np.searchsorted(w.bounds[1:], np.arange(len(w.hash)), side="right")
             words = np.zeros(len(w.hash) + len(texts), dtype=np.uint64)
-            words[place] = np.where(w.hash == _NONE, np.uint64(1), w.hash)
+            words[np.arange(len(w.hash)) + doc_of] = np.where(w.hash == _NONE, np.uint64(1), w.hash)
             first = w.bounds[:-1] + np.arange(len(texts))
             order = suffix_array(words)
             depth, low, high = search(words, order, self.tests, np.minimum(self.size, self.need), WINDOW)
-            for s in np.flatnonzero(depth >= self.need):
-                item, at, need = int(self.item[s]), int(self.at[s]), int(self.need[s])
-                wanted = self.text[item]
-                for p in order[low[s]:high[s]]:  # all places of the window; each goes on for as long as it matches
-                    doc = int(np.searchsorted(first, p, side="right")) - 1
-                    k = int(p - first[doc])
-                    here = int(w.bounds[doc]) + k
-                    if any(w.word(here + x) != wanted[at + x] for x in range(need)):
-                        continue  # equal hashes of different words
-                    longest, most = need, min(len(wanted) - at, int(counts[doc]) - k)
-                    while longest < most and w.word(here + longest) == wanted[at + longest]:
-                        longest += 1
-                    found[doc].setdefault(item, []).append((k, k + need, longest))
-        return [(int(counts[d]), _joined(found[d])) for d in range(len(texts))]
-
-
-def _joined(by_item: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, int]]:
-    out = []
-    for item, parts in sorted(by_item.items()):
-        run: list[int] = []
-        for a, b, longest in sorted(parts):
-            if run and a <= run[1]:
-                run[1], run[2] = max(run[1], b), max(run[2], longest)
-            else:
-                if run:
-                    out.append((run[0], run[1], item, run[2]))
-                run = [a, b, longest]
-        out.append((run[0], run[1], item, run[2]))
-    return out
+            for item, need, best in self._items(np.flatnonzero(depth >= self.need), order, low, high, w, first):
+                starts = np.flatnonzero(best)
+                doc = np.searchsorted(first, starts, side="right") - 1
+                new = np.concatenate(([True], (np.diff(doc) > 0) | (np.diff(starts) > need)))
+                heads, tails = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(starts)) - 1
+                longest = np.maximum.reduceat(best[starts], heads)
+                for a, b, most in zip(heads, tails, longest):
+                    d = int(doc[a])
+                    out[d].append((int(starts[a] - first[d]), int(starts[b] - first[d]) + need, item, int(most)))
+        return [(int(n), found) for n, found in zip(counts, out)]
+
+    def _items(self, tests: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, w: Words, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For each item with a window in the shard: item, words of a window, and for each place the length of the verbatim
+        match that ends with the window there, 0 where none is.
+
+        A window at a place goes on from the item's window before it at the place before it, so a match is as long as its
+        run along the diagonal: words are never compared again for each place of a long or repetitive match.
+        """
+        doubtful = self._doubtful(tests, order, low, high, w, first)
+        best, last, before, run = np.zeros(0, dtype=np.int64), (-1, -1, 0), None, None
+        for s in tests:
+            item, at, need = int(self.item[s]), int(self.at[s]), int(self.need[s])
+            if item != last[0]:
+                if best.any():
+                    yield last[0], last[2], best
+                best, before = np.zeros(len(order), dtype=np.int64), None
+            here = np.sort(order[low[s]:high[s]])
+            unsure = doubtful[here + need] > doubtful[here]
+            if unsure.any():
+                here = here[[not u or self._same(w, p - int(np.searchsorted(first, p, side="right")) + 1, item, at, need) for p, u in zip(here.tolist(), unsure)]]
+            length = np.ones(len(here), dtype=np.int64)
+            if before is not None and len(before) and at == last[1] + 1:
+                k = np.minimum(np.searchsorted(before, here - 1), len(before) - 1)
+                length = np.where(before[k] == here - 1, run[k] + 1, 1)
+            best[here] = np.maximum(best[here], length + (need - 1))
+            last, before, run = (item, at, need), here, length
+        if best.any():
+            yield last[0], last[2], best
+
+    def _doubtful(self, tests: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, w: Words, first: np.ndarray) -> np.ndarray:
+        """Running count of the places within windows whose word isn't the one that its hash stands for in the block; each
+        word is spelt once, however many windows cover it."""
+        cover = np.zeros(len(order) + 1, dtype=np.int64)
+        for s in tests:
+            here = order[low[s]:high[s]]
+            cover[here] += 1
+            cover[here + self.need[s]] -= 1
+        wrong = np.zeros(len(order) + 1, dtype=np.int64)
+        inside = np.flatnonzero(np.cumsum(cover) > 0)
+        for p, at in zip(inside.tolist(), (inside - np.searchsorted(first, inside, side="right") + 1).tolist()):
+            word = self.spelt.get(int(w.hash[at]))
+            wrong[p + 1] = word is None or word != w.word(at)
+        return np.cumsum(wrong)
+
+    def _same(self, w: Words, word: int, item: int, at: int, need: int) -> bool:
+        return all(w.word(word + x) == self.text[item][at + x] for x in range(need))
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
@@ -175,7 +209,8 @@ def matches(df: DataFrame, benchmark: DataFrame, text: str = "text", **columns)
     """Adds n_words and matches, an array of (start, end, item_id, longest): the words [start, end) of the document lie
     in windows of the item, and the longest verbatim match from there has `longest` words.
 
-    Null and empty texts have no words and no matches. Repeated rows and ties stay as they are; columns of the input with
+    Null and empty texts have no words and no matches. Texts and items may be long and repeat themselves: a shard's places
+    of a window are handled as one array, so time grows with the places of all windows. Repeated rows and ties stay as they are; columns of the input with
     these names are replaced. Every block of the benchmark is one more pass over the text inside the same task.
     """
     import pyarrow as pa

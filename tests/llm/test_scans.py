@@ -202,3 +202,31 @@ def test_items_without_an_id_count_and_blocks_are_several(spark):
         got = {r["doc_id"]: (r["n_hit"], list(r["items"]), r["contaminated"]) for r in suffix_arrays.judge(frame(spark, texts), bench, **more).collect()}
         assert got == {0: (20, ["7"], True), 1: (20, [], True), 2: (40, ["7"], True), 3: (0, [], False)}
         assert [r["doc_id"] for r in suffix_arrays.remove(frame(spark, texts), bench, **more).collect()] == [3]
+
+
+def test_repetitive_items_and_texts(spark):
+    texts = ["a " * 5000, "b " + "a b c " * 800, ("a " * 30 + "x ") * 40, "a " * 12, "a b c a b c a b c a b c a", "a b c"]
+    bench = spark.createDataFrame([("i1", "a " * 400), ("i2", "a b c " * 200), ("i3", "a b c")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], list(r["items"]), {m["item_id"]: m["longest"] for m in r["matches"]}) for r in suffix_arrays.judge(frame(spark, texts), bench).collect()}
+    assert got[0] == (5000, ["i1"], {"i1": 400})
+    assert got[1] == (2400, ["i2", "i3"], {"i2": 600, "i3": 3})
+    assert got[2] == (1200, ["i1"], {"i1": 30})
+    assert got[3] == (0, [], {})
+    assert got[4] == (13, ["i2", "i3"], {"i2": 13, "i3": 3})
+    assert got[5] == (3, ["i3"], {"i3": 3})
+
+
+def test_words_of_one_hash_are_told_apart():
+    class Colliding(suffix_arrays.Words):
+        def __init__(self, texts):
+            super().__init__(texts)
+            self.hash = self.hash % 3 + 1  # many words share a hash
+
+    real, suffix_arrays.Words = suffix_arrays.Words, Colliding
+    try:
+        items = [("p", "one two three"), ("q", "four five"), ("r", " ".join("abcdefghijklmnop"))]
+        texts = ["x one two three y four five", "five four three two one", "z " + " ".join("abcdefghijklmnop"), "p o n m l k j i h g f e d c b a"]
+        got = suffix_arrays.Block(items).hits([t.encode() for t in texts])
+    finally:
+        suffix_arrays.Words = real
+    assert got == [(7, [(1, 4, 0, 3), (5, 7, 1, 2)]), (5, []), (17, [(1, 17, 2, 16)]), (16, [])]
