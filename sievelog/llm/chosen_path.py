@@ -154,6 +154,12 @@ def in_blocks(buckets: DataFrame) -> DataFrame:
         "path", "rep", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
+def smaller_paths(rows: DataFrame) -> DataFrame:
+    """`below`, the set's paths that are smaller than the row's, in place of all of them: nothing else of the sorted list
+    decides whether a pair has met before."""
+    return rows.withColumn("below", F.slice("all_paths", F.lit(1), (F.array_position("all_paths", F.col("path")) - 1).cast("int"))).drop("all_paths")
+
+
 def _groups(batches) -> Iterator[list[dict]]:
     """Rows of one (path, low, high) at a time, from sorted batches."""
     key, held = None, []
@@ -171,12 +177,12 @@ def _groups(batches) -> Iterator[list[dict]]:
 
 def _first_meeting(group: list[dict]) -> np.ndarray:
     """Which pairs of a group share no smaller bucket and stand in the blocks that the group is for."""
-    n, path = len(group), group[0]["path"]
+    n = len(group)
     block = np.array([r["block"] for r in group])
     wanted = np.ones((n, n), dtype=bool) if group[0]["low"] == group[0]["high"] else block[:, None] != block[None, :]
     np.fill_diagonal(wanted, False)
     seen: dict[int, int] = {}
-    at = [(i, seen.setdefault(p, len(seen))) for i, r in enumerate(group) for p in r["all_paths"] if p < path]
+    at = [(i, seen.setdefault(p, len(seen))) for i, r in enumerate(group) for p in r["below"]]
     if at:
         held = np.zeros((n, len(seen)), dtype=np.float32)
         held[tuple(np.array(at).T)] = 1
@@ -207,7 +213,7 @@ def _needed(batches) -> Iterator:
             low, high = sorted((a["size"], b["size"]))
             if (ABOVE + BELOW) * low < ABOVE * (low + high) or (a["low"] != a["high"] and a["block"] == b["block"]):
                 continue
-            if min(set(a["all_paths"]) & set(b["all_paths"])) != a["path"] or not _may_link(group)[0, 1]:
+            if not set(a["below"]).isdisjoint(b["below"]) or not _may_link(group)[0, 1]:
                 continue
             some = group
         else:
@@ -325,10 +331,10 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: flo
     lists = materialise(final.groupBy("rep").agg(F.sort_array(F.collect_list("path")).alias("all_paths")), "lists")
     key = ["path", "low", "high"]
     seen = lists.join(rows.select(F.col("_row").alias("rep"), "size", "counts"), "rep")
-    dealt = in_blocks(final).join(seen, "rep").repartition(*key).sortWithinPartitions(*key, "rep")
+    dealt = smaller_paths(in_blocks(final).join(seen, "rep")).repartition(*key).sortWithinPartitions(*key, "rep")
     needed = materialise(dealt.mapInArrow(_needed, "path long, low long, high long, block long, rep long"), "needed")
     sets = token_table(df, doc_id, text, materialise(firsts.join(needed.select("rep").distinct(), "rep"), "wanted"))
-    full = needed.join(sets.join(lists, "rep"), "rep").repartition(*key).sortWithinPartitions(*key, "rep")
+    full = smaller_paths(needed.join(sets.join(lists, "rep"), "rep")).repartition(*key).sortWithinPartitions(*key, "rep")
     found = materialise(full.mapInArrow(_compare, "rep long, links long, root long"), "links")
 
     part = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
