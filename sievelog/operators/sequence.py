@@ -110,32 +110,54 @@ def rolling_mean(df: DataFrame, keys: list[str], value: str, rows: int, name: st
             .filter(F.col("_home") == F.col("_block")).drop("_home", "_block"))
 
 
+def span_chunks(span_micros: int, chunk_micros: int) -> int:
+    """Into how many chunks of equal width a span is cut: the least number that divides it with chunks of at most
+    `chunk_micros`, looked for up to sixteen times as fine; else the largest below that divides it."""
+    least = -(-span_micros // chunk_micros)
+    finer = (k for k in range(least, 16 * least) if span_micros % k == 0)
+    return next(finer, None) or next(k for k in range(least, 0, -1) if span_micros % k == 0)
+
+
 def trailing_sums(df: DataFrame, keys: list[str], ts: str, sums: dict[str, Column], span_micros: int,
                   chunk_micros: int = CHUNK_MICROS) -> DataFrame:
     """Sums over the trailing time span (t - span, t], peers included, as a table keyed by (keys, _us).
 
-    The difference of two running totals: the total at t and the total at t - span. Both are looked up as
-    points on one time line, so the span may be far wider than a chunk.
+    The span is a whole number of chunks, so it consists of the end of one chunk (what lies after t - span there), the
+    whole chunks between, and the start of the chunk of t. Each part is added up on its own and nothing is subtracted: a
+    sum of fractions carries no error from lines outside its span, however long the key is. A sum is null when no line of
+    the span has a value. Lines without a time have one row of their own, with the sum over all of them.
     """
     names = list(sums)
+    pieces_in_span = span_chunks(span_micros, chunk_micros)
+    width = F.lit(span_micros // pieces_in_span)
     base = (df.withColumn("_us", micros(F.col(ts))).groupBy(*keys, "_us")
             .agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
-    zero = [F.lit(0).cast(base.schema[n].dataType).alias(n) for n in names]
-    points = (base.select(*keys, "_us", F.col("_us").alias("_at"), F.lit(0).alias("_mark"), *names)
-              .unionByName(base.select(*keys, "_us", (F.col("_us") - span_micros).alias("_at"),
-                                       F.lit(1).alias("_mark"), *zero))
-              .withColumn("_chunk", F.floor(F.col("_at") / F.lit(chunk_micros)).cast("bigint")))
-    by_key = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (points.groupBy(*keys, "_chunk").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
-               .select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(by_key), F.lit(0)).alias(f"_o_{n}")
-                                          for n in names]))
-    inside = (Window.partitionBy(*keys, "_chunk").orderBy("_at", "_mark")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    running = null_safe(points, offsets, [*keys, "_chunk"]).select(
-        *keys, "_us", "_mark", *[(F.sum(n).over(inside) + F.col(f"_o_{n}")).alias(n) for n in names])
-    return running.groupBy(*keys, "_us").agg(*[
-        (F.max(F.when(F.col("_mark") == 0, F.col(n))) - F.max(F.when(F.col("_mark") == 1, F.col(n)))).alias(n)
-        for n in names])
+    # the place t of a line, and for its end of the span the place t - span, with nothing to add
+    at = F.explode(F.array(F.struct(F.lit(0).alias("_mark"), F.col("_us").alias("_at")),
+                           F.struct(F.lit(1).alias("_mark"), (F.col("_us") - span_micros).alias("_at")))).alias("_p")
+    points = base.select(*keys, "_us", at, *names).select(
+        *keys, "_us", "_p.*", F.floor(F.col("_p._at") / width).cast("bigint").alias("_chunk"),
+        *[F.when(F.col("_p._mark") == 0, F.col(n)).alias(n) for n in names])
+    upto = Window.partitionBy(*keys, "_chunk").orderBy("_at", "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys, "_chunk").orderBy(F.col("_at").desc(), F.col("_mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    parts = points.select(*keys, "_us", "_mark", *[
+        F.when(F.col("_mark") == 0, F.sum(n).over(upto)).otherwise(F.sum(n).over(after)).alias(n) for n in names])
+    edges = parts.groupBy(*keys, "_us").agg(*[
+        F.max(F.when(F.col("_mark") == m, F.col(n))).alias(f"_{m}_{n}") for n in names for m in (0, 1)])
+    edges = edges.withColumn("_chunk", F.floor(F.col("_us") / width).cast("bigint"))
+    if pieces_in_span > 1:
+        between = Window.partitionBy(*keys).orderBy("_chunk").rangeBetween(1 - pieces_in_span, -1)
+        whole = (base.withColumn("_chunk", F.floor(F.col("_us") / width).cast("bigint")).groupBy(*keys, "_chunk")
+                 .agg(*[F.sum(n).alias(n) for n in names])
+                 .select(*keys, "_chunk", *[F.when(F.col("_chunk").isNotNull(), F.sum(n).over(between)).alias(f"_2_{n}") for n in names]))
+        edges = null_safe(edges, whole, [*keys, "_chunk"])
+    marks = (1, 2, 0) if pieces_in_span > 1 else (1, 0)
+
+    def total(n: str) -> Column:
+        zero = F.lit(0).cast(base.schema[n].dataType)
+        found = [F.col(f"_{m}_{n}") for m in marks]
+        return F.when(F.coalesce(*found).isNotNull(), sum([F.coalesce(c, zero) for c in found[1:]], F.coalesce(found[0], zero)))
+    return edges.select(*keys, "_us", *[total(n).cast(base.schema[n].dataType).alias(n) for n in names])
 
 
 def newest(df: DataFrame, keys: list[str], ts: str, tie: str, n: int,

@@ -60,6 +60,39 @@ def test_trailing_sums(spark, df, frame):
         assert got[(host, t)] == (inside.sum(), frame.loc[inside, "flag"].sum())
 
 
+@pytest.mark.parametrize("span, chunk", [(300_000_000, 60_000_000), (300_000_000, 70_000_000), (300_000_000, 10**9), (7_000_003, 60_000_000), (7_000_003, 1_000_000)])
+def test_trailing_sums_of_any_span(spark, df, frame, span, chunk):
+    parts = Q.span_chunks(span, chunk)
+    assert span % parts == 0
+    out = Q.trailing_sums(df, ["host"], "ts", {"n": F.lit(1).cast("bigint"), "f": F.when(F.col("flag") == 1, F.col("flag") / 8)}, span, chunk).toPandas()
+    got = {(h, u): (n, f) for h, u, n, f in out[["host", "_us", "n", "f"]].itertuples(index=False)}
+    us = (frame["ts"] - pd.Timestamp("1970-01-01")) // pd.Timedelta(microseconds=1)
+    places = {(h, u) for h, u in zip(frame["host"], us)}
+    assert len(out) == len(places)
+    for host, t in places:
+        inside = (frame["host"] == host) & (us > t - span) & (us <= t)
+        n, f = got[(host, t)]
+        flags = frame.loc[inside, "flag"].sum()
+        assert n == inside.sum() and (pd.isna(f) if flags == 0 else f == flags / 8)
+
+
+def test_trailing_sums_do_not_drift(spark):
+    """A long key of fractions after lines of a huge value: what lies outside a span leaves no trace in its sum."""
+    n, second = 60_000, 1_000_000
+    value = F.when(F.col("id") < 500, F.lit(1e17)).otherwise(F.lit(0.1))
+    rows = spark.range(n, numPartitions=6).select(F.lit("hot").alias("host"), F.timestamp_micros(F.col("id") * second).alias("ts"), value.alias("v"))
+    out = Q.trailing_sums(rows, ["host"], "ts", {"v": F.col("v")}, 600 * second, 60 * second)
+    late = out.filter(F.col("_us") >= 1100 * second).agg(F.min("v"), F.max("v"), F.count("v")).first()
+    assert abs(late[0] - 60) < 1e-9 and abs(late[1] - 60) < 1e-9 and late[2] == n - 1100
+
+
+def test_trailing_sums_without_times(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("a", None, 2), ("a", datetime(2024, 1, 1), 4), (None, datetime(2024, 1, 1), 8)], "host string, ts timestamp, v long")
+    out = {(r["host"], r["_us"] is None): r["v"] for r in Q.trailing_sums(rows, ["host"], "ts", {"v": F.col("v")}, 600_000_000).collect()}
+    assert out == {("a", True): 3, ("a", False): 4, (None, False): 8}
+    assert Q.trailing_sums(rows.limit(0), ["host"], "ts", {"v": F.col("v")}, 600_000_000).count() == 0
+
+
 def test_newest(df, frame):
     out = Q.newest(df, ["host"], "ts", "log_id", 37, 60_000_000).toPandas()
     want = frame.groupby("host").tail(37)
