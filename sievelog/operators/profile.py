@@ -9,27 +9,45 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sievelog.operators.sequence import top_n
 
 
+_LEVEL = "array<struct<path:string,type:string,v:variant>>"
+_FOUND = "array<struct<path:string,type:string,value:string>>"
+
+
+def _kind(v: Column) -> Column:
+    shape = F.schema_of_variant(v)
+    return (F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string")
+            .when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").otherwise("number"))
+
+
 def fields(df: DataFrame, json: str, depth: int | None = None) -> DataFrame:
     """One row per field occurrence: dotted path, type, text value. Objects are opened as deep as they go, or to `depth`
-    levels if given. No document nests deeper than it has opening braces, and the last level is found by looking."""
-    if depth is None:
-        braces = F.length(json) - F.length(F.replace(json, F.lit("{"), F.lit("")))
-        depth = max(df.agg(F.max(braces)).first()[0] or 1, 1)
-    root = df.select(F.try_parse_json(json).alias("v")).filter("v is not null")
-    level = root.select(F.lit("").alias("prefix"), "v")
-    found = []
-    for _ in range(depth):
-        level.createOrReplaceTempView("_sievelog_fields")
-        opened = df.sparkSession.sql(
-            "SELECT concat(prefix, key) AS path, value AS v FROM _sievelog_fields, LATERAL variant_explode(v) WHERE key IS NOT NULL")
-        kind = F.schema_of_variant("v")
-        opened = opened.withColumn("type", F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array")
-                                   .when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("number"))
-        found.append(opened.select("path", "type", F.when(~F.col("type").isin("object", "array"), F.try_variant_get("v", "$", "string")).alias("value")))
-        level = opened.filter("type = 'object'").select(F.concat("path", F.lit(".")).alias("prefix"), "v")
-        if len(found) < depth and level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found)
+    levels if given; arrays are one field. What is no JSON object, null too, has no fields.
+
+    Each document is walked on its own within one expression: a step opens the objects of one level, and a document takes
+    as many steps as it has opening braces at most. So the table is scanned once, and nothing runs while the plan is built.
+    """
+    text = F.col(json)
+    braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    most = braces if depth is None else F.least(braces, F.lit(depth))
+
+    def members(prefix: Column, v: Column) -> Column:
+        """What an object holds, null for anything else."""
+        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        return F.transform(entries, lambda e: F.struct(F.concat(prefix, e["key"]).alias("path"), _kind(e["value"]).alias("type"), e["value"].alias("v")))
+
+    def shown(state: Column) -> Column:
+        return F.concat(state["found"], F.transform(state["level"], lambda e: F.struct(
+            e["path"].alias("path"), e["type"].alias("type"),
+            F.when(~e["type"].isin("object", "array"), F.try_variant_get(e["v"], "$", "string")).alias("value")))).cast(_FOUND)
+
+    def step(state: Column) -> Column:
+        below = F.transform(F.filter(state["level"], lambda e: e["type"] == "object"), lambda e: members(F.concat(e["path"], F.lit(".")), e["v"]))
+        return F.struct(shown(state).alias("found"), F.flatten(below).cast(_LEVEL).alias("level"))
+
+    start = F.struct(F.array().cast(_FOUND).alias("found"), members(F.lit(""), F.try_parse_json(text)).cast(_LEVEL).alias("level"))
+    steps = F.array_repeat(F.lit(0), F.greatest(most - 1, F.lit(0)).cast("int"))
+    walked = F.aggregate(steps, start, lambda state, _: F.when(F.size(state["level"]) > 0, step(state)).otherwise(state), shown)
+    return df.select(F.explode(walked).alias("_f")).select("_f.*")
 
 
 def field_profile(df: DataFrame, json: str, depth: int | None = None, examples: int = 3) -> DataFrame:

@@ -1,5 +1,8 @@
 """Field profiles at any depth and dominant patterns by the whole fingerprint."""
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from sievelog.operators import analysis as A, profile as PR
@@ -12,6 +15,40 @@ def test_six_levels(spark):
     assert PR.fields(df.limit(0), "j").count() == 0
 
 
+def _walk(prefix, value):
+    kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}
+    for k, v in value.items():
+        yield prefix + k, kind.get(type(v), "number"), json.dumps(v) if isinstance(v, (bool, int, float)) else v if isinstance(v, str) else None
+        if isinstance(v, dict):
+            yield from _walk(f"{prefix}{k}.", v)
+
+
+def test_fields_equal_a_walk_of_each_document(spark):
+    rng = random.Random(3)
+
+    def made(depth):
+        kinds = [lambda: rng.randint(-9, 9), lambda: rng.choice(["", "x{", "y"]), lambda: None, lambda: rng.random() < 0.5, lambda: [1, {"in": {"side": 1}}]]
+        return {k: made(depth - 1) if depth and rng.random() < 0.5 else rng.choice(kinds)() for k in rng.sample("abcdef", rng.randint(0, 4))}
+
+    docs = [made(rng.randint(0, 9)) for _ in range(200)]
+    odd = [None, "", "nope{", "[{\"a\": 1}]", "5", "\"{\"", "{}", "{\"a\": 1"]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs] + [(o,) for o in odd], "j string").repartition(4)
+    got = sorted((tuple(r) for r in PR.fields(df, "j").collect()), key=str)
+    assert got == sorted((f for d in docs for f in _walk("", d)), key=str) and max(p.count(".") for p, *_ in got) > 3
+    assert PR.fields(df, "j", 2).agg(F.max(F.size(F.split("path", "[.]")))).first()[0] == 2
+
+
+def test_fields_scan_once_and_run_nothing_early(spark, tmp_path):
+    deep = "{\"k\":" * 40 + "1" + "}" * 40
+    spark.createDataFrame([(deep,)], "j string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    found = PR.fields(df, "j")
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(before)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert found.count() == 40 and found.filter("type = 'number'").first()["path"].count(".") == 39
+
+
 def test_asked_fields(spark):
     df = spark.createDataFrame([('{"plan":"COLLSCAN","ns":"shop.orders","n":1}',)], "j string")
     ask = lambda text: {r["path"] for r in PR.find_fields(PR.field_profile(df, "j"), text).collect()}
