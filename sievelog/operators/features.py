@@ -78,26 +78,34 @@ def attr_features(df: DataFrame) -> DataFrame:
     }).drop("_keys")
 
 
+def message_hash(msg: Column) -> Column:
+    """128 bits that stand for a message in counts and joins; null for null."""
+    return F.unhex(F.md5(msg.cast("binary")))
+
+
 def frequency_features(df: DataFrame, scope: list[str], rare: int = 100, base: DataFrame | None = None) -> DataFrame:
     """Counts per scope (one server by default) written back to every line. Counts are taken over `base`, the
     lines before any join, so that counting rescans three columns and not the whole chain.
 
-    (severity, component) pairs give component counts, totals and ranks in one small table. For messages only
-    the frequent ones are looked up: at most lines/rare rows, whatever the number of distinct messages.
+    (severity, component) pairs give component counts, totals and ranks in one small table. Messages are counted by
+    their 128-bit hash, so that no text is shuffled, and only the frequent ones are looked up: at most lines/rare rows,
+    whatever the number of distinct messages. Without a column `message_hash` the hash is taken here. A line without a
+    message is not rare.
     """
     pair = Window.partitionBy(*scope, "c")
     every = Window.partitionBy(*scope)
     base = df if base is None else base
+    df, base = (d if "message_hash" in d.columns else d.withColumn("message_hash", message_hash(F.col("msg"))) for d in (df, base))
     combos = (base.groupBy(*scope, "s", "c").agg(F.count(F.lit(1)).alias("combo_count"))
               .withColumn("component_count", F.sum("combo_count").over(pair))
               .withColumn("scope_total", F.sum("combo_count").over(every))
               .withColumn("component_encoded", F.dense_rank().over(
                   Window.partitionBy(*scope).orderBy(F.col("component_count").desc(), "c")) - 1))
-    common = (base.groupBy(*scope, "msg").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") >= rare)
-              .select(*scope, "msg", F.lit(1).alias("_common")))
+    common = (base.groupBy(*scope, "message_hash").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") >= rare)
+              .select(*scope, "message_hash", F.lit(1).alias("_common")))
     prints = base.groupBy(*scope, "message_fingerprint").agg(F.count(F.lit(1)).alias("fingerprint_count"))
     out = attach(df, combos, [*scope, "s", "c"])
-    out = attach(out, common, [*scope, "msg"])
+    out = attach(out, common, [*scope, "message_hash"])
     out = attach(out, prints, [*scope, "message_fingerprint"])
     share = lambda n: F.col(n).cast("double") / F.col("scope_total")
     return out.withColumns({
@@ -109,8 +117,8 @@ def frequency_features(df: DataFrame, scope: list[str], rare: int = 100, base: D
         "is_dominant_component": X.flag(share("component_count") > 0.5),
         "fingerprint_frequency_ratio": F.coalesce(share("fingerprint_count"), F.lit(0.0)),
         "is_dominant_message": X.flag(share("fingerprint_count") > 0.2),
-        "is_rare_message": X.flag(F.col("_common").isNull() & F.col("msg").isNotNull()),
-    }).drop("_common", "combo_count", "component_count", "scope_total", "fingerprint_count")
+        "is_rare_message": X.flag(F.col("_common").isNull() & F.col("message_hash").isNotNull()),
+    }).drop("_common", "message_hash", "combo_count", "component_count", "scope_total", "fingerprint_count")
 
 
 def gap_seconds(ts: str = "ts", before: str = "prev_ts") -> Column:
@@ -142,7 +150,7 @@ def mongodb_line_features(df: DataFrame) -> DataFrame:
 
 
 def mongodb_features(df: DataFrame, keys: list[str] = ["host"], rare: int = 100) -> DataFrame:
-    lines = mongodb_line_features(df)
+    lines = mongodb_line_features(df).withColumn("message_hash", message_hash(F.col("msg")))
     return frequency_features(sequence_features(lines, keys), keys, rare, lines)
 
 

@@ -33,10 +33,16 @@ def event_props_profile(spark, d):
     return PR.field_profile(table(spark, d, "events"), "props").select("path", "count", r6("fill_rate"))
 
 
-@query("a14_found_fields", f"""{FIELDS_SQL} SELECT path, n AS count FROM p WHERE contains(lower(path), 'plan') OR contains(lower(path), 'code') OR contains(lower(path), 'micros')""")
+#: A question that holds words of field names and, in its last word, an example value of a field that it doesn't name.
+ASKED = "plan code micros shop.items"
+
+
+@query("a14_found_fields", f"""{FIELDS_SQL}, e AS (SELECT path, value, row_number() OVER (PARTITION BY path ORDER BY n DESC, value) AS k
+ FROM (SELECT path, atom ->> '$' AS value, count(*) AS n FROM f WHERE type NOT IN ('object', 'array', 'null') GROUP BY ALL))
+SELECT path, n AS count FROM p WHERE {" OR ".join(f"contains(lower(path), '{w}')" for w in ASKED.split())}
+ OR path IN (SELECT path FROM e WHERE k <= 3 AND value <> '' AND contains('{ASKED}', lower(value)))""")
 def found_fields(spark, d):
-    profile = PR.field_profile(views.mongo_logs(spark, d), "attr", examples=1)
-    return PR.find_fields(profile, "plan code micros").select("path", "count")
+    return PR.find_fields(PR.field_profile(views.mongo_logs(spark, d), "attr"), ASKED).select("path", "count")
 
 
 _Q = f"""WITH {LINES_SQL}, q AS (SELECT log_id, raw_duration_ms AS ms, raw_docs_examined AS docs, raw_keys_examined AS keys, log_id % 2000 AS ret FROM lines WHERE raw_docs_examined > 0),

@@ -167,3 +167,15 @@ def test_order_over_split_pieces(spark):
 
 def test_pieces_of_an_empty_table(spark):
     assert Q.with_previous(crowd(spark, 10).limit(0), ["host"], "ts", "log_id", ["log_id"]).count() == 0
+
+
+def test_messages_are_counted_by_hash(spark):
+    """Frequent, rare and missing messages, a null host too; no text of a message in an exchange of the counts."""
+    rows = [(h, "I", "C", m) for h in ("hot", None) for m, n in [("often", 120), ("99 times", 99), ("x" * 5000, 100), ("", 100), (None, 150)] for _ in range(n)]
+    df = spark.createDataFrame(rows, "host string, s string, c string, msg string").withColumn("message_fingerprint", F.lit("f"))
+    out = FE.frequency_features(df.filter("host IS NOT NULL"), ["host"])
+    assert "message_hash" not in out.columns and out.count() == 569
+    flags = {r["msg"]: r["is_rare_message"] for r in out.select("msg", "is_rare_message").distinct().collect()}
+    assert flags == {"often": 0, "99 times": 1, "x" * 5000: 0, "": 0, None: 0}
+    plan = FE.frequency_features(df, ["host"]).select("host", "is_rare_message")._jdf.queryExecution().executedPlan().toString()
+    assert "message_hash" in plan and not any("msg#" in line for line in plan.splitlines() if "hashpartitioning" in line)
