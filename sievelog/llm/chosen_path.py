@@ -27,8 +27,9 @@ from sievelog.sources.store import materialise
 WORDS, ABOVE, BELOW, RECALL = 5, 4, 5, 1 - 1e-9
 #: Tokens a path takes is 1 / SPLIT on average; lengths of the shortest and of the longest path.
 SPLIT, FIRST, LAST = 0.65, 2, 4
-#: Sets in a bucket before its path goes on; sets in a block of a bucket that is still larger at the end.
-BUCKET, BLOCK = 200, 256
+#: Sets in a bucket before its path goes on. A bucket that is still larger at the end is dealt into blocks: of so many sets
+#: where their tokens are compared, and of WIDE times as many where only paths, sizes and counts decide what to compare.
+BUCKET, BLOCK, WIDE = 200, 256, 4
 #: Parts of the hash range in which a set's tokens are counted: the smaller counts bound what two sets share.
 PARTS = 64
 #: Sets whose ids are broadcast to the texts (about 100 bytes each); more meet their texts by a shuffle.
@@ -145,13 +146,15 @@ def token_table(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
 
 
 def in_blocks(buckets: DataFrame) -> DataFrame:
-    """(path, low, high, block, rep): a bucket of up to BLOCK sets is one block; a larger one is dealt into blocks by hash,
-    and each pair of blocks meets in one group, so that no group holds more than about two blocks."""
+    """(path, low, high, block, rep): sets are dealt into blocks by hash, WIDE blocks form a wide one, and each pair of wide
+    blocks meets in one group (low, high), so that no group holds more than about 2 * WIDE * BLOCK sets. A bucket of one
+    wide block is one group, and its rows are not copied."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = buckets.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return rows.select("path", "rep", "block", other).select(
-        "path", "rep", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    rows = buckets.withColumn("parts", F.ceil(parts / WIDE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    wide = F.floor(F.col("block") / WIDE).cast("int")
+    one = rows.filter("parts = 1").select("path", "rep", "block", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    more = rows.filter("parts > 1").select("path", "rep", "block", wide.alias("wide"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return one.union(more.select("path", "rep", "block", F.least("wide", "other").alias("low"), F.greatest("wide", "other").alias("high")))
 
 
 def smaller_paths(rows: DataFrame) -> DataFrame:
@@ -175,76 +178,103 @@ def _groups(batches) -> Iterator[list[dict]]:
         yield held
 
 
-def _first_meeting(group: list[dict]) -> np.ndarray:
-    """Which pairs of a group share no smaller bucket and stand in the blocks that the group is for."""
+def _common(rows: np.ndarray, values: np.ndarray, n: int, kind: type = np.float32, columns: int = 4096) -> np.ndarray:
+    """How many values each two of n rows have in common, by products of 0/1 matrices over the values that several rows
+    have; (rows[i], values[i]) are distinct."""
+    total = np.zeros((n, n), dtype=kind)
+    if not len(values):
+        return total
+    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.full(len(count), -1, dtype=np.int64)
+    several = np.flatnonzero(count > 1)
+    number[several] = np.arange(len(several))
+    place = number[inverse]
+    rows, place = rows[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    rows, place = rows[order], place[order]
+    for at in range(0, len(several), columns):
+        a, b = np.searchsorted(place, [at, at + columns])
+        part = np.zeros((n, min(columns, len(several) - at)), dtype=np.float32)
+        part[rows[a:b], place[a:b] - at] = 1
+        total += part @ part.T
+    return total
+
+
+def _first_meeting(group: list[dict], width: int = 1) -> np.ndarray:
+    """Which pairs of a group share no smaller bucket and stand in the blocks, `width` blocks wide, that the group is for."""
     n = len(group)
-    block = np.array([r["block"] for r in group])
+    block = np.array([r["block"] for r in group]) // width
     wanted = np.ones((n, n), dtype=bool) if group[0]["low"] == group[0]["high"] else block[:, None] != block[None, :]
     np.fill_diagonal(wanted, False)
-    seen: dict[int, int] = {}
-    at = [(i, seen.setdefault(p, len(seen))) for i, r in enumerate(group) for p in r["below"]]
-    if at:
-        held = np.zeros((n, len(seen)), dtype=np.float32)
-        held[tuple(np.array(at).T)] = 1
-        held = held[:, held.sum(axis=0) > 1]
-        wanted &= held @ held.T == 0
-    return wanted
+    held = [len(r["below"]) for r in group]
+    paths = np.fromiter((p for r in group for p in r["below"]), dtype=np.int64, count=sum(held))
+    return wanted & (_common(np.repeat(np.arange(n), held), paths, n) == 0)
 
 
 def _may_link(group: list[dict]) -> np.ndarray:
     """Which pairs can be similar enough by their sizes and by what they hold in each part of the hash range."""
     size = np.array([r["size"] for r in group])
-    counts = np.array([np.frombuffer(r["counts"], dtype=np.uint8) for r in group]).astype(np.int64)
-    counts[counts == 255] = 1 << 40
-    most = np.minimum(size[:, None], size[None, :])
+    counts = np.array([np.frombuffer(r["counts"], dtype=np.uint8) for r in group]).astype(np.int32)
+    counts[counts == 255] = 1 << 24
+    low = np.minimum(size[:, None], size[None, :])
+    may = (ABOVE + BELOW) * low >= ABOVE * (size[:, None] + size[None, :])
     for i in range(len(group)):
-        most[i] = np.minimum(most[i], np.minimum(counts[i], counts).sum(axis=1))
-    return (ABOVE + BELOW) * most >= ABOVE * (size[:, None] + size[None, :])
+        at = np.flatnonzero(may[i])
+        most = np.minimum(low[i, at], np.minimum(counts[i], counts[at]).sum(axis=1))
+        may[i, at] = (ABOVE + BELOW) * most >= ABOVE * (size[i] + size[at])
+    return may
+
+
+def _pairs_of_blocks(group: list[dict], wanted: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(path, low, high, block, rep) of the sets that have a wanted pair, for each pair of blocks on its own."""
+    block = np.array([r["block"] for r in group])
+    for low in np.unique(block):
+        ours = np.flatnonzero(block == low)
+        for high in np.unique(block[wanted[ours].any(axis=0)]):
+            if high < low:
+                continue
+            theirs = np.flatnonzero(block == high)
+            here = wanted[np.ix_(ours, theirs)]
+            sets = {*ours[here.any(axis=1)].tolist(), *theirs[here.any(axis=0)].tolist()}
+            for i in sorted(sets):
+                yield group[i]["path"], int(low), int(high), int(block[i]), group[i]["rep"]
 
 
 def _needed(batches) -> Iterator:
-    """(path, low, high, block, rep) of the sets that have a pair to compare in their group."""
+    """(path, low, high, block, rep) of the sets that have a pair to compare in a pair of blocks (low, high)."""
     import pyarrow as pa
     names = ["path", "low", "high", "block", "rep"]
-    out: list[list] = [[] for _ in names]
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names)
+
     for group in _groups(batches):
         if len(group) == 2:  # the usual case, without arrays
             a, b = group
             low, high = sorted((a["size"], b["size"]))
-            if (ABOVE + BELOW) * low < ABOVE * (low + high) or (a["low"] != a["high"] and a["block"] == b["block"]):
+            if (ABOVE + BELOW) * low < ABOVE * (low + high) or (a["low"] != a["high"] and a["block"] // WIDE == b["block"] // WIDE):
                 continue
             if not set(a["below"]).isdisjoint(b["below"]) or not _may_link(group)[0, 1]:
                 continue
-            some = group
+            wanted = ~np.eye(2, dtype=bool)
         else:
-            some = [r for r, w in zip(group, (_first_meeting(group) & _may_link(group)).any(axis=1)) if w]
-        for r in some:
-            for column, name in zip(out, names):
-                column.append(r[name])
-        if len(out[0]) > 20_000:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names)
-            out = [[] for _ in names]
-    yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names)
-
-
-def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of all intersections, by products of 0/1 matrices over the tokens that several sets have."""
-    n = len(sets)
-    values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    number = np.full(len(values), -1, dtype=np.int64)
-    several = np.flatnonzero(count > 1)
-    number[several] = np.arange(len(several))
-    place, total = number[inverse], np.zeros((n, n), dtype=np.float64)
-    owner, place = owner[place >= 0], place[place >= 0]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    for at in range(0, len(several), columns):
-        a, b = np.searchsorted(place, [at, at + columns])
-        part = np.zeros((n, min(columns, len(several) - at)), dtype=np.float32)
-        part[owner[a:b], place[a:b] - at] = 1
-        total += part @ part.T
-    return total
+            wanted = _first_meeting(group, WIDE)
+            some = np.flatnonzero(wanted.any(axis=1))  # sets that have met all others before are compared no more
+            if not len(some):
+                continue
+            group, wanted = [group[i] for i in some], wanted[np.ix_(some, some)]
+            wanted &= _may_link(group)
+        out += _pairs_of_blocks(group, wanted)
+        if len(out) > 20_000:
+            yield batch()
+            out.clear()
+    yield batch()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections."""
+    return _common(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), len(sets), np.float64)
 
 
 def _compare(batches) -> Iterator:

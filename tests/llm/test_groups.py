@@ -243,3 +243,33 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
 
 
 corpus_pipeline_columns = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_blocks_hold_every_pair_once(spark):
+    """Of a bucket of several wide blocks each pair of sets meets in one group; smaller buckets are not copied."""
+    n = 3 * chosen_path.WIDE * chosen_path.BLOCK
+    buckets = spark.range(n).selectExpr("7L AS path", "id AS rep", f"{n}L AS n").union(spark.range(300).selectExpr("8L AS path", "id AS rep", "300L AS n"))
+    rows = chosen_path.in_blocks(buckets)
+    assert rows.filter("path = 8").count() == 300 and rows.filter("path = 7").count() == 3 * n
+    sizes = {(r["low"], r["high"]): r["count"] for r in rows.filter("path = 7").groupBy("low", "high").count().collect()}
+    assert len(sizes) == 6 and max(sizes.values()) < 2.2 * chosen_path.WIDE * chosen_path.BLOCK
+    inside = {i: sizes[i, i] for i in range(3)}
+    pairs = sum(m * (m - 1) // 2 if a == b else inside[a] * inside[b] for (a, b), m in sizes.items())
+    assert pairs == n * (n - 1) // 2
+
+
+def test_pairs_of_blocks_name_every_wanted_pair():
+    pick = np.random.default_rng(5)
+    group = [{"path": 1, "rep": int(i), "block": int(pick.integers(0, 5))} for i in range(60)]
+    wanted = pick.random((60, 60)) < 0.01
+    wanted |= wanted.T
+    np.fill_diagonal(wanted, False)
+    named = {}
+    for path, low, high, block, rep in chosen_path._pairs_of_blocks(group, wanted):
+        assert low <= high and block in (low, high) and group[rep]["block"] == block
+        assert rep not in named.setdefault((low, high), set())
+        named[low, high].add(rep)
+    for i, j in zip(*np.nonzero(wanted)):
+        low, high = sorted((group[i]["block"], group[j]["block"]))
+        assert {i, j} <= named[low, high]
+    assert not list(chosen_path._pairs_of_blocks(group, np.zeros((60, 60), dtype=bool)))
