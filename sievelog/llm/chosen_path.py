@@ -145,16 +145,26 @@ def token_table(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
     return materialise(met.select("_key", "rep", F.col("_s.tokens").alias("tokens"), "copies").dropDuplicates(["_key", "rep"]).drop("_key"), "tokens")
 
 
-def in_blocks(buckets: DataFrame) -> DataFrame:
-    """(path, low, high, block, rep): sets are dealt into blocks by hash, WIDE blocks form a wide one, and each pair of wide
-    blocks meets in one group (low, high), so that no group holds more than about 2 * WIDE * BLOCK sets. A bucket of one
-    wide block is one group, and its rows are not copied."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = buckets.withColumn("parts", F.ceil(parts / WIDE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    wide = F.floor(F.col("block") / WIDE).cast("int")
-    one = rows.filter("parts = 1").select("path", "rep", "block", F.lit(0).alias("low"), F.lit(0).alias("high"))
-    more = rows.filter("parts > 1").select("path", "rep", "block", wide.alias("wide"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return one.union(more.select("path", "rep", "block", F.least("wide", "other").alias("low"), F.greatest("wide", "other").alias("high")))
+_MEMBER = ["rep", "block", "size", "counts", "below"]
+
+
+def in_blocks(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, rep, block, wide, parts), for buckets of one wide block and for larger ones: sets are dealt into blocks by
+    hash, and WIDE blocks form a wide one."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = buckets.withColumn("parts", F.ceil(blocks / WIDE).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    rows = rows.withColumn("wide", F.floor(F.col("block") / WIDE).cast("int")).drop("n")
+    return rows.filter("parts = 1"), rows.filter("parts > 1")
+
+
+def packed_groups(rows: DataFrame) -> DataFrame:
+    """(path, low, high, members) of large buckets: a wide block of sets is one row, and each pair of wide blocks meets in
+    one group (low, high), sorted. So a group holds about 2 * WIDE * BLOCK sets at most, in two rows."""
+    block = rows.groupBy("path", "wide").agg(F.collect_list(F.struct(*_MEMBER)).alias("members"), F.first("parts").alias("parts"))
+    pairs = block.select("path", "wide", "members", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    key = ["path", "low", "high"]
+    dealt = pairs.select("path", F.least("wide", "other").alias("low"), F.greatest("wide", "other").alias("high"), "members")
+    return dealt.repartition(*key).sortWithinPartitions(*key)
 
 
 def smaller_paths(rows: DataFrame) -> DataFrame:
@@ -164,16 +174,18 @@ def smaller_paths(rows: DataFrame) -> DataFrame:
 
 
 def _groups(batches) -> Iterator[list[dict]]:
-    """Rows of one (path, low, high) at a time, from sorted batches."""
+    """Rows of one (path, low, high) at a time, from sorted batches; a packed row stands for its members. Rows without
+    (low, high) are of a bucket that is one group."""
     key, held = None, []
     for batch in batches:
-        for r in batch.to_pylist():
-            here = (r["path"], r["low"], r["high"])
+        packed = "members" in batch.schema.names
+        for r in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()) if packed else batch.to_pylist():
+            here = (r["path"], r.get("low", 0), r.get("high", 0))
             if here != key and held:
                 yield held
                 held = []
             key = here
-            held.append(r)
+            held += [{**m, "path": here[0], "low": here[1], "high": here[2]} for m in r["members"]] if packed else [{"low": 0, "high": 0, **r}]
     if held:
         yield held
 
@@ -361,8 +373,10 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: flo
     lists = materialise(final.groupBy("rep").agg(F.sort_array(F.collect_list("path")).alias("all_paths")), "lists")
     key = ["path", "low", "high"]
     seen = lists.join(rows.select(F.col("_row").alias("rep"), "size", "counts"), "rep")
-    dealt = smaller_paths(in_blocks(final).join(seen, "rep")).repartition(*key).sortWithinPartitions(*key, "rep")
-    needed = materialise(dealt.mapInArrow(_needed, "path long, low long, high long, block long, rep long"), "needed")
+    one, large = (smaller_paths(b.join(seen, "rep")) for b in in_blocks(final))
+    one = one.select("path", *_MEMBER).repartition("path").sortWithinPartitions("path", "rep")
+    pairs = "path long, low long, high long, block long, rep long"
+    needed = materialise(one.mapInArrow(_needed, pairs).union(packed_groups(large).mapInArrow(_needed, pairs)), "needed")
     sets = token_table(df, doc_id, text, materialise(firsts.join(needed.select("rep").distinct(), "rep"), "wanted"))
     full = smaller_paths(needed.join(sets.join(lists, "rep"), "rep")).repartition(*key).sortWithinPartitions(*key, "rep")
     found = materialise(full.mapInArrow(_compare, "rep long, links long, root long"), "links")

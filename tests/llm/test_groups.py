@@ -246,13 +246,17 @@ corpus_pipeline_columns = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_blocks_hold_every_pair_once(spark):
-    """Of a bucket of several wide blocks each pair of sets meets in one group; smaller buckets are not copied."""
+    """Of a bucket of several wide blocks each pair of sets meets in one group, of two packed rows; others are not copied."""
     n = 3 * chosen_path.WIDE * chosen_path.BLOCK
     buckets = spark.range(n).selectExpr("7L AS path", "id AS rep", f"{n}L AS n").union(spark.range(300).selectExpr("8L AS path", "id AS rep", "300L AS n"))
-    rows = chosen_path.in_blocks(buckets)
-    assert rows.filter("path = 8").count() == 300 and rows.filter("path = 7").count() == 3 * n
-    sizes = {(r["low"], r["high"]): r["count"] for r in rows.filter("path = 7").groupBy("low", "high").count().collect()}
-    assert len(sizes) == 6 and max(sizes.values()) < 2.2 * chosen_path.WIDE * chosen_path.BLOCK
+    one, large = chosen_path.in_blocks(buckets)
+    assert one.count() == 300 == one.filter("path = 8").count() and large.count() == n
+    packed = chosen_path.packed_groups(large.selectExpr("*", "1 AS size", "X'00' AS counts", "array(1L) AS below"))
+    assert packed.count() == 9
+    groups = list(chosen_path._groups(packed.toArrow().to_batches()))
+    sizes = {(g[0]["low"], g[0]["high"]): len(g) for g in groups}
+    assert len(groups) == len(sizes) == 6 and max(sizes.values()) < 2.2 * chosen_path.WIDE * chosen_path.BLOCK
+    assert all(len({r["rep"] for r in g}) == len(g) and {r["block"] // chosen_path.WIDE for r in g} == {g[0]["low"], g[0]["high"]} for g in groups)
     inside = {i: sizes[i, i] for i in range(3)}
     pairs = sum(m * (m - 1) // 2 if a == b else inside[a] * inside[b] for (a, b), m in sizes.items())
     assert pairs == n * (n - 1) // 2
