@@ -133,8 +133,8 @@ def deeper(buckets: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def token_table(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Stored: rep, tokens, copies of the sets wanted (rep, rep_id, set, copies), from one text of each. Few sets go to the
-    texts; beyond BROADCAST_SETS texts and ids are shuffled to meet."""
+    """rep, tokens, copies of the sets wanted (rep, rep_id, set, copies), from one text of each, dealt out by rep. Few sets go
+    to the texts; beyond BROADCAST_SETS texts and ids are shuffled to meet."""
     import pyarrow as pa
     udf = per_batch(lambda texts: [(_signature(t), t.tobytes()) for t in _token_sets(texts)], "found string, tokens binary", [pa.string(), pa.binary()])
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
@@ -142,7 +142,7 @@ def token_table(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
     few = wanted.select(key("rep_id"), "rep", "set", "copies")
     few = F.broadcast(few) if wanted.count() <= BROADCAST_SETS else few
     met = texts.join(few, "_key").withColumn("_s", udf(F.col("_text"))).filter(F.col("_s.found") == F.col("set"))
-    return materialise(met.select("_key", "rep", F.col("_s.tokens").alias("tokens"), "copies").dropDuplicates(["_key", "rep"]).drop("_key"), "tokens")
+    return met.select("rep", F.col("_s.tokens").alias("tokens"), "copies").dropDuplicates(["rep"])
 
 
 _MEMBER = ["rep", "block", "size", "counts", "below"]
@@ -365,7 +365,8 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: flo
         if hot.isEmpty():
             break
         if depth == FIRST:
-            sets = token_table(df, doc_id, text, materialise(firsts.join(hot.select("rep").distinct(), "rep"), "hot"))
+            wanted = materialise(firsts.join(hot.select("rep").distinct(), "rep"), "hot")
+            sets = materialise(token_table(df, doc_id, text, wanted), "tokens")
         level = shared(deeper(hot, sets))
         final = final.union(level.filter(F.col("n") <= BUCKET))
     final = materialise(final.union(level.filter(F.col("n") > BUCKET)), "final")
