@@ -1,20 +1,23 @@
 """Isolation forests, one per host, as a table of tree nodes (Liu, Ting and Zhou, 2008).
 
 Sampling, grouping, thresholds and ensembles are Spark jobs. Python sees one tree's sample (512 rows) when it
-grows, or one bounded slice of a host's rows when it scores; a host of any size is many slices. Samples follow a
-hash of the row id, so the forest is the same whatever the partitioning. For scoring a host's nodes are packed once into
-one row of arrays; a slice meets that row, not the nodes.
+grows, or one batch of a slice of a host's rows beside that host's forest when it scores. Samples follow a hash of the
+row id, so the forest is the same whatever the partitioning. For scoring a host's nodes are packed once into one row of
+arrays; that row goes to at most a few slices a core, whatever the host's size, and the rows of a slice stream past it.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import chain
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sievelog.operators.lookup import attach
+from sievelog.operators.lookup import attach, null_safe
 from sievelog.operators.sequence import top_n
 from sievelog.sources.store import materialise
 
@@ -47,7 +50,7 @@ def plan(matrix: DataFrame, trees: int = 300, samples: int = 512, contamination:
 def tree_samples(matrix: DataFrame, planned: DataFrame, trees: int, seed: int) -> DataFrame:
     """Rows of every (host, tree): seeded draws by hash. Large hosts are thinned before anything is shuffled, small
     ones are drawn repeatedly (a bootstrap); a host never ships more than about 1.3 samples per tree."""
-    rows = attach(matrix, planned.filter("status = 'SUCCESS'").select("host", "rows", "sample_size"), ["host"], "inner")
+    rows = attach(matrix, materialise(planned.filter("status = 'SUCCESS'").select("host", "rows", "sample_size"), "plan"), ["host"], "inner")
     wanted = F.lit(1.3 * trees) * F.col("sample_size")
     uniform = F.pmod(F.xxhash64("host", "log_id", F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
     draws = F.sequence(F.lit(1), F.ceil(wanted / F.col("rows")).cast("int"))
@@ -120,7 +123,9 @@ def fit_global(matrix: DataFrame, features: list[str], **options) -> DataFrame:
 # ---- scoring ----
 
 #: Rows that walk together: their places stay in the processor's cache.
-WALKING = 8192
+WALKING = 16384
+#: Slices a core that a host's rows are dealt over at most; each gets one copy of the host's forest.
+SLICES = 8
 PACKED = "trees int, expected double, starts binary, feature binary, threshold binary, right binary, path binary"
 _KINDS = {"starts": np.int64, "feature": np.int32, "threshold": np.float64, "right": np.int32, "path": np.float64}
 
@@ -141,54 +146,127 @@ def pack(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("host").applyInPandas(run, f"host string, {PACKED}")
 
 
-def _scores(x: np.ndarray, forest: pd.Series) -> np.ndarray:
-    """-2^(-mean path / c(sample)) for every row; a block of rows walks a tree together, level by level."""
-    if len(x) > WALKING:
-        return np.concatenate([_scores(x[i:i + WALKING], forest) for i in range(0, len(x), WALKING)])
-    part = {k: np.frombuffer(forest[k], dtype=t) for k, t in _KINDS.items()}
-    part = {k: v.astype(np.intp) if v.dtype.kind == "i" else v for k, v in part.items()}
-    total, flat, first = np.zeros(len(x)), np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
-    for a, b in zip(part["starts"][:-1], part["starts"][1:]):
-        feature, cut, right, path = (part[k][a:b] for k in ("feature", "threshold", "right", "path"))
-        at = here = np.zeros(len(x), dtype=np.intp)
-        walking, row = np.arange(len(x)) if feature[0] >= 0 else at[:0], first
-        while len(walking):
-            below = flat.take(row + feature.take(here, mode="clip"), mode="clip") <= cut.take(here, mode="clip")
-            here = np.where(below, here + 1, right.take(here, mode="clip"))
-            at[walking] = here
-            on = feature.take(here, mode="clip") >= 0
-            if not on.all():
-                walking, here, row = walking[on], here[on], row[on]
-        total += path.take(at)
-    return -np.power(2.0, -(total / forest["trees"]) / max(forest["expected"], 1e-12))
+class _Walk:
+    """A packed forest made ready for rows. Values become their places among the cuts of their feature, and every tree is
+    laid out level by level with all places filled (a leaf stands for all below it): a step needs the node, the row's place
+    and one subtraction. A tree has 2^(height + 1) places, about 1000 for a sample of 512 rows."""
+
+    def __init__(self, forest: pd.Series, width: int) -> None:
+        part = {k: np.frombuffer(forest[k], dtype=t) for k, t in _KINDS.items()}
+        feature, root = part["feature"], part["starts"][:-1]
+        right = part["right"] + np.repeat(root, np.diff(part["starts"]))
+        self.trees, self.expected, self.width = forest["trees"], forest["expected"], width
+        self.bits = max(width - 1, 1).bit_length()
+        self.cuts = [np.unique(part["threshold"][feature == j]) for j in range(width)]
+        word = np.zeros(len(feature), dtype=np.int64)
+        for j, cuts in enumerate(self.cuts):
+            word[feature == j] = (np.searchsorted(cuts, part["threshold"][feature == j]) << self.bits) + j
+        tree = np.repeat(np.arange(len(root)), np.diff(part["starts"]))
+        self.uses = np.zeros((len(root), width), dtype=bool)
+        self.uses[tree[feature >= 0], feature[feature >= 0]] = True
+        self.levels, here = [], root[:, None]
+        while (inner := feature[here] >= 0).any():
+            self.levels.append(word[here])
+            below, above = np.where(inner, here + 1, here), np.where(inner, right[here], here)
+            here = np.stack([above, below], axis=2).reshape(len(root), -1)
+        self.ends = part["path"][here]
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """For every value the number of cuts of its feature below it (a missing one is above all), ready to be compared."""
+        out = np.empty(x.shape, dtype=np.int64)
+        for j, cuts in enumerate(self.cuts):
+            out[:, j] = (np.searchsorted(cuts, x[:, j]) << self.bits) - 1
+        return out
+
+    def paths(self, places: np.ndarray, trees: np.ndarray | None = None) -> Iterator[tuple[slice, int, np.ndarray]]:
+        """(rows, tree, path length): blocks of rows, and for each the trees in their order."""
+        for i in range(0, len(places), WALKING):
+            block = np.ascontiguousarray(places[i:i + WALKING])
+            flat, first = block.ravel(), np.arange(len(block)) * self.width
+            here, node, at, path = (np.empty(len(block), dtype=t) for t in (np.int64, np.int64, np.int64, float))
+            for t in range(len(self.ends)) if trees is None else trees:
+                here[:] = 0
+                for level in self.levels:
+                    level[t].take(here, out=node, mode="wrap")
+                    np.bitwise_and(node, (1 << self.bits) - 1, out=at)
+                    at += first
+                    flat.take(at, out=at, mode="wrap")
+                    at -= node
+                    at >>= 63  # -1 where the value is not above the cut
+                    here += here
+                    here -= at
+                self.ends[t].take(here, out=path, mode="wrap")
+                yield slice(i, i + WALKING), t, path
+
+    def scores(self, total: np.ndarray) -> np.ndarray:
+        """-2^(-mean path / c(sample))."""
+        return -np.power(2.0, -(total / self.trees) / max(self.expected, 1e-12))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for rows, _, path in self.paths(self.places(x)):
+            total[rows] += path
+        return self.scores(total)
+
+
+def _most_slices(df: DataFrame) -> int:
+    return SLICES * df.sparkSession.sparkContext.defaultParallelism
 
 
 def _sliced(matrix: DataFrame, models: DataFrame, slice_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows and models, both with `model` and `slice`: rows of a host without a model of its own go to the global one."""
-    hosts = models.select(F.col("host").alias("model")).distinct().withColumn("_has", F.lit(True))
-    keyed = attach(matrix.withColumn("model", F.col("host")), hosts, ["model"])
-    keyed = keyed.withColumn("model", F.when(F.col("_has"), F.col("model")).otherwise(F.lit(GLOBAL))).drop("_has")
-    sizes = keyed.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias("slices"))
-    keyed = attach(keyed, sizes, ["model"]).withColumn("slice", F.pmod(F.xxhash64("log_id"), F.col("slices")).cast("int"))
-    copies = attach(models.withColumnRenamed("host", "model"), sizes, ["model"], "inner").withColumn(
+    """Rows and models, both with `model` and `slice`: rows of a host without a model of its own go to the global one. Counts
+    are per host and stored first, so that Spark knows their size and does not shuffle the rows to look them up."""
+    hosts = models.select("host").distinct().withColumn("_has", F.lit(True))
+    counts = null_safe(matrix.groupBy("host").agg(F.count(F.lit(1)).alias("_n")), hosts, ["host"], "left").withColumn(
+        "model", F.when(F.col("_has"), F.col("host")).otherwise(F.lit(GLOBAL)))
+    slices = F.least(F.ceil(F.sum("_n").over(Window.partitionBy("model")) / F.lit(slice_rows)), F.lit(_most_slices(matrix))).cast("int")
+    sizes = materialise(counts.select("host", "model", slices.alias("slices")), "slices")
+    keyed = null_safe(matrix, sizes, ["host"], "left").withColumn("slice", F.pmod(F.xxhash64("log_id"), F.col("slices")).cast("int"))
+    copies = attach(models.withColumnRenamed("host", "model"), sizes.select("model", "slices").distinct(), ["model"], "inner").withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    return _dealt(keyed.drop("slices"), "model", "slice"), _dealt(copies, "model", "slice")
+    return keyed.drop("slices"), copies
+
+
+def _streamed(rows: DataFrame, copies: DataFrame, keys: list[str], order: list[str], run, schema: str) -> DataFrame:
+    """`run(key, models, batches)` for each group of `keys`: its models, which come first, and its rows as they stream past."""
+
+    def each(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models: list = []
+
+        def rest() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                here = batch["_model"].notna()
+                models.extend(batch.loc[here, "_model"])
+                if not here.all():
+                    yield batch.loc[~here].drop(columns="_model")
+
+        stream = rest()
+        for first in stream:
+            yield from run(key, models, chain([first], stream))
+
+    each.__annotations__ = {"key": tuple[Any, ...], "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    packed = copies.select(*keys, F.struct(*[c for c in copies.columns if c not in keys]).alias("_model"))
+    both = _dealt(rows.unionByName(packed, allowMissingColumns=True), *keys)
+    return both.sortWithinPartitions(*keys, F.col("_model").isNull(), *order).groupBy(*keys).applyInPandas(each, schema)
 
 
 def score(matrix: DataFrame, nodes: DataFrame, features: list[str], slice_rows: int = 200_000) -> DataFrame:
     """(host, log_id, anomaly_score): slices of a host's rows meet that host's packed forest, one row. A host's rows are
-    split by id hash into slices of about `slice_rows`. Hosts without a forest use the global one when the table has it;
-    else their score is null. `nodes` is a node table or an already packed one."""
-    keyed, copies = _sliced(matrix, nodes if "starts" in nodes.columns else pack(nodes), slice_rows)
+    split by id hash into slices of about `slice_rows`, at most SLICES a core; larger slices stream in batches. Hosts without
+    a forest use the global one when the table has it; else their score is null. `nodes` is a node table or a packed one."""
+    packed = nodes if "starts" in nodes.columns else materialise(pack(nodes), "packed")
+    keyed, copies = _sliced(matrix, packed, slice_rows)
     id_type = dict(matrix.dtypes)["log_id"]
 
-    def run(key, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        out = rows[["host", "log_id"]].copy()
-        out["anomaly_score"] = _scores(rows[features].to_numpy(dtype=float), models.iloc[0]) if len(models) and len(rows) else np.nan
-        return out
+    def run(key, models: list, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk = _Walk(models[0], len(features)) if models else None
+        for rows in batches:
+            out = rows[["host", "log_id"]].copy()
+            out["anomaly_score"] = walk.score(rows[features].to_numpy(dtype=float)) if walk else np.nan
+            yield out
 
-    scored = keyed.select("model", "slice", "host", "log_id", *features).groupBy("model", "slice").cogroup(
-        copies.groupBy("model", "slice")).applyInPandas(run, f"host string, log_id {id_type}, anomaly_score double")
+    scored = _streamed(keyed.select("model", "slice", "host", "log_id", *features), copies, ["model", "slice"], [], run,
+                       f"host string, log_id {id_type}, anomaly_score double")
     return scored.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None).cast("double")))
 
 
@@ -204,7 +282,7 @@ def thresholds(scored: DataFrame, planned: DataFrame, contamination: float = 0.0
 
 def predict(scored: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds prediction -1 / 1 by the host's threshold."""
-    out = attach(scored, limits.select("host", "threshold"), ["host"])
+    out = attach(scored, materialise(limits.select("host", "threshold"), "limits"), ["host"])
     return out.withColumn("prediction", F.when(F.col("anomaly_score") < F.col("threshold"), -1).otherwise(1)).drop("threshold")
 
 
@@ -221,7 +299,7 @@ def ensemble(member_scores: DataFrame, weights: DataFrame) -> DataFrame:
 
 def member(batch: DataFrame, features: list[str], number: int, trees: int = 100, samples: int = 256) -> DataFrame:
     """One row per host with enough rows: a small forest grown on the batch, with the batch's own scaler and threshold."""
-    scaler = fit_scaler(batch, features)
+    scaler = materialise(fit_scaler(batch, features), "scaler")
     scaled = materialise(scale(batch, scaler, features), "scaled")
     forest = materialise(pack(fit(scaled, features, trees, samples, seed=42 + number)), "member")
     limits = thresholds(score(scaled, forest, features), plan(scaled, trees, samples))
@@ -236,20 +314,21 @@ def score_members(matrix: DataFrame, members: DataFrame, features: list[str], sl
     keyed, copies = _sliced(matrix, members, slice_rows)
     id_type = dict(matrix.dtypes)["log_id"]
 
-    def run(key, rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-        out = rows[["host", "log_id"]].copy()
-        x, total, vote = rows[features].to_numpy(dtype=float), np.zeros(len(rows)), np.zeros(len(rows))
-        for _, m in models.iterrows():
-            spread = np.array(m["std"])
-            s = _scores((x - np.array(m["mean"])) / np.where(spread > 0, spread, 1.0), m)
-            total += m["weight"] * s
-            vote += m["weight"] * np.where(s < m["limit"], -1, 1)
-        out["anomaly_score"] = total / models["weight"].sum() if len(models) else np.nan
-        out["prediction"] = np.where(vote < 0, -1, 1)
-        return out
-
-    scored = keyed.select("model", "slice", "host", "log_id", *features).groupBy("model", "slice").cogroup(
-        copies.groupBy("model", "slice")).applyInPandas(run, f"host string, log_id {id_type}, anomaly_score double, prediction int")
+    def run(key, models: list, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walks = [(_Walk(m, len(features)), np.array(m["mean"]), np.array(m["std"]), m) for m in models]
+        for rows in batches:
+            out = rows[["host", "log_id"]].copy()
+            x, total, vote = rows[features].to_numpy(dtype=float), np.zeros(len(rows)), np.zeros(len(rows))
+            for walk, mean, spread, m in walks:
+                s = walk.score((x - mean) / np.where(spread > 0, spread, 1.0))
+                total += m["weight"] * s
+                vote += m["weight"] * np.where(s < m["limit"], -1, 1)
+            out["anomaly_score"] = total / sum(m["weight"] for m in models) if models else np.nan
+            out["prediction"] = np.where(vote < 0, -1, 1)
+            yield out
+
+    scored = _streamed(keyed.select("model", "slice", "host", "log_id", *features), copies, ["model", "slice"], [], run,
+                       f"host string, log_id {id_type}, anomaly_score double, prediction int")
     return scored.withColumn("anomaly_score", F.nanvl("anomaly_score", F.lit(None).cast("double")))
 
 
@@ -263,7 +342,7 @@ def fit_scaler(matrix: DataFrame, features: list[str]) -> DataFrame:
 
 def scale(matrix: DataFrame, scaler: DataFrame, features: list[str]) -> DataFrame:
     """Standardised features; a constant feature is only centred."""
-    out = attach(matrix, scaler, ["host"])
+    out = attach(matrix, materialise(scaler, "scaler"), ["host"])
     safe = lambda f: F.when(F.col(f"std_{f}") > 0, F.col(f"std_{f}")).otherwise(F.lit(1.0))
     return out.select("host", "log_id", *[((F.col(f) - F.col(f"mean_{f}")) / safe(f)).alias(f) for f in features])
 
@@ -297,29 +376,47 @@ def permutation_importance(matrix: DataFrame, nodes: DataFrame, features: list[s
     if rows:
         order = F.xxhash64("host", "log_id", F.lit(seed))
         matrix = top_n(matrix.withColumn("_o", order), ["host"], [F.col("_o"), F.col("log_id")], rows).drop("_o")
-    sizes = matrix.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias("slices"))
+    most = F.lit(_most_slices(matrix))
+    slices = F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int")
+    sizes = materialise(matrix.groupBy("host").agg(slices.alias("slices")).withColumn("packs", F.least("slices", most)), "slices")
     dealt = attach(matrix, sizes, ["host"], "inner").withColumn("slice", F.pmod(F.xxhash64("log_id", F.lit(seed)), F.col("slices")).cast("int"))
     packed = nodes if "starts" in nodes.columns else pack(nodes)
-    copies = attach(packed, sizes, ["host"], "inner").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-
-    def run(key, pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    copies = attach(packed, sizes, ["host"], "inner").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).drop("slices", "packs")
+
+    def falls_of(key, number: int, pdf: pd.DataFrame, walk: _Walk) -> pd.DataFrame:
+        """Trees that do not ask for a feature give the same path however it is shuffled, and are not walked again."""
+        places = walk.places(pdf.sort_values("log_id")[features].to_numpy(dtype=float))
+        rest, own = np.zeros((len(features), len(places))), np.zeros((len(features), len(places)))
+        for rows, t, path in walk.paths(places):
+            for j in range(len(features)):
+                (own if walk.uses[t, j] else rest)[j, rows] += path
         out: dict[str, list] = {"host": [], "feature": [], "fall": [], "n": []}
-        if pdf.empty or trees.empty:
-            return pd.DataFrame(out)
-        x, forest = pdf.sort_values("log_id")[features].to_numpy(dtype=float), trees.iloc[0]
-        base = _scores(x, forest).sum()
         for j, name in enumerate(features):
-            rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), zlib.crc32(name.encode()), int(key[1])])
-            falls, moved = [], x.copy()
+            rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), zlib.crc32(name.encode()), number])
+            base, falls, moved = walk.scores(rest[j] + own[j]).sum(), [], places.copy()
             for _ in range(repeats):
-                moved[:, j] = rng.permutation(x[:, j])
-                falls.append(base - _scores(moved, forest).sum())
-            for column, value in zip(out.values(), (key[0], name, float(np.mean(falls)), len(x))):
+                moved[:, j] = rng.permutation(places[:, j])
+                total = np.zeros(len(places))
+                for rows, _, path in walk.paths(moved, np.flatnonzero(walk.uses[:, j])):
+                    total[rows] += path
+                falls.append(base - walk.scores(rest[j] + total).sum())
+            for column, value in zip(out.values(), (key[0], name, float(np.mean(falls)), len(places))):
                 column.append(value)
         return pd.DataFrame(out)
 
-    falls = _dealt(dealt.select("host", "slice", "log_id", *features), "host", "slice").groupBy("host", "slice").cogroup(
-        _dealt(copies, "host", "slice").groupBy("host", "slice")).applyInPandas(run, "host string, feature string, fall double, n long")
+    def run(key, models: list, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk, held, number = _Walk(models[0], len(features)) if models else None, [], None
+        for batch in batches:
+            for at, rows in batch.groupby("slice") if walk else ():
+                if held and at != number:
+                    yield falls_of(key, number, pd.concat(held), walk)
+                    held = []
+                held, number = [*held, rows], int(at)
+        if held:
+            yield falls_of(key, number, pd.concat(held), walk)
+
+    rows_ = dealt.withColumn("pack", F.pmod(F.col("slice"), F.col("packs"))).select("host", "pack", "slice", "log_id", *features)
+    falls = _streamed(rows_, copies, ["host", "pack"], ["slice"], run, "host string, feature string, fall double, n long")
     raw = falls.groupBy("host", "feature").agg((F.sum("fall") / F.sum("n")).alias("raw"))
     best = F.max("raw").over(Window.partitionBy("host"))
     return raw.withColumn("importance", F.when(best > 0, F.col("raw") / best).otherwise(F.col("raw"))).withColumn(

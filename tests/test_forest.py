@@ -114,3 +114,48 @@ def test_ensemble_vote(spark):
     weights = spark.createDataFrame([("h", 0, 0.6), ("h", 1, 0.2), ("h", 2, 0.2)], "host string, member int, weight double")
     row = FO.ensemble(votes, weights).first()
     assert row["prediction"] == -1 and abs(row["anomaly_score"] + 0.66) < 1e-9
+
+
+def test_copies_of_a_forest_do_not_grow_with_the_rows(matrix, nodes):
+    """A host's forest went to one slice per `slice_rows` rows: 24 GB of copies over 36 million rows."""
+    packed = FO.pack(nodes)
+    keyed, copies = FO._sliced(matrix, packed, 1)
+    most = FO.SLICES * matrix.sparkSession.sparkContext.defaultParallelism
+    assert {r["model"]: r["count"] for r in copies.groupBy("model").count().collect()} == {"hot": most, "small": most}
+    assert keyed.count() == matrix.count()
+    assert scores(FO.score(matrix, packed, FEATURES, 1)) == scores(FO.score(matrix, nodes, FEATURES))
+
+
+def test_rows_are_not_shuffled_for_values_of_their_host(matrix):
+    for df in (FO.scale(matrix, FO.fit_scaler(matrix, FEATURES), FEATURES), FO.tree_samples(matrix, FO.plan(matrix), 40, 42)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_scores_equal_a_plain_walk(matrix, nodes):
+    """Also for missing values, which are above every cut, and values that are a cut."""
+    rows = [r for r in nodes.filter("host = 'hot'").orderBy("tree", "node").collect()]
+    trees = {}
+    for r in rows:
+        trees.setdefault(r["tree"], []).append(r)
+    cut = next(r for r in rows if r["feature"] == 0)["threshold"]
+    asked = [(i, a, b, c) for i, (a, b, c) in enumerate([(cut, 0.1, 0.2), (None, 0.5, -1.0), (3.0, None, None), (-9.0, 9.0, 0.0)])]
+    m = matrix.sparkSession.createDataFrame([("hot", *a) for a in asked], "host string, log_id bigint, a double, b double, c double")
+
+    def path(tree, x):
+        at = tree[0]
+        while at["feature"] >= 0:
+            v = x[at["feature"]]
+            at = tree[at["left"] if v is not None and v <= at["threshold"] else at["right"]]
+        return at["path"]
+
+    expected = np.mean([FO._average_path(t[0]["samples"]) for t in trees.values()])
+    got = scores(FO.score(m, nodes, FEATURES))
+    for i, *x in asked:
+        assert abs(got["hot", i] + 2 ** (-np.mean([path(t, x) for t in trees.values()]) / expected)) < 1e-12
+
+
+def test_importance_does_not_depend_on_partitioning(matrix, nodes):
+    out = FO.permutation_importance(matrix.filter("host = 'hot'"), nodes, FEATURES, repeats=2, slice_rows=700).collect()
+    again = FO.permutation_importance(matrix.filter("host = 'hot'").repartition(5), nodes, FEATURES, repeats=2, slice_rows=700).collect()
+    assert {r["feature"]: round(r["raw"], 9) for r in out} == {r["feature"]: round(r["raw"], 9) for r in again}
