@@ -1,9 +1,9 @@
 """Personal data: rules find the base kinds, and boosted trees judge the candidates of high-recall generators.
 
 Everything a row goes through is a column expression. Two generators propose spans that may overlap the base spans and
-each other; gradient-boosted trees, trained on a bounded sample whose weak label is overlap with a base span, see only a
-candidate's format and context, not the rules' checks; a threshold per generator, calibrated on the other half of the
-sample, selects the candidates that are added. The trained trees become CASE expressions, so scoring needs no shuffle.
+each other; gradient-boosted trees, trained on the candidates of half the documents, whose weak label is overlap with a
+base span, see only a candidate's format and context, not the rules' checks; a threshold per generator, calibrated on the
+other half, selects the candidates that are added. The trained trees become CASE expressions, so scoring needs no shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sievelog.llm.common import bounded_sample, text_of
+from sievelog.llm.common import text_of
 from sievelog.sources.store import materialise
 
 _LOCAL, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -33,8 +33,8 @@ GENERATORS = {
 #: What a text must hold for a kind to be looked for at all: a sign, or a pattern that each match has inside.
 SIGN = {"email": "@", "phone": "+", "email_like": "@"}
 INSIDE = {"ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "number_like": "[0-9](?:[ ().-]{0,2}[0-9]){6}"}
-#: Bound of the documents that the trees learn from; trees, their depth, least precision of an added span's threshold.
-TRAIN_DOCUMENTS, TREES, DEPTH, PRECISION = 4000, 12, 3, 0.98
+#: Trees, their depth, least precision of an added span's threshold.
+TREES, DEPTH, PRECISION = 12, 3, 0.98
 #: Characters of context before a candidate.
 CONTEXT = 24
 THRESHOLDS = [0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.96, 0.98, 0.99]
@@ -152,13 +152,11 @@ def candidates(df: DataFrame) -> DataFrame:
 
 
 def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Trees and thresholds from about TRAIN_DOCUMENTS documents chosen by a hash of the id: one half trains, the other
-    calibrates. Where either label is missing no span is added."""
+    """Trees and thresholds from all documents: a hash of the id tells which half trains and which calibrates. Where either
+    label is missing no span is added."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
-    sample = bounded_sample(df.select(F.col(doc_id).alias("_id"), text_of(text).alias("_text")), F.col("_id"), TRAIN_DOCUMENTS, df.count())
-    sample = materialise(sample, "sample")  # else filters inferred from what follows run first, on every row
-    spans = candidates(sample).select("_id", F.explode("_proposed").alias("s")).select("_id", "s.kind", "s.x", F.col("s.known").cast("double").alias("label"))
+    spans = candidates(df.select(F.col(doc_id).alias("_id"), text_of(text).alias("_text"))).select("_id", F.explode("_proposed").alias("s")).select("_id", "s.kind", "s.x", F.col("s.known").cast("double").alias("label"))
     spans = materialise(spans, "candidates")  # both halves read it again and again
     half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2))
     train = spans.filter(half == 0).select(array_to_vector("x").alias("features"), "label")

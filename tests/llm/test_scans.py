@@ -110,6 +110,14 @@ def test_trees_add_spans_and_keep_base_ones(spark):
     assert none.trees == () and min(none.thresholds) > 1
 
 
+def test_trees_learn_from_every_document(spark, monkeypatch):
+    """About 4000 documents were chosen by a hash; the rest was not looked at."""
+    seen, real = [], personal.candidates
+    monkeypatch.setattr(personal, "candidates", lambda df: seen.append(df.count()) or real(df))
+    personal.learn(spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("lot 12345678% done").alias("text")))
+    assert seen == [9000]
+
+
 def test_redaction_joins_overlapping_spans(spark):
     row = spark.sql("SELECT 'é a@b.c or 1' AS t, array(named_struct('start', 2L, 'end', 7L, 'kind', 'email'), named_struct('start', 4L, 'end', 8L, 'kind', 'x')) AS s")
     assert row.select(personal.redact(F.col("t"), F.col("s"))).first()[0] == "é [email]or 1"
