@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievelog.functions import predicates as PD
 from sievelog.operators import analysis as A
+from sievelog.plans import queries_adhoc
 
 DOCS = [
     {}, {"a": None}, {"a": 5}, {"a": 5.5}, {"a": "5"}, {"a": True}, {"a": []}, {"a": [5, "x", None]}, {"a": {"b": 1}}, {"a": {"b": None}},
@@ -74,6 +75,31 @@ def test_filters_like_a_plain_walk(spark):
             assert r[f"f{i}"] == _passes(DOCS[r["id"]], w), (DOCS[r["id"]], w)
 
 
+def test_many_filters_share_what_they_read(spark):
+    """All filters at once pass the same documents as each alone; a path that several read stands once in the plan."""
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(DOCS)], "id int, j string").withColumn("v", F.try_parse_json("j"))
+    wanted = {f"f{i}": w for i, w in enumerate(FILTERS)}
+    for r in rows.select("id", PD.passing(F.col("v"), wanted).alias("names")).collect():
+        assert r["names"] == [n for n, w in wanted.items() if _passes(DOCS[r["id"]], w)], DOCS[r["id"]]
+    several = {"x": {"a.b.c": {"$gt": 1}}, "y": {"a.b.c": 1}, "z": {"a.b.d": "x"}}
+    plan = rows.select(PD.passing(F.col("v"), several).alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("$['b']") == 2  # for an object, and for anything else
+
+
+def test_documents_are_parsed_once_a_row(spark, tmp_path):
+    spark.sql("SELECT 7L o_orderkey, 'O' o_orderstatus, 2000.0D o_totalprice, '1-URGENT' o_orderpriority UNION ALL SELECT 8L, 'F', 3000.0D, NULL").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("""SELECT 7L l_orderkey, 1 l_linenumber, 45.0D l_quantity, 'N' l_returnflag, 'O' l_linestatus, 0.0D l_tax
+        UNION ALL SELECT 7L, 2, 3.0D, NULL, 'F', 0.02D""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    docs = queries_adhoc.documents(spark, str(tmp_path))
+    found = PD.find(docs, "doc", {"price": {"$gte": 1000}, "status": {"$in": ["O", "F"]}, "lines": {"$elemMatch": {"qty": {"$gt": 40}, "flag": "N"}}}, [F.col("o_orderkey")])
+    assert [r[0] for r in found.select("o_orderkey").collect()] == [7]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter CASE") < plan.index("Generate explode")  # the text is parsed below the filter, not in it
+    got = {r["o_orderkey"]: json.loads(r["j"]) for r in docs.select("o_orderkey", F.to_json("doc").alias("j")).collect()}
+    assert got[7]["lines"] == [{"flag": "N", "l_linenumber": 1, "mode": "NO", "qty": 45}, {"l_linenumber": 2, "qty": 3, "tax": 0.02}]
+    assert got[8] == {"code": True, "key": 8, "plan": {}, "price": 3000, "status": "F"}
+
+
 def test_null_documents_find_and_project(spark):
     rows = spark.createDataFrame([(1, None), (2, "no json"), (3, '{"a": 1}'), (4, '{"a": [1, 2]}'), (5, '{"a": 1}')], "id int, j string").withColumn("v", F.try_parse_json("j"))
     assert [r["id"] for r in PD.find(rows, "v", {"a": {"$exists": False}}, [F.col("id")]).collect()] == [1, 2]
