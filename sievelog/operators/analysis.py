@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sievelog.functions import patterns as P, text as X, values as V
+from sievelog.functions.substrings import candidates
 from sievelog.operators.lookup import attach, null_safe
 from sievelog.operators.sequence import top_n
 
@@ -156,38 +157,25 @@ def tag_benign(df: DataFrame, message: str = "msg", component: str = "c",
     return df.withColumn("benign_reason", reason).withColumn("is_known_benign", F.col("benign_reason").isNotNull())
 
 
-def _grams(text: Column, size: int) -> Column:
-    places = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    return F.when(F.length(text) >= size, F.transform(places, lambda i: F.substr(text, i, F.lit(size)))).otherwise(
-        F.array().cast("array<string>"))
-
-
-def first_signatures(df: DataFrame, signatures: DataFrame, keys: list[str], message: str = "msg", component: str = "c",
-                     size: int = 4) -> DataFrame:
+def first_signatures(df: DataFrame, signatures: DataFrame, keys: list[str], message: str = "msg", component: str = "c") -> DataFrame:
     """(keys, benign_order, benign_reason) of the rows that a signature (order, pattern, component, reason) fits: the message
     holds the pattern in any case, and the component is the same or the signature names none. The first by order wins,
     equal orders go by pattern and reason.
 
-    All patterns are looked for in one pass, by one gram of each: the one that the fewest signatures have, or a pattern
-    shorter than `size` itself. Messages meet signatures on that gram by a hash join and the pattern is verified there, so
-    work grows with text and matches, not with lines times signatures. The empty pattern is in every message; a null
-    pattern, or a null message, fits nothing. `keys` name a row; rows that repeat them share the first reason of all.
+    All patterns are looked for in one pass over a message (`substrings.candidates`), and what may be one meets the signatures
+    by a hash join on the whole pattern and its component, so work grows with text and matches: neither with lines times
+    signatures, nor with signatures that have parts in common. Signatures are read while the plan is built, and again by
+    it. The empty pattern is in every message; a null pattern, or a null message, fits nothing. `keys` name a row; rows that
+    repeat them share the first reason of all.
     """
-    low = F.lower("pattern")
-    known = signatures.filter("pattern is not null").select(
-        "order", low.alias("_pattern"), F.col("component").alias("_component"), F.col("reason").alias("_reason"))
-    pattern = F.col("_pattern")
-    own = F.when(F.length(pattern) < size, F.array(pattern)).otherwise(F.array_distinct(_grams(pattern, size)))
-    spread = known.withColumn("_gram", F.explode(own))
-    uses = spread.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    rarest = spread.join(uses, "_gram").groupBy("order", "_pattern", "_component", "_reason").agg(
-        F.min(F.struct("_uses", "_gram"))["_gram"].alias("_gram"))
-    text = F.col("_text")
-    held = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(text, n) for n in range(1, size + 1)]))
+    known = signatures.filter("pattern is not null").groupBy(
+        F.lower("pattern").alias("_pattern"), F.col("component").alias("_component")).agg(
+        F.min(F.struct("order", F.col("reason").alias("reason"))).alias("_sign"))
     rows = df.select(*keys, F.lower(message).alias("_text"), F.col(component).alias("_c")).filter("_text is not null")
-    hits = rows.select(*keys, "_text", "_c", F.explode(held).alias("_gram")).join(rarest, "_gram").filter(
-        text.contains(F.col("_pattern")) & (F.col("_component").isNull() | (F.col("_component") == F.col("_c"))))
-    best = hits.groupBy(*keys).agg(F.min(F.struct("order", "_pattern", F.col("_reason").alias("reason"))).alias("_first"))
+    held = rows.select(*keys, "_c", F.explode(candidates(known.drop("_sign"), F.col("_text"), F.col("_c"))).alias("_held"))
+    named = held.select(*keys, F.col("_held.text").cast("string").alias("_part"), F.when(F.col("_held.own"), F.col("_c")).alias("_of"))
+    hits = named.join(known, (F.col("_part") == F.col("_pattern")) & F.col("_of").eqNullSafe(F.col("_component")))
+    best = hits.groupBy(*keys).agg(F.min(F.struct("_sign.order", "_pattern", "_sign.reason")).alias("_first"))
     return best.select(*keys, F.col("_first.order").alias("benign_order"), F.col("_first.reason").alias("benign_reason"))
 
 

@@ -1,12 +1,15 @@
 """Predicate trees against a plain walk over the parsed documents, and signature lists against a double loop."""
 
 import json
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievelog.functions import predicates as PD
+from sievelog.functions import predicates as PD, substrings
 from sievelog.operators import analysis as A
 from sievelog.plans import queries_adhoc
 
@@ -124,3 +127,60 @@ def test_signatures_of_a_table(spark):
         assert got[i] == ((fits[0][0], fits[0][2], True) if fits else (None, None, False)), (i, t)
     assert A.tag_by_table(df, sig.limit(0), ["log_id"]).filter("is_known_benign").count() == 0
     assert A.tag_by_table(df.limit(0), sig, ["log_id"]).count() == 0
+
+
+def _rows_made(node) -> int:
+    """Rows out of every explode of a plan that has run."""
+    own = node.metrics().apply("numOutputRows").value() if node.nodeName() == "Generate" else 0
+    inner = node.children()
+    return own + sum(_rows_made(inner.apply(i)) for i in range(inner.size()))
+
+
+def test_signatures_with_parts_in_common(spark):
+    """Each begins like 30 others and ends like 30 others: a line must meet the one it holds, not all that share a part."""
+    known = [(i * 30 + j, f"{i:03d}{'=' * 8}{j:03d}", None, f"r{i}") for i in range(30) for j in range(30)]
+    lines = [(k, "X", f"before {k % 31:03d}{'=' * 8}{k % 29:03d} and after, {'longer ' * (k % 9)}") for k in range(900)]
+    df = spark.createDataFrame(lines, "log_id int, c string, msg string")
+    sig = spark.createDataFrame(known, "order int, pattern string, component string, reason string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = A.first_signatures(df, sig, ["log_id"])
+        got = {r["log_id"]: r["benign_order"] for r in found.collect()}
+        made = _rows_made(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {k: k % 31 * 30 + k % 29 for k, _, _ in lines if k % 31 < 30}
+    assert len(got) <= made <= 2 * len(lines)
+
+
+@pytest.mark.parametrize("bits", [4, 16])  # a filter that is too small, and one with room
+def test_candidates_hold_every_signature_of_a_line(monkeypatch, bits):
+    rng = random.Random(5)
+    word = lambda most: "".join(rng.choice("abé=") for _ in range(rng.randint(0, most)))
+    known = sorted({(word(20), rng.choice([None, 3, -4])) for _ in range(400)} | {("", None), ("", 3), ("=" * 70, None)}, key=str)
+    texts, of = [word(60) for _ in range(300)] + ["=" * 300, "", "a"], [rng.choice([None, 3, -4, 8]) for _ in range(303)]
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 100)
+    keys = substrings._keys(pa.array([p for p, _ in known]), pa.array([c for _, c in known], pa.int64()))
+    words = np.zeros(1 << bits, np.uint64)
+    for h in (np.concatenate([keys.field("prefix"), keys.field("whole")]).view(np.uint64)).tolist():
+        words[h >> (64 - bits)] |= np.uint64(1 << (h & 63) | 1 << (h >> 6 & 63) | 1 << (h >> 12 & 63))
+    sizes = sorted({len(p.encode()) for p, _ in known})
+    got = substrings._held(pa.array(["cut", *texts])[1:], pa.array([0, *of], pa.int64())[1:], words, sizes).to_pylist()
+    extra = 0
+    for text, c, held in zip(texts, of, got, strict=True):
+        pairs = [(h["text"], h["own"]) for h in held]
+        fits = {(p.encode(), w is not None) for p, w in known if p in text and w in (None, c)}
+        assert len(set(pairs)) == len(pairs) and fits <= set(pairs) and all(p in text.encode() for p, _ in pairs)
+        extra += len(pairs) - len(fits)
+    assert bits == 4 or extra < 30
+    assert substrings._held(pa.array([], pa.string()), pa.array([], pa.int64()), words, sizes).to_pylist() == []
+
+
+def test_signatures_of_odd_rows(spark):
+    known = [(None, "lost", None, "no order"), (3, "lost", "X", "named"), (3, "LOST", "X", "a twin"), (5, "Ümlaut ☃", None, None), (2, "x" * 200, "Y", "long"), (1, "", "Z", "any text")]
+    lines = [(1, "X", "Lost"), (2, None, "lost"), (3, "X", "ümlaut ☃!"), (4, "Y", "x" * 300), (5, "X", "x" * 300), (6, "Z", ""), (7, "Z", None), (None, "Y", "x" * 200), (None, "Y", "no")]
+    df = spark.createDataFrame(lines, "log_id int, c string, msg string")
+    sig = spark.createDataFrame(known * 2, "order int, pattern string, component string, reason string")
+    got = sorted(((r["log_id"], r["c"], r["benign_order"], r["benign_reason"]) for r in A.tag_by_table(df, sig, ["log_id"]).collect()), key=str)
+    assert got == sorted([(1, "X", None, "no order"), (2, None, None, "no order"), (3, "X", 5, None), (4, "Y", 2, "long"), (5, "X", None, None),
+                          (6, "Z", 1, "any text"), (7, "Z", None, None), (None, "Y", 2, "long"), (None, "Y", 2, "long")], key=str)
