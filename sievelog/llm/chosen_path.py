@@ -136,7 +136,7 @@ def token_table(df: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
     """rep, tokens, copies of the sets wanted (rep, rep_id, set, copies), from one text of each, dealt out by rep. Few sets go
     to the texts; beyond BROADCAST_SETS texts and ids are shuffled to meet."""
     import pyarrow as pa
-    udf = per_batch(lambda texts: [(_signature(t), t.tobytes()) for t in _token_sets(texts)], "found string, tokens binary", [pa.string(), pa.binary()])
+    udf = per_batch(lambda texts: [(_signature(t), t.tobytes()) for t in _token_sets(texts)], "found string, tokens binary", [pa.string(), pa.binary()], once=True)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key")
     texts = df.select(key(doc_id), text_of(text).alias("_text"))
     few = wanted.select(key("rep_id"), "rep", "set", "copies")

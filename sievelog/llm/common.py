@@ -162,8 +162,12 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     return np.unique(mix(out ^ np.uint64(size)))
 
 
-def per_batch(fn: Callable[[list], list[tuple]], fields: str, types: list):
-    """An Arrow UDF of one text column that returns a struct: `fn` gets the texts of a batch and returns a tuple a text."""
+def per_batch(fn: Callable[[list], list[tuple]], fields: str, types: list, once: bool = False):
+    """An Arrow UDF of one text column that returns a struct: `fn` gets the texts of a batch and returns a tuple a text.
+
+    With `once`, filters and joins on its fields stay above it. Else Spark may push a filter below the fields, which calls
+    `fn` twice a text, the second time in one more Python worker a core; idle workers stay with the memory they have.
+    """
     import pyarrow as pa
     names = [f.split()[0] for f in fields.split(", ")]
 
@@ -173,4 +177,5 @@ def per_batch(fn: Callable[[list], list[tuple]], fields: str, types: list):
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, f"struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>")
+    udf = F.arrow_udf(run, f"struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>")
+    return udf.asNondeterministic() if once else udf

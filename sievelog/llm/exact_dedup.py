@@ -90,7 +90,7 @@ def digests(df: DataFrame, text: str = "text", primes: tuple[int, int] = PRIMES)
             out.append((fingerprint(raw, primes[0]), fingerprint(raw, primes[1]), len(raw), hashlib.sha256(raw).hexdigest()))
         return out
 
-    udf = per_batch(run, "fp_a bigint, fp_b bigint, fp_bytes bigint, text_sha256 string", [pa.int64()] * 3 + [pa.string()])
+    udf = per_batch(run, "fp_a bigint, fp_b bigint, fp_bytes bigint, text_sha256 string", [pa.int64()] * 3 + [pa.string()], once=True)
     return add_fields(df, udf(text_of(text)), ["fp_a", "fp_b", "fp_bytes", "text_sha256"])
 
 

@@ -169,6 +169,28 @@ def test_components_of_a_long_chain(spark):
     assert chosen_path.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [exact_dedup.keep_first, chosen_path.keep_one])
+def test_a_stage_calls_python_once_a_text(spark, monkeypatch, run):
+    plans = {}
+
+    def stored(module):
+        def keep(df, name, store=module.materialise):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return store(df, name)
+        monkeypatch.setattr(module, "materialise", keep)
+
+    for module in (exact_dedup, chosen_path):
+        stored(module)
+    monkeypatch.setattr(chosen_path, "BUCKET", 2)
+    pick = random.Random(7)
+    texts = [" ".join(words(pick, 40)) for _ in range(3)]
+    rows = [(i, f"{texts[i % 3]} end{i // 6}") for i in range(30)]
+    got = run(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == (15 if run is exact_dedup.keep_first else 3)
+    seen = {name: plan.count("ArrowEvalPython") for name, plan in plans.items() if "ArrowEvalPython" in plan}
+    assert seen == ({"fingerprints": 1, "collisions": 1} if run is exact_dedup.keep_first else {"sets": 1, "tokens": 1, "links": 1})
+
+
 def test_salted_groups(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(900)], "id long, k string")
     got = salted_groups(rows, ["k"], F.col("id"), {"low": ("min", "id"), "n": ("count", "*")}).collect()
