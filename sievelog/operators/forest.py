@@ -9,9 +9,9 @@ arrays; that row goes to at most a few slices a core, whatever the host's size,
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,11 +25,11 @@ NODES = "host string, tree int, node int, feature int, threshold double, left in
 GLOBAL = "__global__"
 
 
-def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+def _dealt(df: DataFrame, *keys: str, tasks: int = 4) -> DataFrame:
     """Dealt by key over several tasks a core. Growing and scoring cost far more than the bytes they read, by which
     adaptive execution would merge them into a few tasks."""
     spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df.repartition(max(tasks * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 # ---- growing ----
@@ -124,6 +124,9 @@ def fit_global(matrix: DataFrame, features: list[str], **options) -> DataFrame:
 
 #: Rows that walk together: their places stay in the processor's cache.
 WALKING = 16384
+#: While features are shuffled: rows a task gets at least, rows that go through the trees together, lookups of one tree at most,
+#: and path lengths asked of a tree below which it is walked.
+DEALT, TOGETHER, CELLS, FEW = 100_000, 400_000, 1 << 18, 60_000
 #: Slices a core that a host's rows are dealt over at most; each gets one copy of the host's forest.
 SLICES = 8
 PACKED = "trees int, expected double, starts binary, feature binary, threshold binary, right binary, path binary"
@@ -146,6 +149,98 @@ def pack(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("host").applyInPandas(run, f"host string, {PACKED}")
 
 
+class _Tree:
+    """One tree as lookups for rows of which one feature changes. A node whose leaves have one path length counts as a leaf.
+    `below` gives, by the forest's cuts below a value, the tree's cuts below it; `words`, by the latter, a bit for every leaf
+    on the value's side of all cuts of its feature. The leaf of a row is the only one that all its values leave."""
+
+    def __init__(self, feature: np.ndarray, rank: np.ndarray, right: np.ndarray, path: np.ndarray, places: list[int]) -> None:
+        feature, path, right = feature.tolist(), path.tolist(), right.tolist()
+        f = feature.copy()
+        for n in range(len(f) - 1, -1, -1):
+            if f[n] >= 0 and f[n + 1] < 0 and f[right[n]] < 0 and path[n + 1] == path[right[n]]:
+                f[n], path[n] = -1, path[n + 1]
+        after = list(range(1, len(f) + 1))  # the first node after the subtree
+        for n in range(len(f) - 1, -1, -1):
+            if feature[n] >= 0:
+                after[n] = after[right[n]]
+        inner, ends, first, n = [], [], [0] * (len(f) + 1), 0  # leaves before a node
+        while n < len(f):
+            first[n] = len(ends)
+            if f[n] < 0:
+                ends.append(path[n])
+                n = after[n]
+            else:
+                inner.append(n)
+                n += 1
+        first[n] = len(ends)
+        self.ends = np.array(ends)
+        self.words, self.below = {}, {}
+        for j in sorted({f[n] for n in inner}):
+            own = [n for n in inner if f[n] == j]
+            cuts, at = np.unique(rank[own], return_inverse=True)
+            side = np.ones((len(cuts) + 1, len(ends)), dtype=bool)
+            for k, n in zip(at.tolist(), own):
+                side[:k + 1, first[right[n]]:first[after[n]]] = False
+                side[k + 1:, first[n]:first[right[n]]] = False
+            packed = np.packbits(np.pad(side, ((0, 0), (0, -len(ends) % 64))), axis=1, bitorder="little")
+            self.words[j] = np.ascontiguousarray(packed.view("<u8").T.astype(np.uint64))
+            self.below[j] = np.repeat(np.arange(len(cuts) + 1), np.diff(cuts, prepend=-1, append=places[j] - 1))
+
+    def swap(self, j: int, most: int) -> _Swap | None:
+        """Lookups for rows of which feature `j` changes; none if they would take more than `most` cells. Feature by feature,
+        leaves that are left for rows so far meet those that a value leaves, and what is equal becomes one."""
+        state, steps = np.full((-(-len(self.ends) // 64), 1), ~np.uint64(0)), []
+        for f in [*(f for f in self.words if f != j), j]:
+            if state.shape[1] * self.words[f].shape[1] > most:
+                return None
+            cells = state[:, :, None] & self.words[f][:, None, :]
+            new = np.ones(cells.shape[1:], dtype=bool)
+            new[:, 1:] = (cells[:, :, 1:] != cells[:, :, :-1]).any(axis=0)
+            runs, run = cells.reshape(len(cells), -1).take(np.flatnonzero(new), axis=1), np.cumsum(new) - 1
+            if f == j:  # one leaf is left, so one bit: the exponent of its word is its place there
+                bit = np.frexp(np.bitwise_or.reduce(runs, axis=0).astype(float))[1] - 1
+                leaf = bit + 64 * (runs != 0).argmax(axis=0)
+                return _Swap([(self.below[f], f, step * self.words[g].shape[1]) for (f, step), (g, _) in zip(steps, [*steps[1:], (j, None)])],
+                             self.below[j], self.ends[leaf][run])
+            first, same = _distinct(runs)
+            steps.append((f, same[run]))
+            state = runs[:, first]
+        raise ValueError(f"the tree does not ask for feature {j}")
+
+
+def _distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of different columns, and for every column the one it equals; found by hash and compared in full."""
+    hashed = np.zeros(columns.shape[1], dtype=np.uint64)
+    for row in columns:
+        hashed = (hashed ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> np.uint64(29)
+    order = hashed.argsort()
+    new = np.diff(hashed[order], prepend=~hashed[order[:1]]) != 0
+    first, same = order[new], np.empty(len(order), dtype=np.int64)
+    same[order] = np.cumsum(new) - 1
+    if not np.array_equal(columns[:, first][:, same], columns):
+        return np.arange(len(order)), np.arange(len(order))
+    return first, same
+
+
+class _Swap(NamedTuple):
+    """`steps`: for every other feature its places and what is left of the tree after it; `below`: places of the feature;
+    `paths`: path lengths by what is left and that place."""
+
+    steps: list[tuple[np.ndarray, int, np.ndarray]]
+    below: np.ndarray
+    paths: np.ndarray
+
+    def left(self, ranks: list[np.ndarray]) -> np.ndarray:
+        """What the other features of a row leave, as the start of its row in `paths`."""
+        at = np.zeros(len(ranks[0]), dtype=np.int64)
+        for below, f, step in self.steps:
+            at += below.take(ranks[f], mode="wrap")
+            step.take(at, out=at, mode="wrap")
+        return at
+
+
 class _Walk:
     """A packed forest made ready for rows. Values become their places among the cuts of their feature, and every tree is
     laid out level by level with all places filled (a leaf stands for all below it): a step needs the node, the row's place
@@ -164,6 +259,9 @@ class _Walk:
         tree = np.repeat(np.arange(len(root)), np.diff(part["starts"]))
         self.uses = np.zeros((len(root), width), dtype=bool)
         self.uses[tree[feature >= 0], feature[feature >= 0]] = True
+        self._nodes = [(feature[a:b], np.where(feature[a:b] >= 0, word[a:b] >> self.bits, 0), part["right"][a:b], part["path"][a:b])
+                       for a, b in zip(root, part["starts"][1:])]
+        self._trees: list[_Tree | None] = [None] * len(root)
         self.levels, here = [], root[:, None]
         while (inner := feature[here] >= 0).any():
             self.levels.append(word[here])
@@ -171,14 +269,52 @@ class _Walk:
             here = np.stack([above, below], axis=2).reshape(len(root), -1)
         self.ends = part["path"][here]
 
-    def places(self, x: np.ndarray) -> np.ndarray:
-        """For every value the number of cuts of its feature below it (a missing one is above all), ready to be compared."""
-        out = np.empty(x.shape, dtype=np.int64)
-        for j, cuts in enumerate(self.cuts):
-            out[:, j] = (np.searchsorted(cuts, x[:, j]) << self.bits) - 1
-        return out
-
-    def paths(self, places: np.ndarray, trees: np.ndarray | None = None) -> Iterator[tuple[slice, int, np.ndarray]]:
+    def tree(self, t: int) -> _Tree:
+        if self._trees[t] is None:
+            self._trees[t] = _Tree(*self._nodes[t], [len(c) + 1 for c in self.cuts])
+        return self._trees[t]
+
+    def ranks(self, x: np.ndarray) -> list[np.ndarray]:
+        """For every feature the number of its cuts below each value; a missing one is above all."""
+        return [np.searchsorted(cuts, x[:, j]) for j, cuts in enumerate(self.cuts)]
+
+    def shuffled(self, ranks: list[np.ndarray], j: int, parts: list[slice], orders: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Path lengths over the trees that ask for feature `j`, as it is and for each order of it; `orders` has the orders
+        of every part of the rows. A tree that would need more lookups than they spare is walked."""
+        asked = len(ranks[j]) * len(orders[0])
+        own, moved, plain = np.zeros(len(ranks[j])), np.zeros((len(orders[0]), len(ranks[j]))), []
+        for t in np.flatnonzero(self.uses[:, j]):
+            if asked < FEW:
+                plain.append(t)
+                continue
+            tree = self.tree(t)
+            if j not in tree.words:
+                continue
+            swap = tree.swap(j, min(CELLS, asked // 2))
+            if swap is None:
+                plain.append(t)
+                continue
+            for part, order in zip(parts, orders):
+                left, below = swap.left([rank[part] for rank in ranks]), swap.below.take(ranks[j][part])
+                at, path = np.empty(len(left), dtype=np.int64), np.empty(len(left))
+                own[part] += swap.paths.take(left + below)
+                for total, mine in zip(moved, order):
+                    below.take(mine, out=at, mode="wrap")
+                    at += left
+                    swap.paths.take(at, out=path, mode="wrap")
+                    total[part] += path
+        if plain:
+            own += self.total(self.placed(ranks), plain)
+            for r, total in enumerate(moved):
+                mine = np.concatenate([ranks[j][part][order[r]] for part, order in zip(parts, orders)])
+                total += self.total(self.placed([*ranks[:j], mine, *ranks[j + 1:]]), plain)
+        return own, moved
+
+    def placed(self, ranks: list[np.ndarray]) -> np.ndarray:
+        """Ranks side by side, ready to be compared."""
+        return (np.stack(ranks, axis=1) << self.bits) - 1
+
+    def paths(self, places: np.ndarray, trees: Iterable[int] | None = None) -> Iterator[tuple[slice, int, np.ndarray]]:
         """(rows, tree, path length): blocks of rows, and for each the trees in their order."""
         for i in range(0, len(places), WALKING):
             block = np.ascontiguousarray(places[i:i + WALKING])
@@ -202,11 +338,14 @@ class _Walk:
         """-2^(-mean path / c(sample))."""
         return -np.power(2.0, -(total / self.trees) / max(self.expected, 1e-12))
 
+    def total(self, places: np.ndarray, trees: Iterable[int] | None = None) -> np.ndarray:
+        out = np.zeros(len(places))
+        for rows, _, path in self.paths(places, trees):
+            out[rows] += path
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for rows, _, path in self.paths(self.places(x)):
-            total[rows] += path
-        return self.scores(total)
+        return self.scores(self.total(self.placed(self.ranks(x))))
 
 
 def _most_slices(df: DataFrame) -> int:
@@ -227,7 +366,7 @@ def _sliced(matrix: DataFrame, models: DataFrame, slice_rows: int) -> tuple[Data
     return keyed.drop("slices"), copies
 
 
-def _streamed(rows: DataFrame, copies: DataFrame, keys: list[str], order: list[str], run, schema: str) -> DataFrame:
+def _streamed(rows: DataFrame, copies: DataFrame, keys: list[str], order: list[str], run, schema: str, tasks: int = 4) -> DataFrame:
     """`run(key, models, batches)` for each group of `keys`: its models, which come first, and its rows as they stream past."""
 
     def each(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +385,7 @@ def _streamed(rows: DataFrame, copies: DataFrame, keys: list[str], order: list[s
 
     each.__annotations__ = {"key": tuple[Any, ...], "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     packed = copies.select(*keys, F.struct(*[c for c in copies.columns if c not in keys]).alias("_model"))
-    both = _dealt(rows.unionByName(packed, allowMissingColumns=True), *keys)
+    both = _dealt(rows.unionByName(packed, allowMissingColumns=True), *keys, tasks=tasks)
     return both.sortWithinPartitions(*keys, F.col("_model").isNull(), *order).groupBy(*keys).applyInPandas(each, schema)
 
 
@@ -378,45 +517,61 @@ def permutation_importance(matrix: DataFrame, nodes: DataFrame, features: list[s
         matrix = top_n(matrix.withColumn("_o", order), ["host"], [F.col("_o"), F.col("log_id")], rows).drop("_o")
     most = F.lit(_most_slices(matrix))
     slices = F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int")
-    sizes = materialise(matrix.groupBy("host").agg(slices.alias("slices")).withColumn("packs", F.least("slices", most)), "slices")
+    packs = F.least(F.ceil(F.col("slices") * F.lit(slice_rows) / F.lit(DEALT)).cast("int"), F.col("slices"), most)
+    sizes = materialise(matrix.groupBy("host").agg(slices.alias("slices")).withColumn("packs", packs), "slices")
     dealt = attach(matrix, sizes, ["host"], "inner").withColumn("slice", F.pmod(F.xxhash64("log_id", F.lit(seed)), F.col("slices")).cast("int"))
     packed = nodes if "starts" in nodes.columns else pack(nodes)
     copies = attach(packed, sizes, ["host"], "inner").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1))).drop("slices", "packs")
 
-    def falls_of(key, number: int, pdf: pd.DataFrame, walk: _Walk) -> pd.DataFrame:
-        """Trees that do not ask for a feature give the same path however it is shuffled, and are not walked again."""
-        places = walk.places(pdf.sort_values("log_id")[features].to_numpy(dtype=float))
-        rest, own = np.zeros((len(features), len(places))), np.zeros((len(features), len(places)))
-        for rows, t, path in walk.paths(places):
-            for j in range(len(features)):
-                (own if walk.uses[t, j] else rest)[j, rows] += path
+    def falls_of(key, held: list[tuple[int, np.ndarray]], walk: _Walk) -> pd.DataFrame:
+        """Slices are shuffled on their own and go through the trees together. Trees that do not ask for a feature give the
+        same path however it is shuffled; in the others what the other features leave is looked up once a row."""
+        starts = np.cumsum([0, *[len(x) for _, x in held]])
+        parts = [slice(a, b) for a, b in zip(starts, starts[1:])]
+        ranks = walk.ranks(np.concatenate([x for _, x in held]))
+        whole = walk.total(walk.placed(ranks))
         out: dict[str, list] = {"host": [], "feature": [], "fall": [], "n": []}
         for j, name in enumerate(features):
-            rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), zlib.crc32(name.encode()), number])
-            base, falls, moved = walk.scores(rest[j] + own[j]).sum(), [], places.copy()
-            for _ in range(repeats):
-                moved[:, j] = rng.permutation(places[:, j])
-                total = np.zeros(len(places))
-                for rows, _, path in walk.paths(moved, np.flatnonzero(walk.uses[:, j])):
-                    total[rows] += path
-                falls.append(base - walk.scores(rest[j] + total).sum())
-            for column, value in zip(out.values(), (key[0], name, float(np.mean(falls)), len(places))):
-                column.append(value)
+            orders = []
+            for number, x in held:
+                rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), zlib.crc32(name.encode()), number])
+                orders.append([rng.permutation(len(x)) for _ in range(repeats)])
+            own, moved = walk.shuffled(ranks, j, parts, orders)
+            rest = whole - own
+            base = walk.scores(rest + own)
+            falls = np.zeros(len(parts))
+            for total in moved:
+                after = walk.scores(rest + total)
+                falls += [base[part].sum() - after[part].sum() for part in parts]
+            for part, fall in zip(parts, falls / repeats):
+                for column, value in zip(out.values(), (key[0], name, float(fall), part.stop - part.start)):
+                    column.append(value)
         return pd.DataFrame(out)
 
     def run(key, models: list, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        walk, held, number = _Walk(models[0], len(features)) if models else None, [], None
+        walk = _Walk(models[0], len(features)) if models else None
+        held: list[tuple[int, np.ndarray]] = []
+        pieces, number = [], None
+
+        def close() -> None:
+            held.append((number, pd.concat(pieces).sort_values("log_id")[features].to_numpy(dtype=float)))
+            pieces.clear()
+
         for batch in batches:
-            for at, rows in batch.groupby("slice") if walk else ():
-                if held and at != number:
-                    yield falls_of(key, number, pd.concat(held), walk)
-                    held = []
-                held, number = [*held, rows], int(at)
-        if held:
-            yield falls_of(key, number, pd.concat(held), walk)
+            for at, part in batch.groupby("slice") if walk else ():
+                if pieces and at != number:
+                    close()
+                    if sum(len(x) for _, x in held) >= TOGETHER:
+                        yield falls_of(key, held, walk)
+                        held.clear()
+                number = int(at)
+                pieces.append(part)
+        if pieces:
+            close()
+            yield falls_of(key, held, walk)
 
     rows_ = dealt.withColumn("pack", F.pmod(F.col("slice"), F.col("packs"))).select("host", "pack", "slice", "log_id", *features)
-    falls = _streamed(rows_, copies, ["host", "pack"], ["slice"], run, "host string, feature string, fall double, n long")
+    falls = _streamed(rows_, copies, ["host", "pack"], ["slice"], run, "host string, feature string, fall double, n long", tasks=32)
     raw = falls.groupBy("host", "feature").agg((F.sum("fall") / F.sum("n")).alias("raw"))
     best = F.max("raw").over(Window.partitionBy("host"))
     return raw.withColumn("importance", F.when(best > 0, F.col("raw") / best).otherwise(F.col("raw"))).withColumn(

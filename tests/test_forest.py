@@ -1,5 +1,7 @@
 """Properties of the forest: outliers stand out, results do not depend on partitioning or slicing."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +161,50 @@ def test_importance_does_not_depend_on_partitioning(matrix, nodes):
     out = FO.permutation_importance(matrix.filter("host = 'hot'"), nodes, FEATURES, repeats=2, slice_rows=700).collect()
     again = FO.permutation_importance(matrix.filter("host = 'hot'").repartition(5), nodes, FEATURES, repeats=2, slice_rows=700).collect()
     assert {r["feature"]: round(r["raw"], 9) for r in out} == {r["feature"]: round(r["raw"], 9) for r in again}
+
+
+def test_shuffled_features_are_looked_up_not_walked(nodes, monkeypatch):
+    """Every tree was walked again for each feature and repeat, 10 times over all rows. Path lengths must be those of the walk,
+    also of missing values and of values that are a cut, and where lookups would be too many."""
+    walk = FO._Walk(FO.pack(nodes.filter("host = 'hot'")).toPandas().iloc[0], len(FEATURES))
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 3))
+    x[::7, 0], x[::5, 1], x[1::9, 2] = walk.cuts[0][3], np.nan, walk.cuts[2][-1]
+    ranks, parts = walk.ranks(x), [slice(0, 1000), slice(1000, 3000)]
+    orders = [[rng.permutation(p.stop - p.start) for _ in range(4)] for p in parts]
+    whole = walk.total(walk.placed(ranks))
+    for cells in (FO.CELLS, 40):
+        monkeypatch.setattr(FO, "CELLS", cells)
+        monkeypatch.setattr(FO, "FEW", 0)
+        for j in range(3):
+            with monkeypatch.context() as m:
+                if cells > 40:
+                    m.setattr(walk, "paths", lambda *a: pytest.fail("a tree is walked"))
+                own, moved = walk.shuffled(ranks, j, parts, orders)
+            for r, total in enumerate(moved):
+                swapped = x.copy()
+                swapped[:, j] = np.concatenate([x[p, j][o[r]] for p, o in zip(parts, orders)])
+                assert np.allclose(whole - own + total, walk.total(walk.placed(walk.ranks(swapped))), rtol=0, atol=1e-9)
+                assert total.std() > 0
+
+
+def test_importance_equals_plain_walks(spark, matrix, nodes):
+    """By its definition, slice by slice, with enough rows for lookups and with too few."""
+    many = matrix.filter("host = 'hot'").unionByName(matrix.filter("host = 'hot'").withColumn("log_id", F.col("log_id") + 50_000).withColumn("b", F.col("b") * 2))
+    out = FO.permutation_importance(many.unionByName(matrix.filter("host = 'small'")), nodes, FEATURES, repeats=12, slice_rows=1500)
+    got = {(r["host"], r["feature"]): r["raw"] for r in out.collect()}
+    assert len(got) == 6
+    for host, df in (("hot", many), ("small", matrix.filter("host = 'small'"))):
+        walk = FO._Walk(FO.pack(nodes.filter(F.col("host") == host)).toPandas().iloc[0], len(FEATURES))
+        slices = -(-df.count() // 1500)
+        pdf = df.withColumn("slice", F.pmod(F.xxhash64("log_id", F.lit(42)), F.lit(slices))).toPandas()
+        for name in FEATURES:
+            falls = 0.0
+            for number, part in pdf.groupby("slice"):
+                x = part.sort_values("log_id")[FEATURES].to_numpy(dtype=float)
+                rng = np.random.default_rng([42, zlib.crc32(host.encode()), zlib.crc32(name.encode()), number])
+                for _ in range(12):
+                    y = x.copy()
+                    y[:, FEATURES.index(name)] = rng.permutation(x[:, FEATURES.index(name)])
+                    falls += (walk.score(x).sum() - walk.score(y).sum()) / 12
+            assert abs(got[host, name] - falls / len(pdf)) < 1e-9
