@@ -125,8 +125,8 @@ def fit_global(matrix: DataFrame, features: list[str], **options) -> DataFrame:
 #: Rows that walk together: their places stay in the processor's cache.
 WALKING = 16384
 #: While features are shuffled: rows a task gets at least, rows that go through the trees together, lookups of one tree at most,
-#: and path lengths asked of a tree below which it is walked.
-DEALT, TOGETHER, CELLS, FEW = 100_000, 400_000, 1 << 18, 60_000
+#: path lengths asked of a tree below which it is walked, and trees that a slice goes through while it is in the cache.
+DEALT, TOGETHER, CELLS, FEW, ABREAST = 100_000, 400_000, 1 << 18, 60_000, 8
 #: Slices a core that a host's rows are dealt over at most; each gets one copy of the host's forest.
 SLICES = 8
 PACKED = "trees int, expected double, starts binary, feature binary, threshold binary, right binary, path binary"
@@ -201,8 +201,10 @@ class _Tree:
             if f == j:  # one leaf is left, so one bit: the exponent of its word is its place there
                 bit = np.frexp(np.bitwise_or.reduce(runs, axis=0).astype(float))[1] - 1
                 leaf = bit + 64 * (runs != 0).argmax(axis=0)
-                return _Swap([(self.below[f], f, step * self.words[g].shape[1]) for (f, step), (g, _) in zip(steps, [*steps[1:], (j, None)])],
-                             self.below[j], self.ends[leaf][run])
+                after = [self.words[g].shape[1] for g, _ in [*steps[1:], (j, None)]]
+                scaled = [(f, self.below[f], step * n) for (f, step), n in zip(steps, after)]
+                scaled[:1] = [(f, step.take(below), None) for f, below, step in scaled[:1]]
+                return _Swap(scaled, self.below[j], self.ends[leaf][run])
             first, same = _distinct(runs)
             steps.append((f, same[run]))
             state = runs[:, first]
@@ -225,20 +227,23 @@ def _distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Swap(NamedTuple):
-    """`steps`: for every other feature its places and what is left of the tree after it; `below`: places of the feature;
-    `paths`: path lengths by what is left and that place."""
+    """`steps`: for every other feature its places and what is left of the tree after it, in one for the first; `below`: places
+    of the feature; `paths`: path lengths by what is left and that place."""
 
-    steps: list[tuple[np.ndarray, int, np.ndarray]]
+    steps: list[tuple[int, np.ndarray, np.ndarray | None]]
     below: np.ndarray
     paths: np.ndarray
 
     def left(self, ranks: list[np.ndarray]) -> np.ndarray:
         """What the other features of a row leave, as the start of its row in `paths`."""
-        at = np.zeros(len(ranks[0]), dtype=np.int64)
-        for below, f, step in self.steps:
-            at += below.take(ranks[f], mode="wrap")
-            step.take(at, out=at, mode="wrap")
-        return at
+        at = None
+        for f, below, step in self.steps:
+            here = below.take(ranks[f], mode="wrap")
+            if step is not None:
+                here += at
+                step.take(here, out=here, mode="wrap")
+            at = here
+        return np.zeros(len(ranks[0]), dtype=np.int64) if at is None else at
 
 
 class _Walk:
@@ -278,37 +283,36 @@ class _Walk:
         """For every feature the number of its cuts below each value; a missing one is above all."""
         return [np.searchsorted(cuts, x[:, j]) for j, cuts in enumerate(self.cuts)]
 
-    def shuffled(self, ranks: list[np.ndarray], j: int, parts: list[slice], orders: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Path lengths over the trees that ask for feature `j`, as it is and for each order of it; `orders` has the orders
-        of every part of the rows. A tree that would need more lookups than they spare is walked."""
+    def shuffled(self, ranks: list[np.ndarray], j: int, parts: list[slice], orders: list[list[np.ndarray]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The trees that ask for feature `j` and their path lengths, as it is and for each order of it; `orders` has the
+        orders of every part of the rows. A tree that would need more lookups than they spare is walked."""
         asked = len(ranks[j]) * len(orders[0])
-        own, moved, plain = np.zeros(len(ranks[j])), np.zeros((len(orders[0]), len(ranks[j]))), []
-        for t in np.flatnonzero(self.uses[:, j]):
-            if asked < FEW:
-                plain.append(t)
+        own, moved = np.zeros(len(ranks[j])), np.zeros((len(orders[0]), len(ranks[j])))
+        trees = [int(t) for t in np.flatnonzero(self.uses[:, j]) if asked < FEW or j in self.tree(t).words]
+        plain, swaps = [], []
+        for t in trees:
+            swap = self.tree(t).swap(j, min(CELLS, asked // 2)) if asked >= FEW else None
+            plain, swaps = (plain, [*swaps, swap]) if swap else ([*plain, t], swaps)
+            if len(swaps) < ABREAST and t != trees[-1]:
                 continue
-            tree = self.tree(t)
-            if j not in tree.words:
-                continue
-            swap = tree.swap(j, min(CELLS, asked // 2))
-            if swap is None:
-                plain.append(t)
-                continue
-            for part, order in zip(parts, orders):
-                left, below = swap.left([rank[part] for rank in ranks]), swap.below.take(ranks[j][part])
-                at, path = np.empty(len(left), dtype=np.int64), np.empty(len(left))
-                own[part] += swap.paths.take(left + below)
-                for total, mine in zip(moved, order):
-                    below.take(mine, out=at, mode="wrap")
-                    at += left
-                    swap.paths.take(at, out=path, mode="wrap")
-                    total[part] += path
+            for part, order in zip(parts, orders) if swaps else ():
+                mine = [rank[part] for rank in ranks]
+                at, path = np.empty(len(mine[j]), dtype=np.int64), np.empty(len(mine[j]))
+                for swap in swaps:
+                    left, below = swap.left(mine), swap.below.take(mine[j])
+                    own[part] += swap.paths.take(left + below)
+                    for total, moves in zip(moved, order):
+                        below.take(moves, out=at, mode="wrap")
+                        at += left
+                        swap.paths.take(at, out=path, mode="wrap")
+                        total[part] += path
+            swaps = []
         if plain:
             own += self.total(self.placed(ranks), plain)
             for r, total in enumerate(moved):
                 mine = np.concatenate([ranks[j][part][order[r]] for part, order in zip(parts, orders)])
                 total += self.total(self.placed([*ranks[:j], mine, *ranks[j + 1:]]), plain)
-        return own, moved
+        return trees, own, moved
 
     def placed(self, ranks: list[np.ndarray]) -> np.ndarray:
         """Ranks side by side, ready to be compared."""
@@ -528,15 +532,16 @@ def permutation_importance(matrix: DataFrame, nodes: DataFrame, features: list[s
         same path however it is shuffled; in the others what the other features leave is looked up once a row."""
         starts = np.cumsum([0, *[len(x) for _, x in held]])
         parts = [slice(a, b) for a, b in zip(starts, starts[1:])]
-        ranks = walk.ranks(np.concatenate([x for _, x in held]))
-        whole = walk.total(walk.placed(ranks))
+        ranks, whole = walk.ranks(np.concatenate([x for _, x in held])), None
         out: dict[str, list] = {"host": [], "feature": [], "fall": [], "n": []}
         for j, name in enumerate(features):
             orders = []
             for number, x in held:
                 rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode()), zlib.crc32(name.encode()), number])
                 orders.append([rng.permutation(len(x)) for _ in range(repeats)])
-            own, moved = walk.shuffled(ranks, j, parts, orders)
+            trees, own, moved = walk.shuffled(ranks, j, parts, orders)
+            if whole is None:
+                whole = own + walk.total(walk.placed(ranks), sorted({*range(len(walk.uses))} - {*trees}))
             rest = whole - own
             base = walk.scores(rest + own)
             falls = np.zeros(len(parts))

@@ -180,7 +180,8 @@ def test_shuffled_features_are_looked_up_not_walked(nodes, monkeypatch):
             with monkeypatch.context() as m:
                 if cells > 40:
                     m.setattr(walk, "paths", lambda *a: pytest.fail("a tree is walked"))
-                own, moved = walk.shuffled(ranks, j, parts, orders)
+                trees, own, moved = walk.shuffled(ranks, j, parts, orders)
+            assert 0 < len(trees) <= walk.uses[:, j].sum()
             for r, total in enumerate(moved):
                 swapped = x.copy()
                 swapped[:, j] = np.concatenate([x[p, j][o[r]] for p, o in zip(parts, orders)])
